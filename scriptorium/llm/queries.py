@@ -1,11 +1,13 @@
 """Registry of this subpackage's queries and of their SQL."""
 
-from . import q01_urls, q02_warc, q05_sharding
+from . import q01_urls, q02_warc, q03_fingerprints, q05_sharding, q08_packing
 
 QUERIES = {
     "op1_url_filter": q01_urls.op1_url_filter,
     "op2_warc": q02_warc.op2_warc,
+    "op3_fingerprints": q03_fingerprints.op3_fingerprints,
     "op5_sharding": q05_sharding.op5_sharding,
+    "op8_packing": q08_packing.op8_packing,
 }
 
 SQL = {
