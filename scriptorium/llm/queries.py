@@ -1,13 +1,15 @@
 """Registry of this subpackage's queries and of their SQL."""
 
-from . import q01_urls, q02_warc, q03_fingerprints, q05_sharding, q08_packing
+from . import q01_urls, q02_warc, q03_fingerprints, q04_toxicity, q05_sharding, q08_packing, q10_quality
 
 QUERIES = {
     "op1_url_filter": q01_urls.op1_url_filter,
     "op2_warc": q02_warc.op2_warc,
     "op3_fingerprints": q03_fingerprints.op3_fingerprints,
+    "op4_toxicity": q04_toxicity.op4_toxicity,
     "op5_sharding": q05_sharding.op5_sharding,
     "op8_packing": q08_packing.op8_packing,
+    "op10_quality": q10_quality.op10_quality,
 }
 
 SQL = {
