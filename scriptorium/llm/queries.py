@@ -1,6 +1,6 @@
 """Registry of this subpackage's queries and of their SQL."""
 
-from . import q01_urls, q02_warc, q03_fingerprints, q04_toxicity, q05_sharding, q08_packing, q10_quality
+from . import q01_urls, q02_warc, q03_fingerprints, q04_toxicity, q05_sharding, q08_packing, q09_html, q10_quality
 
 QUERIES = {
     "op1_url_filter": q01_urls.op1_url_filter,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_toxicity": q04_toxicity.op4_toxicity,
     "op5_sharding": q05_sharding.op5_sharding,
     "op8_packing": q08_packing.op8_packing,
+    "op9_html": q09_html.op9_html,
     "op10_quality": q10_quality.op10_quality,
 }
 
