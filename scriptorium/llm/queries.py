@@ -1,6 +1,6 @@
 """Registry of this subpackage's queries and of their SQL."""
 
-from . import q01_urls, q02_warc, q03_fingerprints, q04_toxicity, q05_sharding, q07_jaccard, q08_packing, q09_html, q10_quality
+from . import q01_urls, q02_warc, q03_fingerprints, q04_toxicity, q05_sharding, q06_decontam, q07_jaccard, q08_packing, q09_html, q10_quality
 
 QUERIES = {
     "op1_url_filter": q01_urls.op1_url_filter,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_fingerprints": q03_fingerprints.op3_fingerprints,
     "op4_toxicity": q04_toxicity.op4_toxicity,
     "op5_sharding": q05_sharding.op5_sharding,
+    "op6_decontamination": q06_decontam.op6_decontamination,
     "op7_jaccard_join": q07_jaccard.op7_jaccard_join,
     "op8_packing": q08_packing.op8_packing,
     "op9_html": q09_html.op9_html,
