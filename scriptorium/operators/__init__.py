@@ -1 +1 @@
-"""See the package README."""
+"""Relational operators that need more than one expression."""

@@ -1 +1 @@
-"""See the package README."""
+"""Readers of tables."""
