@@ -6,11 +6,16 @@ the union of its members' tokens is the group's row of the matrix. A node that
 is to be compared with a group is first bounded by its overlap with that union,
 and the group is opened only if a member could reach the threshold.
 
-Which groups a node meets comes from the matrix's index columns: in any common
-order of tokens, two sets with Jaccard at least t share a token among the first
-n - ceil(t n) + 1 of each. The order is that of the hashes, but tokens that many
-dissimilar documents share come last, so a common passage leads to no group. A
-document made up almost wholly of such tokens is indexed by all its tokens.
+Which groups a node meets comes from the matrix's index columns, in one of two
+exact ways. ``prefix``: in any common order of tokens, two sets with Jaccard at
+least t share a token among the first n - ceil(t n) + 1 of each. The order is
+that of the hashes, but tokens that many dissimilar documents share come last,
+so a common passage leads to no group, and a document made up almost wholly of
+such tokens is indexed by all its tokens. ``parts``: sets of about one size that
+differ in at most d tokens have, of d + 1 parts into which the hashes deal all
+tokens, at least one in common; a column is then a whole part. Parts suit short
+shingles, which unlike documents often share, and high thresholds, with few
+parts; prefixes suit long shingles.
 
 Links that are implied by links found before are not looked for again: groups
 are linked inside first, then their leaders, and only nodes of different
@@ -47,6 +52,7 @@ class Params:
 
     words: int = 5
     percent: int = 80
+    index: str = "prefix"
     group: int = 32
     block: int = 256
     common: int = 64
@@ -56,6 +62,51 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """Sets of ``low`` to ``high`` tokens are dealt into ``parts``; ``spare`` of these may be empty."""
+
+    low: int
+    high: int
+    parts: int
+    spare: int
+
+
+_SIZES: dict[int, list[Sizes]] = {}
+
+
+def sizes_for(n: int, percent: int) -> list[Sizes]:
+    """The ranges that hold n. Any two linked sets are in one range together, and none is in more than two or three."""
+    ranges = _SIZES.setdefault(percent, [])
+    while not ranges or ranges[-1].low <= n:
+        low = 1 if not ranges else ((ranges[-1].high + 1) * percent - 1) // 100 + 1
+        high = max(low * 3 // 2 if percent >= 85 else 2 * low, low * 100 // percent, low + 1)
+        differ = 2 * high * (100 - percent) // (100 + percent)
+        spare = max(1, differ // 12) if differ else 0
+        ranges.append(Sizes(low, high, differ + 1 + spare if differ else 0, spare))
+    return [r for r in ranges if r.low <= n <= r.high]
+
+
+def part_columns(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of the set's parts. Equal sets are one node already, so ranges without a difference give none."""
+    out = []
+    for r in sizes_for(len(tokens), percent):
+        if not r.parts:
+            continue
+        seed = np.uint64((r.low * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+        part = ((mix(tokens ^ seed) >> np.uint64(32)) * np.uint64(r.parts)) >> np.uint64(32)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        total = np.add.reduceat(mix(tokens + seed)[order], at)
+        got = mix(mix(total + seed) + part[at] * np.uint64(0xA24BAED4963EE407))
+        if r.parts - len(at) > r.spare:  # too many are empty to leave these out
+            empty = np.setdiff1d(np.arange(r.parts, dtype=np.uint64), part)
+            got = np.append(got, mix(mix(np.full(len(empty), seed)) + empty * np.uint64(0xA24BAED4963EE407)))
+        out.append(got)
+    return np.concatenate(out) if out else tokens[:0]
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     small, large = min(len(a), len(b)), max(len(a), len(b))
     if 100 * small < percent * large:
@@ -89,8 +140,8 @@ def _rows(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBat
 
 
 def sketches(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set), head: twice the index columns that the node needs, in order."""
-    words, percent = p.words, p.percent
+    """doc_id, n_shingles, node (hash of the set), head: its parts, or twice the first tokens that it needs, in order."""
+    words, percent, parts = p.words, p.percent, p.index == "parts"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -99,7 +150,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
                 for t in token_sets(b.column(1), words):
                     n.append(len(t))
                     node.append(set_hash(t) if len(t) else None)
-                    head.append(t[: 2 * prefix_length(len(t), percent)] if len(t) else t)
+                    head.append(part_columns(t, percent) if parts else t[: 2 * prefix_length(len(t), percent)] if len(t) else t)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(head)], names=["doc_id", "n_shingles", "node", "head"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, head array<long>")
@@ -207,21 +258,27 @@ def _open_groups(p: Params):
     return run
 
 
+def _prefixes(docs: DataFrame, heads: DataFrame, common: DataFrame, p: Params) -> DataFrame:
+    """(node, token) of each node's first tokens in the common order."""
+    need = _needed(F.col("n"), p.percent)
+    held = heads.select("node", F.explode("head").alias("token")).join(common, "token").groupBy("node").agg(F.collect_set("token").alias("late"))
+    early = F.when(F.col("late").isNull(), F.col("head")).otherwise(F.array_except("head", "late"))
+    heads = heads.join(held, "node", "left").withColumn("early", early).withColumn("whole", F.size("early") < F.least(need, F.col("n").cast("int")))
+    heads = materialise(heads.select("node", "doc_id", "whole", F.when(~F.col("whole"), F.slice("early", F.lit(1), need)).alias("index")), "jaccard-heads")
+    whole = _tokens_of(docs, heads.where("whole").select("doc_id", "node"), p, "node long")
+    return heads.where("NOT whole").select("node", F.explode("index").alias("token")).unionByName(whole.select("node", F.explode("tokens").alias("token")))
+
+
 def link_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     sketch = materialise(sketches(docs, p), "jaccard-sketch")
-    common = materialise(common_tokens(sketch, p), "jaccard-common")
     usable = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("head").alias("head"))
-    held = nodes.select("node", F.explode("head").alias("token")).join(common, "token").groupBy("node").agg(F.collect_set("token").alias("late"))
-    need = _needed(F.col("n"), p.percent)
-    early = F.when(F.col("late").isNull(), F.col("head")).otherwise(F.array_except("head", "late"))
-    nodes = nodes.join(held, "node", "left").withColumn("early", early).withColumn("whole", F.size("early") < F.least(need, F.col("n").cast("int")))
-    nodes = materialise(nodes.select("node", "doc_id", "n", "whole", F.when(~F.col("whole"), F.slice("early", F.lit(1), need)).alias("index")), "jaccard-nodes")
-
-    # the matrix's index: tokens that at least two nodes have
-    whole = _tokens_of(docs, nodes.where("whole").select("doc_id", "node"), p, "node long")
-    index = nodes.where("NOT whole").select("node", F.explode("index").alias("token")).unionByName(whole.select("node", F.explode("tokens").alias("token")))
+    nodes = materialise(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-nodes")
+    heads = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("head").alias("head"))
+    if p.index == "parts":
+        index = heads.select("node", F.explode("head").alias("token"))
+    else:
+        index = _prefixes(docs, heads, materialise(common_tokens(sketch, p), "jaccard-common"), p)
     shared = index.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     index = materialise(index.join(shared, "token").select("token", "node"), "jaccard-index")
 
@@ -277,3 +334,13 @@ def link_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     key = F.when(F.col("doc_id").isNotNull(), F.col("node"))
     out = sketch.select("doc_id", "n_shingles", key.alias("node")).join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest doc_id.
+
+    Documents without a doc_id or without words stay; rows that repeat a doc_id stay or go together.
+    """
+    linked_to = link_components(docs, p)
+    gone = materialise(linked_to.where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
