@@ -15,19 +15,20 @@ labels every score is the constant 0.5.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._common import flat_bytes, pieces, word_hashes
-from ._fit import minimise, sigmoid, training_rows, weights
+from ._fit import minimise, sigmoid, training_rows, weights, with_score
 
 _MARKS = b"|!%$#*&<>{}[]=_~^\\/@+"
 UPPER, LOWER, DIGIT, END, MARK, BAR, SHOUT, OTHER = range(8)
-_CLASS = np.full(256, OTHER, np.int64)
+_CLASS = np.full(256, OTHER, np.int8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58] = UPPER, LOWER, DIGIT
 for _b in b".,;:?":
     _CLASS[_b] = END
@@ -92,6 +93,14 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return np.hstack([own, before, behind, np.ones((m, 1))]), size.astype(float), starts_at
 
 
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` of any number of texts, a few MB at a time."""
+    data, offsets = flat_bytes(texts)
+    parts = [line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets)]
+    lines = np.concatenate([[0], *(np.diff(at) for _, _, at in parts)])
+    return np.vstack([x for x, _, _ in parts]), np.concatenate([size for _, size, _ in parts]), np.cumsum(lines)
+
+
 @dataclass
 class Field:
     """``weight``: log-odds of good from a line's inputs; ``step[a, b]``: of label b after a."""
@@ -100,8 +109,7 @@ class Field:
     step: np.ndarray
     map: tuple[float, float] = (0.0, 0.0)
 
-    def quality(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        x, size, at = line_features(data, offsets)
+    def quality(self, x: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
         good, _ = marginals(x @ self.weight, self.step, at)
         share = np.maximum(size, 1e-9)
         total = np.add.reduceat(share, at[:-1]) if len(at) > 1 else np.zeros(0)
@@ -163,7 +171,7 @@ class Params:
 def fit(texts: pa.Array, y: np.ndarray, totals: dict[int, int], p: Params = Params()) -> Field:
     if not len(y):
         return Field(np.zeros(3 * OWN + 1), np.zeros((2, 2)))
-    x, size, at = line_features(*flat_bytes(texts))
+    x, size, at = features(texts)
     k = x.shape[1]
     per_doc = weights(y, totals) / len(y)
     line_y, line_doc = np.repeat(y, np.diff(at)), np.repeat(np.arange(len(y)), np.diff(at))
@@ -178,7 +186,7 @@ def fit(texts: pa.Array, y: np.ndarray, totals: dict[int, int], p: Params = Para
 
     v = minimise(loss, np.zeros(k + 4))
     field = Field(v[:k], v[k:].reshape(2, 2))
-    q = np.clip(field.quality(*flat_bytes(texts)), 1e-4, 1 - 1e-4)
+    q = np.clip(field.quality(x, size, at), 1e-4, 1 - 1e-4)
     z, w8 = np.log(q / (1 - q)), weights(y, totals) / len(y)
 
     def platt(v: np.ndarray) -> tuple[float, np.ndarray]:
@@ -196,15 +204,21 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Field:
     return fit(rows["text"].combine_chunks(), np.array(rows["y"].to_pylist(), float), totals, p)
 
 
-def score(docs: DataFrame, field: Field, columns: str = "doc_id long") -> DataFrame:
-    """The columns named and ``score``."""
-    names = [c.split()[0] for c in columns.split(", ")]
+def scorer(field: Field) -> Callable[[pa.Array], np.ndarray]:
+    return lambda texts: field.score(field.quality(*features(texts))) if len(texts) else np.zeros(0)
+
+
+def score(docs: DataFrame, field: Field) -> DataFrame:
+    """doc_id and score."""
+    scored = scorer(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = flat_bytes(b.column(0))
-            out = [field.quality(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets)]
-            got = field.score(np.concatenate(out)) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scored(b.column(1)), pa.float64())], names=["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
 
-    return docs.select("text", *names).mapInArrow(run, f"{columns}, score double")
+def keep_good(docs: DataFrame, field: Field, at: float = 0.3) -> DataFrame:
+    """``docs`` that score ``at`` or more."""
+    return with_score(docs, scorer(field), "_quality").where(F.col("_quality") >= at).drop("_quality")

@@ -15,14 +15,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._fit import minimise, sigmoid, training_rows, weights
+from ._fit import minimise, sigmoid, training_rows, weights, with_score
 
 #: Identity terms by group; within a group any term may stand for any other.
 IDENTITY_TERMS = (
@@ -144,16 +145,30 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     return fit(rows["text"].to_pylist(), np.array(rows["y"].to_pylist(), float), totals, p)
 
 
-def score(docs: DataFrame, model: Model, columns: str = "doc_id long") -> DataFrame:
-    """The columns named and ``score``."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.index, model.scale, model.weight, model.bias, model.prefixes))  # bounded by Params.features
-    names = [c.split()[0] for c in columns.split(", ")]
+def scorer(model: Model) -> Callable[[pa.Array], np.ndarray]:
+    """From texts to scores; what is sent to the executors is bounded by ``Params.features``."""
+    parts = (model.index, model.scale, model.weight, model.bias, model.prefixes)
+    made: list[Model] = []
+
+    def run(texts: pa.Array) -> np.ndarray:
+        if not made:
+            made.append(Model(*parts))
+        return sigmoid(made[0].score(texts.to_pylist()))
+
+    return run
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score."""
+    scored = scorer(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*sent.value)
         for b in batches:
-            z = m.score(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sigmoid(z), pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scored(b.column(1)), pa.float64())], names=["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+
 
-    return docs.select("text", *names).mapInArrow(run, f"{columns}, score double")
+def remove_toxic(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
+    """``docs`` without those that score ``at`` or more."""
+    return with_score(docs, scorer(model), "_toxicity").where(F.col("_toxicity") < at).drop("_toxicity")
