@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def held_out(doc_id: Column) -> Column:
@@ -82,14 +81,12 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(np.clip(z, -60, 60) / 2))
 
 
-def with_score(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], name: str) -> DataFrame:
-    """All columns of ``docs`` and, as ``name``, the score of ``text``; a column of that name is replaced."""
-    docs = docs.drop(name)
+def filter_by_score(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` whose score of ``text`` satisfies ``keep``, with all their columns and no other."""
     at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scorer(b.column(at)), pa.float64())], names=[*b.schema.names, name])
+            yield b.filter(pa.array(keep(scorer(b.column(at)))))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

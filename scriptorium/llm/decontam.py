@@ -153,6 +153,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
     return best.select("doc_id", "item_id", F.col("top.similarity").alias("similarity"), (-F.col("top.back")).alias("start"), "windows")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
-    """Distinct doc_id of documents that hold any item."""
-    return matches(docs, benchmark, p).select("doc_id").distinct()
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
+    """``docs`` without those that hold any item; all rows without a doc_id count as one document."""
+    gone = materialise(matches(docs, benchmark, p).select(F.col("doc_id").alias("_gone")).distinct(), "decontam-gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")

@@ -21,10 +21,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._common import flat_bytes, pieces, word_hashes
-from ._fit import minimise, sigmoid, training_rows, weights, with_score
+from ._fit import filter_by_score, minimise, sigmoid, training_rows, weights
 
 _MARKS = b"|!%$#*&<>{}[]=_~^\\/@+"
 UPPER, LOWER, DIGIT, END, MARK, BAR, SHOUT, OTHER = range(8)
@@ -221,4 +220,4 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 
 def keep_good(docs: DataFrame, field: Field, at: float = 0.3) -> DataFrame:
     """``docs`` that score ``at`` or more."""
-    return with_score(docs, scorer(field), "_quality").where(F.col("_quality") >= at).drop("_quality")
+    return filter_by_score(docs, scorer(field), lambda s: s >= at)

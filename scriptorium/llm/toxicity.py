@@ -21,9 +21,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._fit import minimise, sigmoid, training_rows, weights, with_score
+from ._fit import filter_by_score, minimise, sigmoid, training_rows, weights
 
 #: Identity terms by group; within a group any term may stand for any other.
 IDENTITY_TERMS = (
@@ -171,4 +170,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def remove_toxic(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
     """``docs`` without those that score ``at`` or more."""
-    return with_score(docs, scorer(model), "_toxicity").where(F.col("_toxicity") < at).drop("_toxicity")
+    return filter_by_score(docs, scorer(model), lambda s: s < at)
