@@ -26,5 +26,5 @@ def query(sql: str | None = None):
     return register
 
 
-for _name in ("sources", "filters", "joins", "aggregates", "ordering", "search", "texts", "records", "state"):
+for _name in ("sources", "filters", "joins", "aggregates", "ordering", "search", "texts", "records", "state", "documents"):
     import_module(f"scriptorium.plans.{_name}")
