@@ -39,7 +39,7 @@ _LANES = 0x0000000100000001
 class Params:
     words: int = 5
     similarity: float = 0.8
-    broadcast_rows: int = 1_000_000  # benchmark shingles up to which they are broadcast
+    broadcast_rows: int = 1_000_000  # benchmark shingles, or ids of documents with a hit, up to which they are broadcast
 
 
 def words_of(text: Column) -> Column:
@@ -128,7 +128,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
 
     # the shingles of these windows, from the documents that have any
     asked = found.groupBy(F.col("doc_id").alias("asked"), "size").agg(F.collect_set(F.struct("start", "m")).alias("spans"))
-    texts = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("asked"))).select("doc_id", "size", words_of(F.col("text")).alias("w"), "spans")
+    ids = found.select(F.col("doc_id").alias("id")).distinct()
+    some = ids.count() <= p.broadcast_rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if some else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    texts = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("asked"))).select("doc_id", "size", words_of(F.col("text")).alias("w"), "spans")
     hashes = F.coalesce(*[F.when(F.col("size") == k, shingles(F.col("w"), k)) for k in sizes])
     texts = texts.select("doc_id", "size", hashes.alias("s"), "spans")
     spans = texts.select("doc_id", "size", "s", F.explode("spans").alias("span"))  # the hashes are made once, below the explode
