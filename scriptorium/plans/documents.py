@@ -208,3 +208,55 @@ def z25_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("h"))
     mirror = d.withColumn("h", F.when(F.col("doc_id") % 11 == 0, "old").otherwise(F.col("h")))
     return d.join(mirror, ["doc_id", "h"], "left_anti").orderBy("doc_id").limit(15).select("doc_id")
+
+
+@query("SELECT event_id, 'f' || event_id || '.pdf' AS file FROM events WHERE event_type IN ('view', 'click')")
+def s4_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDFs by content type or file name; broken entries are left out."""
+    kind = F.when(F.col("event_type") == "view", "application/pdf").when(F.col("event_type") == "click", "application/octet-stream").otherwise("text/html")
+    name = F.concat(F.lit("f"), F.col("event_id").cast("string"), F.when(F.col("event_type") == "error", "").otherwise(F.when(F.col("event_type").isin("view", "click"), ".pdf").otherwise(".html")))
+    items = table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), name.alias("file"))
+    return items.where((F.col("kind") == "application/pdf") | F.lower("file").endswith(".pdf")).select("event_id", "file")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'stupid') OR contains(lower(text), 'idiot') ORDER BY (length(text) - length(replace(lower(text), 'stupid', ''))) DESC, doc_id LIMIT 20")
+def o1_hits_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.lower("text")
+    score = F.length("text") - F.length(F.replace(low, F.lit("stupid"), F.lit("")))
+    hits = _docs(spark, sf_dir).where(low.contains("stupid") | low.contains("idiot")).select("doc_id", score.alias("score"))
+    return hits.orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id")
+
+
+@query("SELECT DISTINCT source, 2 AS version, count(*) OVER (PARTITION BY source) AS rebuilt FROM documents WHERE source NOT IN ('src0', 'src1')")
+def f10_index_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions whose stored version is not the current one are rebuilt whole."""
+    d = _docs(spark, sf_dir).select("source", F.when(F.col("source").isin("src0", "src1"), 2).otherwise(1).alias("stored"))
+    return d.where("stored <> 2").groupBy("source").agg(F.lit(2).alias("version"), F.count("*").alias("rebuilt"))
+
+
+@query("SELECT doc_id, regexp_replace(text || ' end.12 and 34', '([.!?])[0-9]{1,3}( |$)', '\\1\\2', 'g') AS text FROM documents")
+def t32_superscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.regexp_replace(F.concat("text", F.lit(" end.12 and 34")), r"([.!?])[0-9]{1,3}( |\z)", "$1$2").alias("text"))
+
+
+@query()
+def t9_typesetting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken compounds ('co- opera') are joined only where the joined form is commoner in the same document."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+(?:- ?[a-z]+)?"), 0)
+    each = _docs(spark, sf_dir).select("doc_id", F.explode(words).alias("w"))
+    counts = each.select("doc_id", F.regexp_replace("w", "- ?", "").alias("joined"), F.col("w").contains("-").cast("int").alias("broken"))
+    return counts.groupBy("doc_id", "joined").agg(F.sum("broken").alias("broken"), F.sum(1 - F.col("broken")).alias("whole")).where("broken > 0 AND whole > broken")
+
+
+@query("SELECT d.doc_id, coalesce(CASE WHEN quality = 1 THEN 'crossref' END, CASE WHEN toxic = 1 THEN 'datacite' END, CASE WHEN lang = 'en' THEN 'arxiv' END) AS provider FROM documents d LEFT JOIN labels l USING (doc_id)")
+def g15_provider_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = _docs(spark, sf_dir).select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return j.select("doc_id", F.coalesce(F.when(F.col("quality") == 1, "crossref"), F.when(F.col("toxic") == 1, "datacite"), F.when(F.col("lang") == "en", "arxiv")).alias("provider"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'supplied' WHEN page_id % 3 = 1 THEN 'csl' ELSE 'tags' END AS resolved FROM pages")
+def g22_import_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 3
+    supplied, csl = F.when(k == 0, "10.1/a"), F.when(k <= 1, "10.1/a")
+    rule = first_of([(supplied.isNotNull() & (supplied == csl), "supplied"), (csl.isNotNull(), "csl")], "tags")
+    return table(spark, sf_dir, "pages").select("page_id", rule.alias("resolved"))
