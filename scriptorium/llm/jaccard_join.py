@@ -6,16 +6,14 @@ the union of its members' tokens is the group's row of the matrix. A node that
 is to be compared with a group is first bounded by its overlap with that union,
 and the group is opened only if a member could reach the threshold.
 
-Which groups a node meets comes from the matrix's index columns, in one of two
-exact ways. ``prefix``: in any common order of tokens, two sets with Jaccard at
-least t share a token among the first n - ceil(t n) + 1 of each. The order is
-that of the hashes, but tokens that many dissimilar documents share come last,
-so a common passage leads to no group, and a document made up almost wholly of
-such tokens is indexed by all its tokens. ``parts``: sets of about one size that
-differ in at most d tokens have, of d + 1 parts into which the hashes deal all
-tokens, at least one in common; a column is then a whole part. Parts suit short
-shingles, which unlike documents often share, and high thresholds, with few
-parts; prefixes suit long shingles.
+Which groups a node meets comes from the matrix's index columns, which are parts
+of sets, not single tokens: sets of about one size are dealt into more parts by
+the tokens' hashes than they can differ in tokens, so two linked sets have a part
+in common. A single shingle is shared by most documents somewhere; a whole part
+hardly ever is, unless the documents are alike, and a passage that many
+documents share fills no part unless it makes up most of a document. A set of n
+tokens needs only as many columns as the smaller of two linked sets can lose
+tokens, n (1 - t) / t, and these are the first ones for all sets.
 
 Links that are implied by links found before are not looked for again: groups
 are linked inside first, then their leaders, and only nodes of different
@@ -46,20 +44,15 @@ class Params:
     """Shingles of ``words`` words; a link where 100 * intersection >= ``percent`` * union.
 
     ``group`` is the aimed size of a group, ``block`` that of the queries that meet one
-    group in one task; a token held by more than ``common`` documents that don't look
-    alike comes last. These three change only the cost, never the links.
+    group in one task; up to ``broadcast_rows`` counted ids are broadcast to fetch the
+    texts to be compared. These three change only the cost, never the links.
     """
 
     words: int = 5
     percent: int = 80
-    index: str = "prefix"
     group: int = 32
-    block: int = 256
-    common: int = 64
-
-
-def prefix_length(n: int, percent: int) -> int:
-    return n - (n * percent + 99) // 100 + 1
+    block: int = 512
+    broadcast_rows: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -82,7 +75,7 @@ def sizes_for(n: int, percent: int) -> list[Sizes]:
         low = 1 if not ranges else ((ranges[-1].high + 1) * percent - 1) // 100 + 1
         high = max(low * 3 // 2 if percent >= 85 else 2 * low, low * 100 // percent, low + 1)
         differ = 2 * high * (100 - percent) // (100 + percent)
-        spare = max(1, differ // 12) if differ else 0
+        spare = 1 + differ // 24 if differ else 0
         ranges.append(Sizes(low, high, differ + 1 + spare if differ else 0, spare))
     return [r for r in ranges if r.low <= n <= r.high]
 
@@ -97,11 +90,14 @@ def part_columns(tokens: np.ndarray, percent: int) -> np.ndarray:
         part = ((mix(tokens ^ seed) >> np.uint64(32)) * np.uint64(r.parts)) >> np.uint64(32)
         order = np.argsort(part, kind="stable")
         part = part[order]
+        used = min(r.parts, len(tokens) * (100 - percent) // percent + 1 + r.spare)
         at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         total = np.add.reduceat(mix(tokens + seed)[order], at)
-        got = mix(mix(total + seed) + part[at] * np.uint64(0xA24BAED4963EE407))
-        if r.parts - len(at) > r.spare:  # too many are empty to leave these out
-            empty = np.setdiff1d(np.arange(r.parts, dtype=np.uint64), part)
+        part, total = part[at], total[part[at] < used]
+        part = part[part < used]
+        got = mix(mix(total + seed) + part * np.uint64(0xA24BAED4963EE407))
+        if used - len(part) > r.spare:  # too many are empty to leave these out
+            empty = np.setdiff1d(np.arange(used, dtype=np.uint64), part)
             got = np.append(got, mix(mix(np.full(len(empty), seed)) + empty * np.uint64(0xA24BAED4963EE407)))
         out.append(got)
     return np.concatenate(out) if out else tokens[:0]
@@ -140,8 +136,8 @@ def _rows(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBat
 
 
 def sketches(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set), head: its parts, or twice the first tokens that it needs, in order."""
-    words, percent, parts = p.words, p.percent, p.index == "parts"
+    """doc_id, n_shingles, node (hash of the set), head (the index columns of the set)."""
+    words, percent = p.words, p.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -150,43 +146,19 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
                 for t in token_sets(b.column(1), words):
                     n.append(len(t))
                     node.append(set_hash(t) if len(t) else None)
-                    head.append(part_columns(t, percent) if parts else t[: 2 * prefix_length(len(t), percent)] if len(t) else t)
+                    head.append(part_columns(t, percent) if len(t) else t)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(head)], names=["doc_id", "n_shingles", "node", "head"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, head array<long>")
 
 
-def common_tokens(sketch: DataFrame, p: Params) -> DataFrame:
-    """Tokens in the heads of more than ``common`` documents of which many begin differently, counted over all documents.
+def _shared_columns(a: Column, b: Column, percent: int) -> Column:
+    """Columns that linked sets of a and b tokens have in common at least.
 
-    Near copies mostly begin with the same token; documents that only share a
-    passage don't. Each run of documents is summed up before anything is shuffled.
+    Of the columns that the smaller one needs, no more are lost than tokens differ.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            heads = whole.column(0)
-            sizes = np.diff(heads.offsets.to_numpy())
-            flat = heads.values.to_numpy()[heads.offsets[0].as_py() : heads.offsets[-1].as_py()]
-            first = np.repeat(flat[np.cumsum(sizes)[sizes > 0] - sizes[sizes > 0]], sizes[sizes > 0])
-            order = np.lexsort((first, flat))
-            t, f = flat[order], first[order]
-            if not len(t):
-                continue
-            new = np.concatenate(([True], t[1:] != t[:-1]))
-            at = np.flatnonzero(new)
-            kinds = np.add.reduceat((new | np.concatenate(([True], f[1:] != f[:-1]))).astype(np.int64), at)
-            count = np.diff(np.append(at, len(t)))
-            keep = count > 1
-            yield pa.RecordBatch.from_arrays([pa.array(t[at][keep]), pa.array(count[keep]), pa.array(kinds[keep])], names=["token", "n", "kinds"])
-
-    counted = sketch.where("n_shingles > 0").select("head").mapInArrow(run, "token long, n long, kinds long")
-    summed = counted.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("pairs"), F.sum(F.col("kinds") - 1).alias("unlike"))
-    return summed.where((F.col("n") > p.common) & (F.col("unlike") > 0.3 * F.col("pairs"))).select("token")
-
-
-def _needed(n: Column, percent: int) -> Column:
-    return (n - F.floor((n * percent + 99) / 100) + 1).cast("int")
+    kept = F.floor(F.least(a, b) * (100 - percent) / percent)
+    return F.greatest(F.lit(1), kept + 1 - F.floor((a + b) * (100 - percent) / (100 + percent)))
 
 
 def _tokens_of(docs: DataFrame, wanted: DataFrame, p: Params, columns: str) -> DataFrame:
@@ -258,27 +230,13 @@ def _open_groups(p: Params):
     return run
 
 
-def _prefixes(docs: DataFrame, heads: DataFrame, common: DataFrame, p: Params) -> DataFrame:
-    """(node, token) of each node's first tokens in the common order."""
-    need = _needed(F.col("n"), p.percent)
-    held = heads.select("node", F.explode("head").alias("token")).join(common, "token").groupBy("node").agg(F.collect_set("token").alias("late"))
-    early = F.when(F.col("late").isNull(), F.col("head")).otherwise(F.array_except("head", "late"))
-    heads = heads.join(held, "node", "left").withColumn("early", early).withColumn("whole", F.size("early") < F.least(need, F.col("n").cast("int")))
-    heads = materialise(heads.select("node", "doc_id", "whole", F.when(~F.col("whole"), F.slice("early", F.lit(1), need)).alias("index")), "jaccard-heads")
-    whole = _tokens_of(docs, heads.where("whole").select("doc_id", "node"), p, "node long")
-    return heads.where("NOT whole").select("node", F.explode("index").alias("token")).unionByName(whole.select("node", F.explode("tokens").alias("token")))
-
-
 def link_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     sketch = materialise(sketches(docs, p), "jaccard-sketch")
     usable = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = materialise(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-nodes")
-    heads = usable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("head").alias("head"))
-    if p.index == "parts":
-        index = heads.select("node", F.explode("head").alias("token"))
-    else:
-        index = _prefixes(docs, heads, materialise(common_tokens(sketch, p), "jaccard-common"), p)
+    heads = usable.groupBy("node").agg(F.first("head").alias("head"))
+    index = heads.select("node", F.explode("head").alias("token"))
     shared = index.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     index = materialise(index.join(shared, "token").select("token", "node"), "jaccard-index")
 
@@ -287,15 +245,21 @@ def link_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     sizes = begin.groupBy("begin").agg(F.count("*").alias("c"))
     lot = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / p.group))
     grouped = begin.join(sizes, "begin").select("node", F.xxhash64("begin", lot).alias("gid"))
-    wanted = grouped.join(nodes.select("node", "doc_id"), "node")
-    members = _tokens_of(docs, wanted.select("doc_id", "node", "gid"), p, "node long, gid long")
+    wanted = materialise(grouped.join(nodes.select("node", "doc_id"), "node").select("doc_id", "node", "gid"), "jaccard-wanted")
+    if wanted.count() <= p.broadcast_rows:
+        wanted = F.broadcast(wanted)
+    members = _tokens_of(docs, wanted, p, "node long, gid long")
     members = materialise(members.groupBy("gid").applyInArrow(_link_groups(p), "gid long, node long, root long, tokens array<long>"), "jaccard-members")
 
     # leaders of groups that share a token: each against the first of them
     roots = members.select("node", "root")
     leaders = index.join(roots, "node").select("token", "root").distinct()
     first = leaders.groupBy("token").agg(F.min("root").alias("first"))
-    pairs = leaders.join(first, "token").where("root <> first").select("root", "first").distinct()
+    count = members.where("node = root").select(F.col("node").alias("root"), F.size("tokens").alias("n"))
+    pairs = leaders.join(first, "token").where("root <> first").groupBy("root", "first").agg(F.count("*").alias("c"))
+    pairs = pairs.join(count, "root").join(count.select(F.col("root").alias("first"), F.col("n").alias("m")), "first")
+    alike = 100 * F.least("n", "m") >= p.percent * F.greatest("n", "m")
+    pairs = pairs.where(alike & (3 * F.col("c") >= _shared_columns(F.col("n"), F.col("m"), p.percent))).select("root", "first")
     sets = members.where("node = root").select(F.col("node").alias("root"), F.col("tokens").alias("a"))
     both = F.size(F.array_intersect("a", "b"))
     star = pairs.join(sets, "root").join(sets.select(F.col("root").alias("first"), F.col("a").alias("b")), "first")
@@ -306,16 +270,20 @@ def link_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     # what is left: nodes of one component against groups of another that share a token
     comp = members.select("node", "gid", F.size("tokens").alias("n")).join(known, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     comp = comp.join(comp.groupBy("comp").agg(F.count("*").alias("csize")), "comp")
-    comp = materialise(comp.select("node", "gid", "n", "comp", "csize", F.xxhash64("gid", F.when(F.col("csize") > 1, F.col("comp"))).alias("uid")), "jaccard-comp")
+    comp = comp.select("node", "gid", "n", "comp", "csize", F.xxhash64("gid", F.when(F.col("csize") > 1, F.col("comp"))).alias("uid"))
+    comp = materialise(comp.join(comp.groupBy("uid").agg(F.min("n").alias("n0"), F.max("n").alias("n1")), "uid"), "jaccard-comp")
     at = index.join(comp, "node")
     top = at.groupBy("token").agg(F.max(F.struct("csize", "comp")).alias("top"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
     at = at.join(top.select("token", "top"), "token")
     rank = F.struct("csize", "comp")
     ask = at.where((rank < F.col("top")) | (F.col("csize") == 1)).select("token", F.col("node"), F.col("n").alias("qn"), F.col("gid").alias("qgid"), rank.alias("qrank"))
-    units = at.groupBy("token", "uid", "gid").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(rank).alias("urank"), F.max("csize").alias("usize"))
+    units = at.groupBy("token", "uid", "gid", "n0", "n1").agg(F.max(rank).alias("urank"), F.max("csize").alias("usize"))
     fits = (100 * F.col("qn") >= p.percent * F.col("n0")) & (100 * F.col("n1") >= p.percent * F.col("qn"))
     other = F.when(F.col("usize") > 1, F.col("qrank") < F.col("urank")).otherwise((F.col("qrank.csize") == 1) & (F.col("qgid") < F.col("gid")))
-    meet = materialise(ask.join(units, "token").where(fits & other).select("node", "uid").distinct(), "jaccard-meet")
+    low, high = F.greatest("n0", F.ceil(F.col("qn") * p.percent / 100)), F.least("n1", F.floor(F.col("qn") * 100 / p.percent))
+    least = F.least(_shared_columns(F.col("qn"), low, p.percent), _shared_columns(F.col("qn"), high, p.percent))  # least at either end
+    bound = ask.join(units, "token").where(fits & other).groupBy("node", "uid", "qn", "n0", "n1").agg(F.count("*").alias("c"))
+    meet = materialise(bound.where(F.col("c") >= least).select("node", "uid").distinct(), "jaccard-meet")
     blocks = meet.groupBy("uid").agg(F.ceil(F.count("*") / p.block).alias("blocks"))
     queries = meet.join(blocks, "uid").select("uid", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node").join(members.select("node", "tokens"), "node")
     queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("uid", "block", "node", "tokens")])

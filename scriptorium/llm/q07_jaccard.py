@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import jaccard_join
 from ._common import table
 
-PARAMS = jaccard_join.Params(words=3, percent=90, index="parts")
+PARAMS = jaccard_join.Params(words=3, percent=90, group=256)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
