@@ -62,6 +62,12 @@ def s14_csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", formula_guard(cell).alias("cell"))
 
 
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+@\\t\\r\\n-]') THEN '''' || text ELSE text END AS cell FROM documents")
+def s14_csv_guard_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text whole behind the guard; s14_csv_guard shows the rule on 20 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", formula_guard(F.col("text")).alias("cell"))
+
+
 @query("SELECT conv_id, '---\n' || 'id: ' || conv_id || '\n---\n\n' || string_agg('## ' || role || '\n\n' || text, '\n\n' ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
 def s15_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")

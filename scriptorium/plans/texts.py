@@ -69,6 +69,12 @@ def t13_keyword_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.keyword_list(F.substring("text", 1, 200)).alias("keywords"))
 
 
+@query("SELECT doc_id, (len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '')) <= 30 AND length(regexp_replace(text, '[^,;·]', '', 'g')) >= 2 AND NOT regexp_matches(text, '[.!?]([ \\t\\n\\r]|$)')) AS keywords FROM documents")
+def t13_keyword_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule over whole texts; t13_keyword_list judges their first 200 characters."""
+    return _docs(spark, sf_dir).select("doc_id", T.keyword_row(F.col("text")).alias("keywords"))
+
+
 @query()
 def t14_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("k", "sentence"))

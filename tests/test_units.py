@@ -7,6 +7,7 @@ from scriptorium import api
 from scriptorium.functions import dates, text
 from scriptorium.operators import blocks, registry, search
 from scriptorium.operators.rank import global_rank
+from scriptorium.plans import registry as plans
 from scriptorium.plans.filters import page
 from scriptorium.sources.sqlite import SqliteSource
 
@@ -98,3 +99,12 @@ def test_api(spark):
     found = api.search(spark, SF, "the reation", 5).collect()
     assert len(found) == 5 and [r.score for r in found] == sorted(r.score for r in found)
     assert api.library(spark, SF, "the", 7).count() == 7 and api.status(spark, SF).first().labelled > 0
+
+
+def test_whole_texts(spark, tmp_path):
+    texts = ["red, green; " + "word " * 60 + "end.", "red, green; blue", "=1" + "x" * 50, "Red, green. Blue, grey", "red · green · blue"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = plans.QUERIES["t13_keyword_list_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.keywords) for r in rows) == [(0, False), (1, True), (2, False), (3, False), (4, True)]
+    cells = {r.doc_id: r.cell for r in plans.QUERIES["s14_csv_guard_whole"](spark, str(tmp_path)).collect()}
+    assert cells == {k: "'" + t if t[0] == "=" else t for k, t in enumerate(texts)}
