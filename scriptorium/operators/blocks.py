@@ -31,12 +31,6 @@ def merge_continuations(lines: Column) -> Column:
     return F.aggregate(lines, F.array().cast("array<string>"), add)
 
 
-def paragraphs(text: Column) -> Column:
-    """Paragraphs: blank lines part them, a hyphen at a line's end joins, other line ends are spaces."""
-    joined = F.regexp_replace(F.regexp_replace(text, r"(?<=[a-z])-\n(?=[a-z])", ""), r"(?<!\n)\n(?!\n)", " ")
-    return F.filter(F.transform(F.split(joined, r"\n{2,}"), lambda p: F.trim(p)), lambda p: p != "")
-
-
 def markdown_blocks(text: Column) -> Column:
     """array<struct<ordinal, type, level, text>> of the lines of a Markdown text, without front matter and comments."""
     body = F.regexp_replace(F.regexp_replace(text, r"\A---[ \t]*\n(?s:.*?)\n---[ \t]*\n", ""), r"(?s)<!--.*?-->", "")

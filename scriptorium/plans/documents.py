@@ -173,8 +173,20 @@ def g20_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, k, block FROM (SELECT doc_id, unnest(range(0, len(p))) AS k, unnest(p) AS block FROM (SELECT doc_id, [regexp_replace(text, '\n', ' ', 'g')] AS p FROM documents WHERE NOT contains(text, '\n\n') AND NOT regexp_matches(text, '[a-z]-\n[a-z]'))) WHERE trim(block) <> ''")
 def x1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = _docs(spark, sf_dir).where(~F.col("text").contains("\n\n") & ~F.col("text").rlike("[a-z]-\n[a-z]"))
-    return plain.select("doc_id", F.posexplode(blocks.paragraphs(F.col("text"))).alias("k", "block")).withColumn("k", F.col("k").cast("long"))
+    """Over all documents; the SQL states the case without blank lines, line-end hyphens and omissions."""
+    from scriptorium.functions.arrow import assemble
+
+    a = _docs(spark, sf_dir).select("doc_id", assemble("text").alias("a"))
+    return a.select("doc_id", F.posexplode("a.blocks").alias("k", "block")).withColumn("k", F.col("k").cast("long"))
+
+
+@query()
+def x1_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that x1_paragraphs leaves out, each with its reason."""
+    from scriptorium.functions.arrow import assemble
+
+    a = _docs(spark, sf_dir).select("doc_id", assemble("text").alias("a"))
+    return a.select("doc_id", F.posexplode("a.omissions").alias("k", "o")).select("doc_id", F.col("k").cast("long").alias("k"), "o.text", "o.reason")
 
 
 @query("SELECT conv_id, count(*) AS blocks, count(*) FILTER (turn % 2 = 0) AS headings FROM (SELECT conv_id, turn FROM conversations) GROUP BY conv_id")

@@ -108,3 +108,15 @@ def test_whole_texts(spark, tmp_path):
     assert sorted((r.doc_id, r.keywords) for r in rows) == [(0, False), (1, True), (2, False), (3, False), (4, True)]
     cells = {r.doc_id: r.cell for r in plans.QUERIES["s14_csv_guard_whole"](spark, str(tmp_path)).collect()}
     assert cells == {k: "'" + t if t[0] == "=" else t for k, t in enumerate(texts)}
+
+
+def test_paragraphs_of_all_documents(spark, tmp_path):
+    page = "Journal of Tests {n}\nPart {w}.\n\nA well-\nknown fact, soft­\nly told.\n\n* A note that goes\non and ends.\nMore text.\nPublished by Us\n2.1. Data. The rows.\n\nEnd {w}.\nPage {n}"
+    texts = ["One.\n\nTwo\nlines.\n\n\nThree.", "\f".join(page.format(n=n, w=w) for n, w in enumerate("abc", 1)), "one line", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted((r.doc_id, r.k, r.block) for r in plans.QUERIES["x1_paragraphs"](spark, str(tmp_path)).collect())
+    body = [b for w in "abc" for b in (f"Part {w}.", "A well-known fact, softly told.", "More text.", "2.1. Data", "The rows.", f"End {w}.")]
+    assert rows == [(0, k, b) for k, b in enumerate(("One.", "Two lines.", "Three."))] + [(1, k, b) for k, b in enumerate(body)] + [(2, 0, "one line")]
+    left = [(r.text, r.reason) for r in plans.QUERIES["x1_omissions"](spark, str(tmp_path)).orderBy("doc_id", "k").collect()]
+    edge, note = "repeated-page-edge", "footnote"
+    assert left == [x for n in "123" for x in ((f"Journal of Tests {n}", edge), ("* A note that goes", note), ("on and ends.", note), ("Published by Us", "publisher-or-contact-furniture"), (f"Page {n}", edge))]
