@@ -124,13 +124,14 @@ def c12_csl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def g1_fuzzy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles against the first title of their block (the same first 12 characters)."""
-    from scriptorium.functions.arrow import title_ratio
-
-    t = _docs(spark, sf_dir).select("doc_id", squeeze(F.substring("text", 1, 80)).alias("title")).withColumn("block", F.lower(F.substring("title", 1, 12)))
-    first = t.groupBy("block").agg(F.min(F.struct("doc_id", "title")).alias("f"))
-    pairs = t.join(first, "block").where(F.col("doc_id") != F.col("f.doc_id")).select("doc_id", F.col("f.doc_id").alias("with"), title_ratio(F.col("title"), F.col("f.title")).alias("ratio"))
-    return pairs.where("ratio >= 0.65").withColumn("strict", F.col("ratio") >= 0.94)
+    """Each title against the first document of its class (equal titles), and all pairs of classes, by their first documents."""
+    from scriptorium.functions.arrow import plain_title
+    from scriptorium.operators.titles import alike
+
+    t = _docs(spark, sf_dir).select("doc_id", plain_title(squeeze(F.substring("text", 1, 80))).alias("plain")).where("plain <> ''")
+    first = t.groupBy("plain").agg(F.min("doc_id").alias("id"))
+    equal = t.join(first, "plain").where("doc_id <> id").select("doc_id", F.col("id").alias("with"), F.lit(1.0).alias("ratio"))
+    return equal.unionByName(alike(first, 0.65)).withColumn("strict", F.col("ratio") >= 0.94)
 
 
 @query("SELECT d.doc_id, CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'manual' WHEN l.quality = 1 THEN 'cached' WHEN lang = 'en' THEN 'source' WHEN n_chars > 3000 THEN 'pdf' ELSE 'unavailable' END AS chosen FROM documents d LEFT JOIN labels l USING (doc_id)")

@@ -120,3 +120,22 @@ def test_paragraphs_of_all_documents(spark, tmp_path):
     left = [(r.text, r.reason) for r in plans.QUERIES["x1_omissions"](spark, str(tmp_path)).orderBy("doc_id", "k").collect()]
     edge, note = "repeated-page-edge", "footnote"
     assert left == [x for n in "123" for x in ((f"Journal of Tests {n}", edge), ("* A note that goes", note), ("on and ends.", note), ("Published by Us", "publisher-or-contact-furniture"), (f"Page {n}", edge))]
+
+
+def test_all_alike_titles(spark, tmp_path, monkeypatch):
+    import difflib
+
+    from scriptorium.operators import titles
+
+    monkeypatch.setattr(titles, "SIDE", 3)
+    body = "the long study of many rivers and lakes in the north of a cold country"
+    texts = ["A first " + body, "A first word on something else", "Other start: " + body, "other START " + body, "Other starts " + body + "!", "ß" * 80, "ß" * 79 + "s", "?!", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r["with"]): (r.ratio, r.strict) for r in plans.QUERIES["g1_fuzzy_titles"](spark, str(tmp_path)).collect()}
+    plain = {k: " ".join("".join(c if c.isalnum() else " " for c in t[:80].casefold()).split()) for k, t in enumerate(texts)}
+    ids = {k: min(j for j in plain if plain[j] == p) for k, p in plain.items() if p}
+    want = {(k, c): 1.0 for k, c in ids.items() if k != c}
+    firsts = sorted(set(ids.values()))
+    want |= {(a, b): r for a in firsts for b in firsts if b < a and (r := difflib.SequenceMatcher(None, plain[a], plain[b], autojunk=False).ratio()) >= 0.65}
+    assert got == {k: (r, r >= 0.94) for k, r in want.items()}
+    assert {(3, 2), (2, 0), (4, 2), (6, 5)} <= set(got)
