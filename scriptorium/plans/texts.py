@@ -14,6 +14,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+
+
 @query("SELECT doc_id, regexp_replace(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), ' ([,.;:!?])', '\\1', 'g') AS text FROM documents")
 def t1_squeeze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.regexp_replace(T.squeeze(F.col("text")), r" ([,.;:!?])", "$1").alias("text"))
@@ -64,6 +68,18 @@ def t11_heading_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.heading_level(line).alias("level"))
 
 
+@query()
+def t11_heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level of every line of every document; t11_heading_level shows the rule on four lines."""
+    return _lines(spark, sf_dir).select("doc_id", "k", T.heading_level(F.col("line")).alias("level"))
+
+
+@query()
+def t12_heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of every line of every document; t12_numbered_heading shows the rule on two lines."""
+    return _lines(spark, sf_dir).select("doc_id", "k", T.heading_parts(F.col("line")).alias("parts"))
+
+
 @query("SELECT doc_id, (len(list_filter(regexp_split_to_array(substr(text, 1, 200), '[ \\t\\n\\r]+'), lambda w: w <> '')) <= 30 AND length(regexp_replace(substr(text, 1, 200), '[^,;]', '', 'g')) >= 2 AND NOT regexp_matches(trim(substr(text, 1, 200)), '[.!?]$')) AS keywords FROM documents")
 def t13_keyword_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.keyword_list(F.substring("text", 1, 200)).alias("keywords"))
@@ -132,6 +148,12 @@ def t22_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.licence(note).alias("licence"))
 
 
+@query()
+def t22_licence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that each document's own text gives; t22_licence shows the rule on four notes."""
+    return _docs(spark, sf_dir).select("doc_id", T.licence_in(F.col("text")).alias("licence"))
+
+
 @query("SELECT page_id, CASE WHEN starts_with(url, 'https://www.') THEN 'https://mirror.' || substr(url, 13) ELSE url END AS url FROM pages")
 def t24_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")

@@ -139,3 +139,18 @@ def test_all_alike_titles(spark, tmp_path, monkeypatch):
     want |= {(a, b): r for a in firsts for b in firsts if b < a and (r := difflib.SequenceMatcher(None, plain[a], plain[b], autojunk=False).ratio()) >= 0.65}
     assert got == {k: (r, r >= 0.94) for k, r in want.items()}
     assert {(3, 2), (2, 0), (4, 2), (6, 5)} <= set(got)
+
+
+def test_rules_read_the_documents(spark, tmp_path):
+    texts = {
+        "Body.\nLicensed under CC BY 4.0.": "CC BY 4.0", "Body.\nLicensed under CC BY-NC 4.0.": None, "See https://creativecommons.\norg/licenses/ by/4.0/": "CC BY 4.0",
+        "Under the Creative Commons Attribution 4.0\nInternational License.": "CC BY 4.0", "Creative Commons Attribution-Non Commercial 4.0 License, CC BY 4.0": None, "This is CC0.": "CC0", "MIT License": None,
+        "### A part\nplain\n Conclusion \n2.1. Data and scope. The rows are here.\n\n3. " + "word " * 15 + "end. Body": None,
+    }
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.licence for r in run("t22_licence_text")} == dict(enumerate(texts.values()))
+    last = len(texts) - 1
+    assert [r.level for r in sorted(run("t11_heading_lines"), key=lambda r: r.k) if r.doc_id == last] == [3, None, 2, 3, None, None]
+    parts = {r.k: r.parts for r in run("t12_heading_lines") if r.doc_id == last}
+    assert parts[3] == ["2.1. Data and scope", "The rows are here."] and all(len(p) == 1 for k, p in parts.items() if k != 3) and len(parts) == 6
