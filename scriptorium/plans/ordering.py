@@ -59,6 +59,21 @@ def w8_look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.size(F.filter("ahead", lambda x: x > F.col("own"))).alias("longer"))
 
 
+@query()
+def w8_reference_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns, and whether they stay: the tail is cut at the first numbered entry that two more follow,
+    each above the last by at most 5, within the next 11 turns."""
+    entry = r"\A([0-9]{1,3})\.\s+[A-ZÀ-ÖØ-Þ][\w’'-]+(?:\s[a-zà-ÿ]{1,3})?(?:\s[\w’'-]+)?\s[A-ZÀ-ÖØ-Þ]{1,3}[.,]"
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract(F.trim("text"), entry, 1).alias("n"))
+    c = c.withColumn("n", F.when(F.col("n") != "", F.col("n").cast("int")))
+    ahead = F.collect_list("n").over(_turn().rowsBetween(1, 11))
+    run = F.aggregate("ahead", F.struct(F.col("n").alias("last"), F.lit(1).alias("entries")), lambda a, x: F.when(
+        (a["last"] < x) & (x <= a["last"] + 5), F.struct(x.alias("last"), (a["entries"] + 1).alias("entries"))).otherwise(a))
+    starts = c.withColumn("ahead", ahead).where("n IS NOT NULL").where(run["entries"] >= 3)
+    cut = starts.groupBy("conv_id").agg(F.min("turn").alias("cut"))
+    return c.join(cut, "conv_id", "left").select("conv_id", "turn", (F.col("cut").isNull() | (F.col("turn") < F.col("cut"))).alias("kept"))
+
+
 @query("SELECT conv_id, turn FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations) WHERE s = 0 AND role <> 'user'")
 def w9_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(_turn().rowsBetween(W.unboundedPreceding, 0))

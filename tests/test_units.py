@@ -154,3 +154,21 @@ def test_rules_read_the_documents(spark, tmp_path):
     assert [r.level for r in sorted(run("t11_heading_lines"), key=lambda r: r.k) if r.doc_id == last] == [3, None, 2, 3, None, None]
     parts = {r.k: r.parts for r in run("t12_heading_lines") if r.doc_id == last}
     assert parts[3] == ["2.1. Data and scope", "The rows are here."] and all(len(p) == 1 for k, p in parts.items() if k != 3) and len(parts) == 6
+
+
+def test_blocks_by_ordered_rules(spark, tmp_path):
+    text = "A plain line.\n\nTable 2: rows $$$ here\n\nThis figure shows it.\n\n1 2 3 4 5 6 7 8 9 10 11 12\n\nMore %%% text.\n\nReferences\n\nTable 3. A late one\n\nTail."
+    spark.createDataFrame([(0, text), (1, "Only this.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = plans.QUERIES["x2_blocks"](spark, str(tmp_path)).orderBy("doc_id", "k").collect()
+    tail = "reference-section"
+    assert [r.omission_reason for r in rows] == [None, "table-or-figure-caption", "table-or-figure-note", "probable-table-grid", None, tail, tail, tail, None]
+    assert all(r.included == (r.omission_reason is None) for r in rows)
+
+
+def test_reference_tail(spark, tmp_path):
+    tail = ["Body.", "3. Berg A. Early.", "Text.", "8. Dyk B. One.", "more", "9. Falk C. Two.", "14. Holm D. Three.", "End."]
+    apart = ["1. Berg A. One.", "7. Dyk B. Far.", "2. Falk C. Two.", "1. Holm D. Low."]
+    rows = [(1, k, t) for k, t in enumerate(tail)] + [(2, k, t) for k, t in enumerate(apart)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = plans.QUERIES["w8_reference_tail"](spark, str(tmp_path)).orderBy("conv_id", "turn").collect()
+    assert [r.kept for r in got] == [True] + [False] * 7 + [True] * 4
