@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +59,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (out, path)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialise`` that nothing reads any more; other DataFrames are passed over."""
+    for df in tables:
+        if id(df) in _WRITTEN:
+            _, path = _WRITTEN.pop(id(df))
+            _forget(df.sparkSession, path)
 
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,28 +1,32 @@
 """N-gram Jaccard self-join over a token-group matrix.
 
-A document is the set of its distinct word shingles. Documents with equal sets
-are one node. Similar nodes are partitioned into small groups; for each group
-the union of its members' tokens is the group's row of the matrix. A node that
-is to be compared with a group is first bounded by its overlap with that union,
-and the group is opened only if a member could reach the threshold.
-
-Which groups a node meets comes from the matrix's index columns, which are parts
-of sets, not single tokens: sets of about one size are dealt into more parts by
-the tokens' hashes than they can differ in tokens, so two linked sets have a part
-in common. A single shingle is shared by most documents somewhere; a whole part
-hardly ever is, unless the documents are alike, and a passage that many
-documents share fills no part unless it makes up most of a document. A set of n
-tokens needs only as many columns as the smaller of two linked sets can lose
-tokens, n (1 - t) / t, and these are the first ones for all sets.
+A document is the set of its distinct word shingles (tokens). Documents with
+equal sets are one node. Similar nodes are partitioned into groups of bounded
+size; for each group the union of its members' tokens is the group's row of the
+matrix. A node that meets a group is first bounded by its overlap with that
+union, and the group is opened only if a member could reach the threshold.
+
+Which groups meet follows from the rarest tokens. All documents count their
+tokens once, in ranges of the token space (``census``), and each document's
+tokens are put in one order for all, rare ones first. A token that no other
+document has links nothing and is never indexed. If x and y are linked, then
+their first common token in that order stands at a place i of x with
+n_x - i >= |x & y|, so it can only be linked with sets of up to
+(n_x - i) (1 + t) / t - n_x tokens (``cap``), and with none below t n_x. Tokens
+for which that range is empty are left out; a passage that many documents share
+stands at the end of the order and does not bring them together. No link is lost.
 
 Links that are implied by links found before are not looked for again: groups
-are linked inside first, then their leaders, and only nodes of different
-components meet afterwards; so a family of near copies costs a number of
-comparisons in proportion to its size, and no link between components is lost.
+are linked inside first, then their leaders with the first group of their kind,
+and only groups of different components meet afterwards. So a family of near
+copies costs comparisons in proportion to its size. A family whose members share
+most tokens and yet stay below the threshold pair by pair still has to be
+compared group by group.
 
 A null doc_id or an empty set is linked with nothing. Rows that repeat a doc_id
 are rows of their own. Texts are read whole. An empty table gives no rows. Sets
-are compared by 64-bit hashes of their shingles.
+are compared by 64-bit hashes of their shingles. ``docs`` is read more than once
+and has to be a stored table, not a random computation.
 """
 
 from __future__ import annotations
@@ -32,85 +36,35 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from ._common import flat_bytes, materialise, mix, pieces, shingle_hashes, word_hashes
+from ._common import flat_bytes, materialise, mix, pieces, release, shingle_hashes, word_hashes
 
 
 @dataclass(frozen=True)
 class Params:
     """Shingles of ``words`` words; a link where 100 * intersection >= ``percent`` * union.
 
-    ``group`` is the aimed size of a group, ``block`` that of the queries that meet one
-    group in one task; up to ``broadcast_rows`` counted ids are broadcast to fetch the
-    texts to be compared. These three change only the cost, never the links.
+    The others change only the cost, never the links: ``group`` nodes and ``group_tokens``
+    tokens at most in a group (one longer document is a group of its own), components below
+    ``pooled`` nodes share groups, ``chunk_bytes`` of text are counted at a time, each task
+    of the census counts the tokens of about ``range_bytes`` of text, and up to
+    ``broadcast_rows`` counted ids are broadcast to fetch texts.
     """
 
     words: int = 5
     percent: int = 80
-    group: int = 32
-    block: int = 512
+    group: int = 256
+    group_tokens: int = 500_000
+    pooled: int = 64
+    chunk_bytes: int = 8 << 20
+    range_bytes: int = 8 << 20
     broadcast_rows: int = 1_000_000
 
 
-@dataclass(frozen=True)
-class Sizes:
-    """Sets of ``low`` to ``high`` tokens are dealt into ``parts``; ``spare`` of these may be empty."""
-
-    low: int
-    high: int
-    parts: int
-    spare: int
-
-
-_SIZES: dict[int, list[Sizes]] = {}
-
-
-def sizes_for(n: int, percent: int) -> list[Sizes]:
-    """The ranges that hold n. Any two linked sets are in one range together, and none is in more than two or three."""
-    ranges = _SIZES.setdefault(percent, [])
-    while not ranges or ranges[-1].low <= n:
-        low = 1 if not ranges else ((ranges[-1].high + 1) * percent - 1) // 100 + 1
-        high = max(low * 3 // 2 if percent >= 85 else 2 * low, low * 100 // percent, low + 1)
-        differ = 2 * high * (100 - percent) // (100 + percent)
-        spare = 1 + differ // 24 if differ else 0
-        ranges.append(Sizes(low, high, differ + 1 + spare if differ else 0, spare))
-    return [r for r in ranges if r.low <= n <= r.high]
-
-
-def part_columns(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the set's parts. Equal sets are one node already, so ranges without a difference give none."""
-    out = []
-    for r in sizes_for(len(tokens), percent):
-        if not r.parts:
-            continue
-        seed = np.uint64((r.low * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        part = ((mix(tokens ^ seed) >> np.uint64(32)) * np.uint64(r.parts)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        used = min(r.parts, len(tokens) * (100 - percent) // percent + 1 + r.spare)
-        at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        total = np.add.reduceat(mix(tokens + seed)[order], at)
-        part, total = part[at], total[part[at] < used]
-        part = part[part < used]
-        got = mix(mix(total + seed) + part * np.uint64(0xA24BAED4963EE407))
-        if used - len(part) > r.spare:  # too many are empty to leave these out
-            empty = np.setdiff1d(np.arange(used, dtype=np.uint64), part)
-            got = np.append(got, mix(mix(np.full(len(empty), seed)) + empty * np.uint64(0xA24BAED4963EE407)))
-        out.append(got)
-    return np.concatenate(out) if out else tokens[:0]
-
-
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    small, large = min(len(a), len(b)), max(len(a), len(b))
-    if 100 * small < percent * large:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def token_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """Sorted 64-bit tokens of each text."""
     data, offsets = flat_bytes(texts)
@@ -125,41 +79,151 @@ def set_hash(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(np.cumsum([0, *(len(a) for a in arrays)]).astype(np.int32), pa.array(flat))
+def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), pa.array(flat.astype(np.int64, copy=False)))
 
 
-def _rows(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, 1000):
-        yield batch.slice(at, 1000)
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.asarray(t.values).view(np.uint64) for t in column.combine_chunks()] if len(column) else []
 
 
-def sketches(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set), head (the index columns of the set)."""
-    words, percent = p.words, p.percent
+# --- the census of tokens
+
+_PARTS = "abcdef"
+_ROW = "kind int, place long, " + ", ".join(f"{c} binary" for c in _PARTS)
+
+
+def _row(to: int, chunk: int, kind: int, place: int, *parts: np.ndarray) -> dict:
+    return {"to": to, "chunk": chunk, "kind": kind, "place": place} | {c: x.tobytes() for c, x in zip(_PARTS, parts, strict=False)}
+
+
+def _table(rows: list[dict], *names: str) -> pa.RecordBatch:
+    whole = [*names, "kind", "place", *_PARTS]
+    kinds = {"kind": pa.int32()} | dict.fromkeys(_PARTS, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds.get(c, pa.int64())) for c in whole], names=whole)
+
+
+def _count_out(p: Params, ranges: int):
+    """Each chunk of documents sends its tokens to the ranges, and what it need not ask for to itself."""
+    words, most = p.words, p.chunk_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for b in _rows(whole):
-                n, node, head = [], [], []
-                for t in token_sets(b.column(1), words):
-                    n.append(len(t))
-                    node.append(set_hash(t) if len(t) else None)
-                    head.append(part_columns(t, percent) if len(t) else t)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(head)], names=["doc_id", "n_shingles", "node", "head"])
+            _, offsets = flat_bytes(whole.column(1))
+            for i, j in ((s, min(s + 32768, j)) for i, j in pieces(offsets, most) for s in range(i, j, 32768)):
+                b = whole.slice(i, j - i)
+                valid = np.asarray(b.column(0).is_valid())
+                sets = list(token_sets(b.column(1), words))
+                n = np.array([len(s) for s in sets], np.uint32)
+                node = np.array([set_hash(s) if len(s) else 0 for s in sets], np.int64)
+                token = np.concatenate([s for s, ok in zip(sets, valid, strict=True) if ok] or [np.zeros(0, np.uint64)])
+                doc = np.repeat(np.arange(len(sets), dtype=np.uint16)[valid], n[valid])
+                key = ((((token >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)) << np.uint64(32)) | (token & np.uint64(0xFFFFFFFF))
+                order = np.argsort(key, kind="stable")
+                key, doc = key[order], doc[order]
+                first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+                count = np.diff(np.append(first, len(key)))
+                again = np.repeat(count > 1, count)
+                ids = np.asarray(b.column(0).fill_null(0)).astype(np.int64)
+                rows = [_row(-1 - chunk, chunk, 1, 0, ids, n, node, valid.astype(np.uint8), key[again], doc[again])]
+                one, many = first[count == 1], first[count > 1]
+                place = (key >> np.uint64(32)).astype(np.int64)
+                left = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                for r in np.unique(place):
+                    s = one[slice(*np.searchsorted(place[one], [r, r + 1]))]
+                    m = many[slice(*np.searchsorted(place[many], [r, r + 1]))]
+                    c = count[count > 1][slice(*np.searchsorted(place[many], [r, r + 1]))]
+                    rows.append(_row(int(r), chunk, 0, int(r), left[s], doc[s], left[m], c.astype(np.uint32)))
+                yield _table(rows, "to", "chunk")
+                chunk += 1
+
+    return run
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, head array<long>")
+def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column, and where each row's begin."""
+    arrays = [np.frombuffer(x, kind) if x else np.zeros(0, kind) for x in column.to_pylist()]
+    return np.concatenate(arrays or [np.zeros(0, kind)]), np.cumsum([0, *(len(x) for x in arrays)])
 
 
-def _shared_columns(a: Column, b: Column, percent: int) -> Column:
-    """Columns that linked sets of a and b tokens have in common at least.
+def _answer(table: pa.Table) -> pa.Table:
+    """One range counts its tokens; each chunk learns how common those are that occur more than once.
 
-    Of the columns that the smaller one needs, no more are lost than tokens differ.
+    A chunk asks for a token once, so even a token of all documents is counted here once a chunk.
     """
-    kept = F.floor(F.least(a, b) * (100 - percent) / percent)
-    return F.greatest(F.lit(1), kept + 1 - F.floor((a + b) * (100 - percent) / (100 + percent)))
+    if table["kind"][0].as_py() == 1:
+        return table.drop_columns(["to"])
+    chunks, place = table["chunk"].to_pylist(), table["place"][0].as_py()
+    (one, at), (doc, _), (many, many_at), (times, _) = (_joined(table[c], k) for c, k in zip("abcd", (np.uint32, np.uint16, np.uint32, np.uint32), strict=True))
+    left, inverse = np.unique(np.concatenate((one, many)), return_inverse=True)
+    df = np.bincount(inverse, np.concatenate((np.ones(len(one)), times)), len(left))
+    common = np.minimum(255, 8 * np.log2(np.maximum(df, 1)) + 1).astype(np.uint8)[inverse]
+    shared = (df >= 2)[inverse]
+    rows = []
+    for k, chunk in enumerate(chunks):
+        s, m = slice(at[k], at[k + 1]), slice(many_at[k], many_at[k + 1])
+        kept, level = shared[s], common[len(one) :][m]
+        if kept.any() or len(level):
+            rows.append(_row(0, chunk, 2, place, one[s][kept], doc[s][kept], common[s][kept], many[m], level))
+    return pa.Table.from_batches([_table(rows, "chunk")])
+
+
+def _heads(p: Params):
+    """A chunk's documents with the tokens that index them, rare ones first."""
+    percent = p.percent
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.filter(pa.compute.equal(table["kind"], 1))
+        ids, n, node, valid, key, doc = (_joined(own[c], k)[0] for c, k in zip("abcdef", (np.int64, np.uint32, np.int64, np.uint8, np.uint64, np.uint16), strict=True))
+        told = table.filter(pa.compute.equal(table["kind"], 2))
+        place = np.asarray(told["place"].to_numpy(), np.uint64) << np.uint64(32)
+        (one, at), (one_doc, _), (level, _), (many, many_at), (many_level, _) = (_joined(told[c], k) for c, k in zip("abcde", (np.uint32, np.uint16, np.uint8, np.uint32, np.uint8), strict=True))
+        one = one | np.repeat(place, np.diff(at))
+        many = many | np.repeat(place, np.diff(many_at))
+        order = np.argsort(many)
+        many, many_level = many[order], many_level[order]
+        if len(key):
+            level = np.concatenate((level, many_level[np.searchsorted(many, key)]))
+        key, doc = np.concatenate((one, key)), np.concatenate((one_doc, doc)).astype(np.int64)
+        order = np.lexsort((key, level, doc))
+        key, doc = key[order], doc[order]
+        shared = np.bincount(doc, minlength=len(ids))
+        size = n.astype(np.int64)
+        rank = np.arange(len(key)) - np.repeat(np.cumsum(shared) - shared, shared)
+        rest = shared[doc] - rank  # of the document's tokens, those from this place on
+        cap = rest * (100 + percent) // percent - size[doc]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.zeros(0, bool)
+        kept = fresh & (100 * cap >= percent * size[doc])
+        counts = np.bincount(doc[kept], minlength=len(ids))
+        some = pa.array(size > 0)
+        null = pa.scalar(None, pa.int64())
+        return pa.table(
+            {
+                "doc_id": pa.compute.if_else(pa.array(valid.astype(bool)), pa.array(ids), null),
+                "n_shingles": pa.array(size),
+                "node": pa.compute.if_else(some, pa.array(node), null),
+                "head": _lists(key[kept].view(np.int64), counts),
+                "cap": _lists(cap[kept], counts),
+            }
+        )
+
+    return run
+
+
+def sketches(docs: DataFrame, p: Params) -> DataFrame:
+    """doc_id, n_shingles, node (hash of the set), head (the tokens that index the set), cap (for each, the largest set it can be linked with)."""
+    texts = docs.select("doc_id", "text")
+    bytes_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, -(-bytes_ // p.range_bytes))
+    out = texts.mapInArrow(_count_out(p, ranges), f"to long, chunk long, {_ROW}")
+    census = materialise(out.groupBy("to").applyInArrow(_answer, f"chunk long, {_ROW}"), "jaccard-census")
+    heads = materialise(census.groupBy("chunk").applyInArrow(_heads(p), "doc_id long, n_shingles long, node long, head array<long>, cap array<long>"), "jaccard-sketch")
+    release(census)
+    return heads
+
 
+# --- groups
 
 def _tokens_of(docs: DataFrame, wanted: DataFrame, p: Params, columns: str) -> DataFrame:
     """``columns`` of ``wanted`` (doc_id, node, ...) with the node's tokens, from the text of one of its documents."""
@@ -167,16 +231,60 @@ def _tokens_of(docs: DataFrame, wanted: DataFrame, p: Params, columns: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _rows(whole):
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
                 sets = list(token_sets(b.column(0), words))
                 node = b.column(1).to_pylist()
                 same = pa.array([len(t) > 0 and set_hash(t) == k for t, k in zip(sets, node, strict=True)])  # a repeated doc_id may have another text
-                out = pa.RecordBatch.from_arrays([*b.columns[1:], _lists(sets)], names=[*names, "tokens"])
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                out = pa.RecordBatch.from_arrays([*b.columns[1:], _lists(flat.view(np.int64), np.array([len(t) for t in sets], np.int64))], names=[*names, "tokens"])
                 yield out.filter(same)
 
     return docs.select("doc_id", "text").join(wanted, "doc_id").select("text", *names).mapInArrow(run, f"{columns}, tokens array<long>")
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], block: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set of ``a`` with each of ``b``, a block of tokens at a time."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    flat_a, flat_b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b))
+    both = np.intersect1d(flat_a, flat_b)
+    if not len(both):
+        return out
+
+    def places(flat: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        col = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        hit = both[col] == flat
+        row, col = row[hit], col[hit]
+        order = np.argsort(col, kind="stable")
+        return row[order], col[order]
+
+    (row_a, col_a), (row_b, col_b) = places(flat_a, a), places(flat_b, b)
+    for low in range(0, len(both), block):
+        parts = []
+        for row, col, size in ((row_a, col_a, len(a)), (row_b, col_b, len(b))):
+            s = slice(*np.searchsorted(col, [low, low + block]))
+            m = np.zeros((size, min(block, len(both) - low)), np.float32)
+            m[row[s], col[s] - low] = 1
+            parts.append(m)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def links(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of ``a`` are linked with which of ``b``. The matrix row of ``b`` decides which sets of ``a`` open it."""
+    out = np.zeros((len(a), len(b)), bool)
+    if not a or not b:
+        return out
+    union = np.unique(np.concatenate(b))
+    at = [np.minimum(np.searchsorted(union, q), len(union) - 1) for q in a]
+    opens = [k for k, q in enumerate(a) if 100 * int((union[at[k]] == q).sum()) >= percent * len(q)]
+    both = overlaps([a[k] for k in opens], b)
+    n, m = np.array([len(a[k]) for k in opens], np.int64)[:, None], np.array([len(x) for x in b], np.int64)[None, :]
+    out[opens] = (both > 0) & (100 * both >= percent * (n + m - both))
+    return out
+
+
 def _link_groups(p: Params):
     percent = p.percent
 
@@ -185,120 +293,108 @@ def _link_groups(p: Params):
         node = table["node"].to_numpy()
         fresh = np.concatenate(([True], node[1:] != node[:-1]))
         table, node = table.filter(pa.array(fresh)), node[fresh]
-        sets = [np.asarray(t.values).view(np.uint64) for t in table["tokens"].combine_chunks()] if len(table) else []
-        root = list(range(len(node)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i in range(len(node)):
-            for j in sorted(range(i), key=lambda j: (root[j] != j, j)):
-                a, b = find(i), find(j)
-                if a != b and linked(sets[i], sets[j], percent):
-                    root[max(a, b)] = min(a, b)
-        return pa.table({"gid": table["gid"], "node": table["node"], "root": pa.array([int(node[find(i)]) for i in range(len(node))], pa.int64()), "tokens": table["tokens"]})
+        near = links(s := _sets(table["tokens"]), s, percent)
+        root = np.full(len(node), -1)
+        for k in range(len(node)):
+            if root[k] < 0:  # everything reachable from here
+                front = np.zeros(len(node), bool)
+                front[k], reached = True, np.zeros(len(node), bool)
+                while front.any():
+                    reached |= front
+                    front = near[front].any(axis=0) & ~reached
+                root[reached] = k
+        return pa.table({"gid": table["gid"], "node": table["node"], "root": pa.array(node[root]), "n": pa.array(np.array([len(x) for x in s], np.int64)), "tokens": table["tokens"]})
 
     return run
 
 
-def _open_groups(p: Params):
+def _open_pair(p: Params):
+    """Rows of side 0 against the group of side 1: for each two components that are linked, one link between them."""
     percent = p.percent
 
-    def run(group: pa.Table, queries: pa.Table) -> pa.Table:
-        u, v = [], []
-        if group.num_rows and queries.num_rows:
-            members = group["node"].to_pylist()
-            one = group["one"][0].as_py()
-            sets = [np.asarray(t.values).view(np.uint64) for t in group["tokens"].combine_chunks()]
-            union = np.unique(np.concatenate(sets))  # the group's row of the matrix
-            for q, t in zip(queries["q_node"].to_pylist(), queries["q_tokens"].combine_chunks(), strict=True):
-                own = np.asarray(t.values).view(np.uint64)
-                at = np.minimum(np.searchsorted(union, own), len(union) - 1)
-                if 100 * int((union[at] == own).sum()) < percent * len(own):
-                    continue
-                for m, s in zip(members, sets, strict=True):
-                    if linked(own, s, percent):
-                        u.append(q)
-                        v.append(m)
-                        if one:
-                            break
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+    def run(table: pa.Table) -> pa.Table:
+        side, comp = table["side"].to_numpy(), table["comp"].to_numpy()
+        sets = _sets(table["tokens"])
+        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        i, j = np.nonzero(links([sets[k] for k in a], [sets[k] for k in b], percent))
+        pair = np.stack((comp[a][i], comp[b][j]), axis=1)
+        pair = np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0)
+        return pa.table({"u": pa.array(pair[:, 0], pa.int64()), "v": pa.array(pair[:, 1], pa.int64())})
 
     return run
 
 
+def _lots(nodes: DataFrame, keys: list[str], p: Params, name: str) -> DataFrame:
+    """Nodes of equal ``keys`` in groups of bounded size, called ``name``."""
+    sizes = nodes.groupBy(*keys).agg(F.greatest(F.ceil(F.count("*") / p.group), F.ceil(F.sum("n") / p.group_tokens)).alias("_lots"))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    dealt = nodes.alias("l").join(sizes.alias("r"), same).select("l.*", "r._lots")
+    return dealt.withColumn(name, F.xxhash64(*keys, F.pmod(F.xxhash64("node"), "_lots"))).drop("_lots")
+
+
 def link_components(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    sketch = materialise(sketches(docs, p), "jaccard-sketch")
+    sketch = sketches(docs, p)
     usable = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    nodes = materialise(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-nodes")
-    heads = usable.groupBy("node").agg(F.first("head").alias("head"))
-    index = heads.select("node", F.explode("head").alias("token"))
-    shared = index.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    index = materialise(index.join(shared, "token").select("token", "node"), "jaccard-index")
-
-    # groups of nodes that begin alike, of bounded size
-    begin = index.groupBy("node").agg(F.min("token").alias("begin"))
-    sizes = begin.groupBy("begin").agg(F.count("*").alias("c"))
-    lot = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / p.group))
-    grouped = begin.join(sizes, "begin").select("node", F.xxhash64("begin", lot).alias("gid"))
-    wanted = materialise(grouped.join(nodes.select("node", "doc_id"), "node").select("doc_id", "node", "gid"), "jaccard-wanted")
-    if wanted.count() <= p.broadcast_rows:
+    heads = usable.where(F.size("head") > 0).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n_shingles", "head", "cap")).alias("h"))
+    index = heads.select("node", "doc_id", F.col("h.n_shingles").alias("n"), F.explode(F.arrays_zip("h.head", "h.cap")).alias("e"))
+    index = index.select("node", "doc_id", "n", F.col("e.head").alias("token"), F.col("e.cap").alias("cap"))
+    shared = index.groupBy("token").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.max("cap").alias("most")).where("c > 1")
+    index = materialise(index.join(shared, "token").where("cap >= least AND n <= most").drop("least", "most"), "jaccard-index")
+
+    # groups of nodes that have their most common index token in common and are of about one size
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / p.percent)))
+    kind = index.groupBy("node", "doc_id", "n").agg(F.max(F.struct("c", "token")).getField("token").alias("top"), (F.max("cap") >= F.col("n")).alias("reach")).withColumn("band", band)
+    kind = materialise(_lots(kind, ["top", "band", "reach"], p, "gid"), "jaccard-kinds")
+    wanted = kind.select("doc_id", "node", "gid")
+    if kind.count() <= p.broadcast_rows:
         wanted = F.broadcast(wanted)
     members = _tokens_of(docs, wanted, p, "node long, gid long")
-    members = materialise(members.groupBy("gid").applyInArrow(_link_groups(p), "gid long, node long, root long, tokens array<long>"), "jaccard-members")
-
-    # leaders of groups that share a token: each against the first of them
-    roots = members.select("node", "root")
-    leaders = index.join(roots, "node").select("token", "root").distinct()
-    first = leaders.groupBy("token").agg(F.min("root").alias("first"))
-    count = members.where("node = root").select(F.col("node").alias("root"), F.size("tokens").alias("n"))
-    pairs = leaders.join(first, "token").where("root <> first").groupBy("root", "first").agg(F.count("*").alias("c"))
-    pairs = pairs.join(count, "root").join(count.select(F.col("root").alias("first"), F.col("n").alias("m")), "first")
-    alike = 100 * F.least("n", "m") >= p.percent * F.greatest("n", "m")
-    pairs = pairs.where(alike & (3 * F.col("c") >= _shared_columns(F.col("n"), F.col("m"), p.percent))).select("root", "first")
-    sets = members.where("node = root").select(F.col("node").alias("root"), F.col("tokens").alias("a"))
-    both = F.size(F.array_intersect("a", "b"))
-    star = pairs.join(sets, "root").join(sets.select(F.col("root").alias("first"), F.col("a").alias("b")), "first")
-    star = star.where(100 * both >= p.percent * (F.size("a") + F.size("b") - both)).select(F.col("root").alias("u"), F.col("first").alias("v"))
-    edges = members.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(star)
+    members = materialise(members.groupBy("gid").applyInArrow(_link_groups(p), "gid long, node long, root long, n long, tokens array<long>"), "jaccard-members")
+
+    # leaders against the first group of their kind
+    pair = "pid long, side int, comp long, tokens array<long>"
+    columns = [c.split()[0] for c in pair.split(", ")]
+    groups = kind.select("top", "gid").distinct()
+    first = groups.groupBy("top").agg(F.min("gid").alias("first"))
+    star = groups.join(first, "top").where("gid <> first").select("gid", "first")
+    blocks = star.join(members.where("node = root").select("gid", "root"), "gid").select("first", "root", "gid")
+    count = blocks.groupBy("first").agg(F.ceil(F.count("*") / p.group).alias("blocks"))
+    asks = blocks.join(count, "first").select(F.xxhash64("first", F.pmod(F.xxhash64("root"), "blocks")).alias("pid"), F.lit(0).alias("side"), "root")
+    asks = asks.join(members.where("node = root").select("root", "tokens"), "root").select("pid", "side", F.col("root").alias("comp"), "tokens")
+    told = count.select(F.col("first").alias("gid"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).join(members, "gid")
+    told = told.select(F.xxhash64("gid", "block").alias("pid"), F.lit(1).alias("side"), F.col("root").alias("comp"), "tokens")
+    found = asks.select(columns).unionByName(told.select(columns)).groupBy("pid").applyInArrow(_open_pair(p), "u long, v long")
+    edges = members.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)
     known = graph.components(edges)
 
-    # what is left: nodes of one component against groups of another that share a token
-    comp = members.select("node", "gid", F.size("tokens").alias("n")).join(known, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-    comp = comp.join(comp.groupBy("comp").agg(F.count("*").alias("csize")), "comp")
-    comp = comp.select("node", "gid", "n", "comp", "csize", F.xxhash64("gid", F.when(F.col("csize") > 1, F.col("comp"))).alias("uid"))
-    comp = materialise(comp.join(comp.groupBy("uid").agg(F.min("n").alias("n0"), F.max("n").alias("n1")), "uid"), "jaccard-comp")
-    at = index.join(comp, "node")
-    top = at.groupBy("token").agg(F.max(F.struct("csize", "comp")).alias("top"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
-    at = at.join(top.select("token", "top"), "token")
-    rank = F.struct("csize", "comp")
-    ask = at.where((rank < F.col("top")) | (F.col("csize") == 1)).select("token", F.col("node"), F.col("n").alias("qn"), F.col("gid").alias("qgid"), rank.alias("qrank"))
-    units = at.groupBy("token", "uid", "gid", "n0", "n1").agg(F.max(rank).alias("urank"), F.max("csize").alias("usize"))
-    fits = (100 * F.col("qn") >= p.percent * F.col("n0")) & (100 * F.col("n1") >= p.percent * F.col("qn"))
-    other = F.when(F.col("usize") > 1, F.col("qrank") < F.col("urank")).otherwise((F.col("qrank.csize") == 1) & (F.col("qgid") < F.col("gid")))
-    low, high = F.greatest("n0", F.ceil(F.col("qn") * p.percent / 100)), F.least("n1", F.floor(F.col("qn") * 100 / p.percent))
-    least = F.least(_shared_columns(F.col("qn"), low, p.percent), _shared_columns(F.col("qn"), high, p.percent))  # least at either end
-    bound = ask.join(units, "token").where(fits & other).groupBy("node", "uid", "qn", "n0", "n1").agg(F.count("*").alias("c"))
-    meet = materialise(bound.where(F.col("c") >= least).select("node", "uid").distinct(), "jaccard-meet")
-    blocks = meet.groupBy("uid").agg(F.ceil(F.count("*") / p.block).alias("blocks"))
-    queries = meet.join(blocks, "uid").select("uid", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), "node").join(members.select("node", "tokens"), "node")
-    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("uid", "block", "node", "tokens")])
-    opened = comp.select("node", "uid", (F.col("csize") > 1).alias("one")).join(blocks, "uid").join(members.select("node", "tokens"), "node")
-    opened = opened.select("uid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", "one", "tokens")
-    found = opened.groupBy("uid", "block").cogroup(queries.groupBy("q_uid", "q_block")).applyInArrow(_open_groups(p), "u long, v long")
-    label = comp.select(F.col("node"), F.col("comp"))
-    late = found.join(label.select(F.col("node").alias("u"), F.col("comp").alias("cu")), "u").join(label.select(F.col("node").alias("v"), F.col("comp").alias("cv")), "v")
-    merged = graph.components(late.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-
-    final = comp.join(merged.select(F.col("node").alias("comp"), "label"), "comp", "left").select("node", F.coalesce("label", "comp").alias("comp"))
-    final = final.join(nodes.select("node", "doc_id"), "node")
+    # what is left: groups of different components that have an index token in common
+    comp = members.select("node").join(known, "node", "left").select("node", F.coalesce("label", "node").alias("comp"))
+    count = comp.groupBy("comp").agg(F.count("*").alias("csize")).where(F.col("csize") >= p.pooled)
+    comp = comp.join(count, "comp", "left").select("node", "comp", "csize", F.when(F.col("csize").isNotNull(), F.col("comp")).alias("large"))
+    comp = materialise(_lots(kind.drop("gid").join(comp, "node"), ["top", "band", "reach", "large"], p, "uid"), "jaccard-comp")
+    at = index.select("token", "node", "cap").join(comp.select("node", "n", "uid", "large", "csize"), "node")
+    at = at.groupBy("token", "uid", "large", "csize").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("cap").alias("cap"))
+    top = at.groupBy("token").agg(F.max(F.when(F.col("large").isNotNull(), F.struct("csize", "large"))).alias("t"))
+    at = at.join(top, "token").select("token", "uid", "large", "n0", "n1", "cap", F.coalesce(F.col("large") == F.col("t.large"), F.lit(False)).alias("main"))
+    ask = at.where("NOT main").select("token", *[F.col(c).alias(f"q_{c}") for c in ("uid", "large", "n0", "n1", "cap")])
+    once = F.col("main") | (F.col("q_uid") < F.col("uid")) | ((F.col("q_uid") == F.col("uid")) & F.col("large").isNull())
+    apart = F.col("q_large").isNull() | F.col("large").isNull() | (F.col("q_large") != F.col("large"))
+    fits = (F.col("q_cap") >= F.col("n0")) & (F.col("cap") >= F.col("q_n0")) & (100 * F.col("q_n1") >= p.percent * F.col("n0")) & (100 * F.col("n1") >= p.percent * F.col("q_n0"))
+    meet = materialise(ask.join(at, "token").where(once & apart & fits).select("q_uid", "uid").distinct(), "jaccard-meet")
+    pid = F.xxhash64("q_uid", "uid").alias("pid")
+    sides = meet.select(pid, F.when(F.col("q_uid") == F.col("uid"), F.lit(2)).otherwise(F.lit(0)).alias("side"), F.col("q_uid").alias("unit"))
+    sides = sides.unionByName(meet.where("q_uid <> uid").select(pid, F.lit(1).alias("side"), F.col("uid").alias("unit")))
+    hoard = comp.select("node", "comp", F.col("uid").alias("unit")).join(members.select("node", "tokens"), "node")
+    late = sides.join(hoard, "unit").select(columns).groupBy("pid").applyInArrow(_open_pair(p), "u long, v long")
+    merged = graph.components(late)
+
+    final = comp.select("node", "doc_id", "comp").join(merged.select(F.col("node").alias("comp"), "label"), "comp", "left").select("node", "doc_id", F.coalesce("label", "comp").alias("comp"))
     smallest = final.groupBy("comp").agg(F.min("doc_id").alias("component"))
     by_node = final.join(smallest, "comp").select("node", "component")
-    named = nodes.select("node", F.col("doc_id").alias("own")).join(by_node, "node", "left").select("node", F.coalesce("component", "own").alias("component"))
+    own = usable.groupBy("node").agg(F.min("doc_id").alias("own"), F.count("*").alias("c")).where("c > 1").drop("c")
+    named = materialise(own.join(by_node, "node", "full").select("node", F.coalesce("component", "own").alias("component")), "jaccard-named")
+    release(index, kind, members, known, comp, meet, merged)
     key = F.when(F.col("doc_id").isNotNull(), F.col("node"))
     out = sketch.select("doc_id", "n_shingles", key.alias("node")).join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -311,4 +407,6 @@ def one_of_each(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """
     linked_to = link_components(docs, p)
     gone = materialise(linked_to.where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
+    if gone.count() <= p.broadcast_rows:
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -150,11 +150,32 @@ def test_links_are_exact(spark, words, percent):
         for _ in range(rng.randrange(4)):
             w[rng.randrange(len(w))] = rng.choice(vocabulary)
         rows.append((k, " ".join(w + (passage if k % 5 == 0 else []))))
-    p = jaccard_join.Params(words=words, percent=percent, group=4, block=4)
+    p = jaccard_join.Params(words=words, percent=percent, group=4, pooled=3, chunk_bytes=3000, range_bytes=5000)
     got = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, words, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_families_about_the_threshold(spark, percent):
+    """Sets of 20 to 30 and 90 to 110 single words that lie close to the threshold, and four in which a bound once lost a link."""
+    rng = random.Random(percent)
+    base = [f"w{k}" for k in range(24)]
+    rows = [(1, base), (2, base[:20] + ["x0"]), (3, base[:20]), (4, [*base[:20], "x1", "x2", "x3", "x4"])]
+    for low, high in ((20, 30), (90, 110)):
+        for family in range(4):
+            core = [f"c{low}.{family}.{k}" for k in range(high)]
+            for _ in range(35):
+                n = rng.randint(low, high)
+                lost = rng.randrange(1 + n * (100 - percent) // 100)
+                fresh = [rng.choice((f"o{len(rows)}.{k}", f"s{family}.{k}")) for k in range(lost)]
+                rows.append((len(rows) + 1, rng.sample(core, n - lost) if family % 2 else core[: n - lost], fresh))
+    rows = [(r[0], " ".join([*r[1], *(r[2] if len(r) > 2 else [])])) for r in rows]
+    p = jaccard_join.Params(words=1, percent=percent, group=16, pooled=4, chunk_bytes=9000, range_bytes=20000)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()}
+    assert got == brute_components(rows, 1, percent)
+    assert len({c for _, c in got.values()}) < len(got) and (percent == 90 or got[2][1] == 1)
+
+
 # packing
 def fewest(items, capacity):
     best = [len(items)]
