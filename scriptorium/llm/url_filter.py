@@ -1,11 +1,12 @@
 """URL filter: exact rules first, then a path-template tree per host.
 
 Per host the paths form a tree of segments. Level by level a segment becomes a
-wildcard when it is lexically variable (digits, hashes, dates), when its parent
-has many rare children, or when its share of bad labels cannot be told from its
-siblings' (two-proportion test on smoothed shares): statistically similar
-branches merge. A template is rejected when its labelled purity, smoothed
-towards ``prior`` by ``strength`` pseudo-labels, reaches ``reject_at``.
+wildcard when it is lexically variable (digits, hashes, dates) or when its parent has many rare children;
+branches with labels enough whose shares of bad ones cannot be told apart
+(two-proportion test on smoothed shares) merge into one. A template's labelled purity is smoothed
+by ``strength`` pseudo-labels towards that of the branch above it, and the host's
+towards ``prior``, so a branch without labels is judged as its host is and one
+with labels by its own. Templates whose purity reaches ``reject_at`` are rejected.
 
 All steps are DataFrame expressions. Paths are first folded to lexical shapes
 and counted, so a hot host is pre-aggregated before each shuffle; nothing is
@@ -16,10 +17,12 @@ occur; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ._common import materialise
 
@@ -80,41 +83,63 @@ def shape(path: Column, depth: int) -> Column:
     return F.concat(F.slice(folded, 1, depth), rest)
 
 
-def _share(bad: Column, labelled: Column, p: TreeParams) -> Column:
-    return (bad + p.prior * p.strength) / (labelled + p.strength)
+def _smooth(bad: Column, labelled: Column, towards: Column, p: TreeParams) -> Column:
+    return (bad + towards * p.strength) / (labelled + p.strength)
+
+
+def _alike(node: DataFrame, share: Callable[[str, str], Column], p: TreeParams) -> DataFrame:
+    """Runs of branches, ordered by their share of bad labels, in which each is like the one before (two-proportion test).
+
+    Branches are pooled by thousandths of that share first, so a parent has at most 1,001 rows here, however many branches.
+    """
+    pooled = node.where("bucket IS NOT NULL").groupBy("host", "template", "bucket").agg(F.sum("c_lab").alias("lab"), F.sum("c_bad").alias("bad"), F.count("*").alias("branches"))
+    row = W.partitionBy("host", "template").orderBy("bucket")
+    pooled = pooled.withColumn("lab0", F.lag("lab").over(row)).withColumn("bad0", F.lag("bad").over(row))
+    both = pooled.withColumn("lab2", F.col("lab") + F.col("lab0")).withColumn("bad2", F.col("bad") + F.col("bad0"))
+    one = share("bad2", "lab2")
+    spread = F.sqrt(one * (1 - one) * (1 / (F.col("lab") + p.strength) + 1 / (F.col("lab0") + p.strength)))
+    apart = F.coalesce(F.abs(share("bad", "lab") - share("bad0", "lab0")) > p.z * spread, F.lit(True))
+    runs = both.withColumn("kind", F.sum(apart.cast("int")).over(row))
+    return runs.select("host", "template", "bucket", "kind", F.sum("branches").over(W.partitionBy("host", "template", "kind")).alias("kin"))
 
 
 def templates(urls: DataFrame, p: TreeParams = TreeParams()) -> DataFrame:
-    """(host, shape) -> template, labelled, bad, purity, from rows of (host, shape, label 0/1/null)."""
-    tree = urls.groupBy("host", "shape").agg(
-        F.count("*").alias("n"), F.count("label").alias("lab"), F.coalesce(F.sum(F.col("label").cast("long")), F.lit(0)).alias("bad")
-    ).withColumn("template", F.lit(""))
+    """(host, shape) -> template, purity, from rows of (host, shape, label 0/1/null)."""
+    tree = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("label").alias("lab"), F.coalesce(F.sum(F.col("label").cast("long")), F.lit(0)).alias("bad"))
     tree = materialise(tree, "url-tree")
-    deepest = tree.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(deepest):
-        tree = tree.withColumn("seg", F.when(F.size("shape") > level, F.get("shape", F.lit(level))).otherwise(""))  # no segment is empty
-        child = tree.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(f"c_{c}") for c in ("n", "lab", "bad")])
-        parent = child.groupBy("host", "template").agg(*[F.sum(f"c_{c}").alias(f"p_{c}") for c in ("n", "lab", "bad")], F.sum((F.col("seg") != "").cast("int")).alias("fan"))
+    hosts = tree.groupBy("host").agg(_smooth(F.sum("bad"), F.sum("lab"), F.lit(p.prior), p).alias("purity"))
+    deepest = tree.agg(F.max(F.size("shape"))).first()[0]
+    tree = materialise(tree.join(hosts, "host").withColumn("template", F.lit("")), "url-tree")
+    for level in range(0 if deepest is None else deepest + 1):
+        ended = F.size("shape") < level  # the template was complete before
+        tree = tree.withColumn("seg", F.when(ended, None).when(F.size("shape") > level, F.get("shape", F.lit(level))).otherwise(""))  # no segment is empty
+        child = tree.where("seg IS NOT NULL").groupBy("host", "template", "seg").agg(*[F.sum(c).alias(f"c_{c}") for c in ("n", "lab", "bad")])
+        parent = child.groupBy("host", "template").agg(F.sum("c_n").alias("p_n"), F.sum((F.col("seg") != "").cast("int")).alias("fan"))
         node = child.join(parent, ["host", "template"])
-        inside, outside = _share(F.col("c_bad"), F.col("c_lab"), p), _share(F.col("p_bad") - F.col("c_bad"), F.col("p_lab") - F.col("c_lab"), p)
-        pooled = _share(F.col("p_bad"), F.col("p_lab"), p)
-        spread = F.sqrt(pooled * (1 - pooled) * (1 / (F.col("c_lab") + p.strength) + 1 / (F.col("p_lab") - F.col("c_lab") + p.strength)))
         rare = (F.col("fan") > p.fan_out) & (F.col("c_n") < p.rare_share * F.col("p_n"))
-        alike = F.abs(inside - outside) <= p.z * spread
-        node = node.select("host", "template", "seg", F.when(F.col("seg") == "", F.lit("")).when(rare | alike, F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("seg"))).alias("step"))
-        tree = tree.join(node, ["host", "template", "seg"]).select("host", "shape", "n", "lab", "bad", F.concat("template", "step").alias("template"))
+        share = lambda bad, lab: _smooth(F.col(bad), F.col(lab), F.lit(p.prior), p)
+        known = (F.col("seg") != "") & ~rare & (F.col("c_lab") >= p.strength)
+        node = node.withColumn("rare", rare).withColumn("bucket", F.when(known, F.floor(1000 * share("c_bad", "c_lab"))))
+        node = node.join(_alike(node, share, p), ["host", "template", "bucket"], "left")
+        step = F.when(F.col("seg") == "", F.lit("")).when(F.col("rare"), F.lit("/*")).when(F.col("kin") > 1, F.concat(F.lit("/*"), F.col("kind"))).otherwise(F.concat(F.lit("/"), F.col("seg")))
+        node = node.select("host", "template", "seg", "c_lab", "c_bad", F.concat("template", step).alias("longer"), (F.col("seg") == "").alias("last"))
+        told = node.groupBy("host", "longer", "last").agg(F.sum("c_bad").alias("t_bad"), F.sum("c_lab").alias("t_lab"))
+        node = node.join(told, ["host", "longer", "last"]).select("host", "template", "seg", "longer", "t_bad", "t_lab")
+        purity = F.when(F.col("longer").isNull(), F.col("purity")).otherwise(_smooth(F.col("t_bad"), F.col("t_lab"), F.col("purity"), p))
+        tree = tree.join(node, ["host", "template", "seg"], "left").select("host", "shape", "n", "lab", "bad", F.coalesce("longer", "template").alias("template"), purity.alias("purity"))
         tree = materialise(tree, "url-tree")
-    total = tree.groupBy("host", "template").agg(F.sum("lab").alias("labelled"), F.sum("bad").alias("bad"))
-    judged = total.withColumn("purity", _share(F.col("bad"), F.col("labelled"), p))
-    return tree.select("host", "shape", "template").join(judged, ["host", "template"])
+    return tree.select("host", "shape", "template", "purity")
 
 
 def judge(pages: DataFrame, url: str, rules: list[Rule], p: TreeParams = TreeParams()) -> DataFrame:
-    """Adds host, path, rule, verdict, template and purity; rule verdicts are the labelled examples."""
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    parsed = pages.withColumn("host", host).withColumn("path", path)
+    """Adds host, path, rule, verdict, template and purity, which replace columns of these names; rule verdicts are the labelled examples."""
+    made = ("host", "path", "rule", "verdict", "template", "purity")
+    kept = [F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(pages.columns)]
+    names = dict(zip((f"_in{k}" for k in range(len(kept))), pages.columns, strict=True))
+    parsed = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, given = rule_columns(rules, F.col("host"), F.col("path"))
     parsed = parsed.withColumn("rule", rule).withColumn("given", given).withColumn("shape", shape(F.col("path"), p.depth))
     tree = templates(parsed.select("host", "shape", F.when(F.col("given") == "block", 1).when(F.col("given") == "allow", 0).alias("label")), p)
     learned = F.when(F.col("purity") >= p.reject_at, "block").otherwise("allow")
-    return parsed.join(tree, ["host", "shape"], "left").withColumn("verdict", F.coalesce("given", learned)).drop("given", "shape")
+    out = parsed.join(tree, ["host", "shape"], "left").withColumn("verdict", F.coalesce("given", learned))
+    return out.select(*[F.col(k).alias(c) for k, c in names.items() if c not in made], *made)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import ctph, decontam, html_extract, jaccard_join, packing, quality, queries, sharding, toxicity, warc
+from scriptorium.llm import ctph, decontam, html_extract, jaccard_join, packing, quality, queries, sharding, toxicity, url_filter, warc
 from scriptorium.llm.q08_packing import WordIds
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +33,30 @@ def test_sql(name, spark):
     assert order(tuple(r) for r in got.select(*shared).collect()) == order(tuple(r[want.columns.index(c)] for c in shared) for r in want.fetchall())
 
 
+def test_url_tree_rejects_and_keeps_templates(spark):
+    rows = queries.QUERIES["op1_url_filter"](spark, "/root/testdata/sf0.1").where("rule IS NULL").groupBy("verdict").agg(F.min("purity").alias("low"), F.max("purity").alias("high"), F.countDistinct("host", "template").alias("n")).collect()
+    got = {r.verdict: r for r in rows}
+    assert got["block"].n > 10 and got["allow"].n > 10 and got["block"].low >= 0.75 > got["allow"].high
+
+
+def test_url_tree_merges_only_what_is_alike(spark):
+    """Two branches with equal shares merge, one with another share and one without labels keep their names."""
+    paths = [("/a/1", 1), ("/b/1", 1), ("/c/1", 0), ("/d/1", None)]
+    urls = [("h", p.strip("/").split("/"), label) for p, label in paths for _ in range(40)] + [("h", ["a", "1"], 0), ("h", ["b", "1"], 0), ("empty", [], None)]
+    got = {(r.host, "/".join(r.shape)): (r.template, r.purity) for r in url_filter.templates(spark.createDataFrame(urls, "host string, shape array<string>, label int")).collect()}
+    assert got["h", "a/1"] == got["h", "b/1"] and got["h", "a/1"][0] == "/*2/1" and got["h", "a/1"][1] > 0.9
+    assert got["h", "c/1"][0] == "/c/1" and got["h", "c/1"][1] < 0.1
+    assert got["h", "d/1"][0] == "/d/1" and abs(got["h", "d/1"][1] - (80 + 0.8) / 126) < 1e-12  # as its host
+    assert got["empty", ""] == ("", 0.2)
+
+
+def test_longest_rule_wins_and_equal_ones_tie_by_order(spark):
+    rules = [url_filter.Rule("block", "com", "/a"), url_filter.Rule("allow", "com", "/ab"), url_filter.Rule("block", "b.com", "/")]
+    pages = spark.createDataFrame([("http://X.COM/ab", "clash"), ("http://x.com/a?b", "clash"), ("http://b.com/abc", "clash"), ("http://com/", "clash")], "url string, host string")
+    got = {r.url: (r.host, r.rule, r.verdict) for r in url_filter.judge(pages, "url", rules).collect()}
+    assert got == {"http://X.COM/ab": ("x.com", "com/ab", "allow"), "http://x.com/a?b": ("x.com", "com/a", "block"), "http://b.com/abc": ("b.com", "b.com/", "block"), "http://com/": ("com", None, "allow")}
+
+
 def test_warc_records_parse_and_hold_the_payload(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/\r\nX: y", "<p>é\r\n\r\nWARC/1.1\r\n</p>"), (2, "http://b/", "")], "page_id long, url string, html string")
     warc.write(pages, str(tmp_path / "w"), F.col("page_id").cast("string"))
@@ -73,15 +97,39 @@ def test_held_out_accuracy(spark):
 
 
 # sharding
-def test_growth_moves_rows_only_into_the_new_shard(spark):
-    docs = spark.range(5000).select("id", (F.col("id") % 97 + 1).alias("size"))
-    stats = sharding.slot_bytes(docs, "id", F.col("size"), 512)
-    first = sharding.first_map(stats, 4, 512)
-    more = sharding.grow(first, stats)
-    assert more.version == 2 and more.shards == 5
-    assert all(a == b or b == 4 for a, b in zip(first.shard, more.shard, strict=True))
-    sums = [r[1] for r in sharding.assign(docs, "id", more).groupBy("shard").agg(F.sum("size")).collect()]
-    assert len(sums) == 5 and max(sums) < 1.1 * min(sums)
+def test_map_is_stored_rebalanced_and_grown(spark, tmp_path):
+    docs = spark.range(5000).select("id", F.when(F.col("id") % 97 == 0, 4000).otherwise(F.col("id") % 97 + 1).alias("size"))
+    stats, path = sharding.slot_bytes(docs, "id", F.col("size"), 512), str(tmp_path / "map")
+    first = sharding.even_map(4, 512)
+    sharding.save(first, spark, path)
+    second = sharding.rebalance(sharding.load(spark, path), stats)
+    sharding.save(second, spark, path)
+    assert sharding.load(spark, path) == second and sharding.load(spark, path, 1) == first and second.version == 2
+    sums = lambda m: [r[1] for r in sharding.assign(docs, "id", m).groupBy("shard").agg(F.sum("size")).collect()]
+    assert max(sums(second)) - min(sums(second)) <= 4 < max(sums(first)) - min(sums(first))
+    moved = [k for k in range(512) if first.shard[k] != second.shard[k]]
+    assert 0 < len(moved) < 64  # the others keep their shard
+    more = sharding.grow(second, stats)
+    assert more.version == 3 and more.shards == 5
+    assert all(a == b or b == 4 for a, b in zip(second.shard, more.shard, strict=True))
+    assert len(sums(more)) == 5 and max(sums(more)) < 1.1 * min(sums(more))
+    with pytest.raises(Exception, match="exist"):
+        sharding.save(second, spark, path)
+
+
+def test_shards_of_all_documents(spark):
+    """op5 against a plain reading of its contract."""
+    import zlib
+
+    rows = queries.QUERIES["op5_sharding"](spark, "/root/testdata/sf0.01").collect()
+    want = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert {(r.doc_id, r["size"], r.text_crc32) for r in rows} == {(k, len(t) + 1, zlib.crc32(t)) for k, t in want.items()} and len(rows) == len(want)
+    shards = collections.defaultdict(list)
+    for r in rows:
+        shards[r.shard].append(r)
+    assert sorted(shards) == list(range(8)) and all(sorted(r.slot for r in x) == list(range(len(x))) for x in shards.values())
+    total = [sum(r["size"] for r in x) for x in shards.values()]
+    assert max(total) < 1.02 * min(total)
 
 
 # decontamination
