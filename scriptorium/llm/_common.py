@@ -8,6 +8,7 @@ never repeat the expensive pass over the texts.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs on one machine."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
     return _LOCAL["dir"]
@@ -152,7 +155,7 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def rank_in(df: DataFrame, group: str, order: list[Column], salts: int, name: str) -> DataFrame:
+def rank_in(df: DataFrame, group: str, order: list[Column], salts: Column, name: str) -> DataFrame:
     """Gapless rank from 0 inside ``group`` without sorting a hot group in one task.
 
     Rows are dealt to ``salts`` lots by hash; a lot is ranked alone and starts
@@ -160,7 +163,7 @@ def rank_in(df: DataFrame, group: str, order: list[Column], salts: int, name: st
     """
     from pyspark.sql import Window as W
 
-    lot = df.withColumn("_lot", F.pmod(F.xxhash64(*[c for c in df.columns if c != group]), F.lit(salts)).cast("int"))
+    lot = df.withColumn("_lot", F.pmod(F.xxhash64(*[c for c in df.columns if c != group]), salts).cast("long"))
     sizes = lot.groupBy(group, "_lot").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(group).orderBy("_lot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inner = W.partitionBy(group, "_lot").orderBy(*order)

@@ -29,7 +29,8 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([
 NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 #: HTML elements by kind.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "noembed", "noframes", "svg", "math", "select", "button", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}  # text without markup, up to their own end
+SKIPPED = {"template", "select", "button", "datalist", "canvas", "audio", "video"}  # controls and what is shown only if a medium is not
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 SECTION = {"article", "main", "section", "nav", "aside", "header", "footer", "form", "body"}
@@ -80,27 +81,28 @@ class _Open:
     outside: bool
     good: bool
     bad: bool
+    article: bool = False
 
 
-_NAMES: dict[str, tuple[bool, bool]] = {}
+_NAMES: dict[tuple[str, bool], tuple[bool, bool]] = {}
 
 
-def _names(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id and role have a name of content, of boilerplate."""
+def _names(attributes: str, heads: bool = False) -> tuple[bool, bool]:
+    """Whether class, id and role have a name of content, of boilerplate. ``heads``: a header belongs to the content."""
     if not attributes or attributes.isspace():
         return False, False
-    got = _NAMES.get(attributes)
+    got = _NAMES.get((attributes, heads))
     if got is None:
         good = bad = False
         for m in ATTRIBUTE.finditer(attributes):
             value = m[2] or m[3] or m[4] or ""
             if m[1].lower() == "hidden" or m[1].lower() == "aria-hidden" and value == "true":
                 bad = True
-            names = {x.lower() for x in NAME.findall(value)}
+            names = {x.lower() for x in NAME.findall(value)} - ({"header"} if heads else set())
             good, bad = good or bool(names & GOOD_NAMES), bad or bool(names & BAD_NAMES)
         if len(_NAMES) >= 20_000:
             _NAMES.clear()
-        got = _NAMES[attributes] = (good, bad)
+        got = _NAMES[attributes, heads] = (good, bad)
     return got
 
 
@@ -119,9 +121,23 @@ def blocks(html: str) -> list[Block]:
             parts, linked, length = [], 0, 0
 
     at, n = 0, len(html)
+    skipped, nested, opened = "", 0, 0  # the element that is passed over; elements of its name, and blocks, open in it
     while at < n:
         m = TOKEN.match(html, at)
         at = m.end()
+        if skipped:
+            tag = (m[2] or "").lower()
+            if tag in RAW and not m[1]:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                at = end.end() if end else n
+            elif tag == skipped:
+                nested += -1 if m[1] else 1
+                skipped = skipped if nested else ""
+            elif tag in BLOCK and tag not in VOID:
+                opened += -1 if m[1] else 1
+                if opened < 0:  # its parent ends: it was never closed
+                    skipped, at = "", m.start()
+            continue
         if m[4] is not None:
             text = unescape(m[4])
             parts.append(text)
@@ -137,6 +153,10 @@ def blocks(html: str) -> list[Block]:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = end.end() if end else n
             parts.append(" ")
+        elif tag in SKIPPED:
+            if not closing and not m[3].endswith("/"):
+                skipped, nested, opened = tag, 1, 0
+            parts.append(" ")
         elif tag == "a":
             links = 0 if closing else 1
         elif tag == "br":
@@ -155,8 +175,10 @@ def blocks(html: str) -> list[Block]:
                 continue
             number += 1
             top = stack[-1]
-            good, bad = _names(m[3])
-            stack.append(_Open(tag, number, number if tag in SECTION or good or bad else top.section, tag in INSIDE or top.inside and tag not in OUTSIDE, tag in OUTSIDE or top.outside and tag not in INSIDE, top.good or good, top.bad or bad and tag != "body"))
+            heads = top.article and not top.outside  # an article's own header holds its title
+            good, bad = _names(m[3], heads)
+            outer = tag in OUTSIDE and not (heads and tag == "header")
+            stack.append(_Open(tag, number, number if tag in SECTION or good or bad else top.section, tag in INSIDE or top.inside and not outer, outer or top.outside and tag not in INSIDE, top.good or good, top.bad or bad and tag != "body", tag == "article" or top.article))
     flush()
     return out
 

@@ -154,11 +154,12 @@ def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(pieces: DataFrame, capacity: int, order: list[str], lots: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, order: list[str], lot_rows: int = 100_000) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` from 1 to ``capacity``.
 
     ``pieces`` is read twice and should be a written table. The broadcast list
     has at most a few rows for each length, so it is bounded by ``capacity``.
+    The pieces of one length are ranked in lots of about ``lot_rows``, as many as their count asks for.
     """
     spark = pieces.sparkSession
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
@@ -168,7 +169,9 @@ def pack(pieces: DataFrame, capacity: int, order: list[str], lots: int = 64) ->
     names = ["length", "lo", "hi", "seq", "k", "at"]
     # one row a length: its slots in order of rank
     table = packed.select(*[F.col("s")[i].alias(n) for i, n in enumerate(names)]).groupBy("length").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "seq", "k", "at"))).alias("slots"))
-    ranked = rank_in(pieces, "length", [F.col(c) for c in order], lots, "_rank")
+    lots = {str(length): -(-n // lot_rows) for length, n in counts.items()}
+    salts = F.coalesce(F.element_at(F.from_json(F.lit(json.dumps(lots)), "map<string,bigint>"), F.col("length").cast("string")), F.lit(1))
+    ranked = rank_in(pieces, "length", [F.col(c) for c in order], salts, "_rank")
     placed = ranked.join(F.broadcast(table), "length").withColumn("_s", F.filter("slots", lambda s: (s["lo"] <= F.col("_rank")) & (F.col("_rank") < s["hi"]))[0])
     index = F.col("_rank") - F.col("_s.lo")
     return placed.withColumn("sequence_id", (F.col("_s.seq") + F.floor(index / F.col("_s.k"))).cast("long")).withColumn(

@@ -42,7 +42,7 @@ class WordIds(dict):
         self.encode, self.model, self.letters = whole.encode, whole.model.tokenize, _byte_letters()
 
     def _ids(self, word: str) -> bytes:
-        if word[-1] in ",.!" and len(word) > 1 and word[-2].isalnum():
+        if word[-1] in ",.!" and len(word) > 1 and word[-2].isascii() and word[-2].isalnum():  # other letters may grow marks in lower case
             return self[word[:-1]] + self[word[-1]]
         if word.isalpha() and max(word) <= "\u00ff":
             low = word.lower()

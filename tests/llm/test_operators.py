@@ -266,7 +266,62 @@ def test_word_ids_equal_the_tokenizer():
         assert np.frombuffer(words.text(s), "<u4").tolist() == whole.encode(s, add_special_tokens=False).ids, s
 
 
+def test_pieces_of_all_documents(spark):
+    """op8 against the whole tokenizer: every document's ids, pieces in order, sequences without gap or overlap, at most one more than the lower bound (89 and 88 here)."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    rows = queries.QUERIES["op8_packing"](spark, SF).collect()
+    got, sequences = collections.defaultdict(list), collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        got[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = np.array([*whole.encode(d.text or "", add_special_tokens=False).ids, 0], "<u4")
+        want = [(k, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for k, at in enumerate(range(0, len(ids), 2048))]
+        assert got.pop(d.doc_id) == want
+    assert not got
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(sequences) <= packing.lower_bound(collections.Counter(r.length for r in rows), 2048) + 1
+
+
+def test_many_pieces_of_one_length_share_lots(spark):
+    pieces = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5 + 1).cast("long").alias("length"))
+    rows = packing.pack(pieces, 10, ["doc_id"], lot_rows=100).collect()
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert len(rows) == 5000 and all(a + n == b for x in bins.values() for (a, n), (b, _) in itertools.pairwise(sorted(x))) and all(sum(n for _, n in x) <= 10 and min(x)[0] == 0 for x in bins.values())
+
+
 # HTML
+def test_pages_with_known_text():
+    """The article and nothing else, over layouts that differ in where the boilerplate stands."""
+    body = ["A title of an article", "The first paragraph has some words, and a <b>bold</b> one.", "A second one follows; it is as long as the first &amp; ends here.", "Short one."]
+    plain = "\n".join(["A title of an article", "The first paragraph has some words, and a bold one.", "A second one follows; it is as long as the first & ends here.", "Short one."])
+    inner = "".join(f"<p>{x}</p>" for x in body[1:])
+    menu, foot = "<nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav>", "<footer><p>Copyright 2020. All rights reserved.</p></footer>"
+    pages = [
+        f"<body>{menu}<article><header class='entry-header'><h1>{body[0]}</h1></header>{inner}</article>{foot}",
+        f"<body><header><a href=/>Site name</a>{menu}</header><main><h1>{body[0]}</h1>{inner}</main><aside><p>You may also like these pages.</p></aside>{foot}",
+        f"<body>{menu}<div id=content><h1>{body[0]}</h1>{inner}</div><div class='sidebar widget'><p>Popular things of the week.</p></div>{foot}",
+        f"<body><div class=cookie-notice><p>We use cookies. Accept all?</p><button>Yes <p>all</p></button></div><article><h1>{body[0]}</h1>{inner}<section class=comments><p>Nice text, thank you for it.</p></section></article>{foot}",
+        f"<body><article><h1>{body[0]}</h1>{inner.replace('</p>', '<button>Share</p>', 1)}<form><select><option>One<option>Two</select></form></article>{foot}",
+        f"<body><article><h1>{body[0]}</h1>{inner}<script>if (a < b) document.write('<p>no</p>')</script><video>No <p>video</p> here</video></article>{foot}",
+    ]
+    for page in pages:
+        assert html_extract.extract(page) == plain, page
+    assert "x squared" in html_extract.extract("<article><p>Here <math><mi>x</mi> squared</math> is a number of some kind.</p></article>").replace("<", "")
+
+
 def test_cut_is_minimal():
     rng = random.Random(0)
     for _ in range(200):
