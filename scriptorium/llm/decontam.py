@@ -3,22 +3,25 @@
 A text is the sequence of its five-word shingles (words are runs of letters and
 digits in lower case). A document is compared with a benchmark item through
 windows as long as the item: a window's 64-bit SimHash adds up the bits of its
-shingles, each weighted by how often it occurs. Item and window fingerprints
-meet through eight byte-wide blocks, each indexed with all values at most two
-bits away, so by the pigeonhole principle no fingerprint within radius 23 is
-missed. What meets is decided by the exact weighted Jaccard similarity of the
-two shingle multisets.
-
-Windows are fingerprinted only where they can matter: a window that reaches the
-threshold shares a known number of shingles with its item, so one of its first
-few positions holds a shingle of the item. That gate loses nothing, and it means
-that documents without any benchmark shingle cost one pass over their text.
-
-Everything is a DataFrame expression. Benchmark shingles are broadcast only if
-they are counted and few enough; beyond that they are joined by a shuffle. Null
-texts and texts without words match nothing; items without words match nothing;
-items of fewer than five words are one shingle of their length; a text shorter
-than an item is one window. Repeated rows and a null doc_id are matched like any.
+shingles, each weighted by how often it occurs. All items are indexed by their
+fingerprints in eight byte-wide blocks, each under all values at most two bits
+away, so by the pigeonhole principle no fingerprint within radius 23 is missed.
+A window finds its items in that index alone, among items of the length that it
+stands for; no word of theirs takes part. What is found is decided by the exact
+weighted Jaccard similarity of the two shingle multisets.
+
+``Params.gate`` is an optimisation that says where windows are fingerprinted: one
+that reaches the threshold with an item of its length shares a known number of
+shingles with it, so one of its first few positions holds a shingle of some item
+of that length. Without the gate every position is fingerprinted for every length
+of an item, with the same result at many times the cost.
+
+Everything is a DataFrame expression. Benchmark shingles and the index are
+broadcast only if they are counted and few enough; beyond that they are joined by
+a shuffle. Null texts and texts without words match nothing; items without words
+match nothing; items of fewer than five words are one shingle of their length; a
+text shorter than an item is one window. Repeated rows and a null doc_id are
+matched like any.
 """
 
 from __future__ import annotations
@@ -39,7 +42,8 @@ _LANES = 0x0000000100000001
 class Params:
     words: int = 5
     similarity: float = 0.8
-    broadcast_rows: int = 1_000_000  # benchmark shingles, or ids of documents with a hit, up to which they are broadcast
+    broadcast_rows: int = 1_000_000  # benchmark shingles, index rows, or ids of documents with a hit, up to which they are broadcast
+    gate: bool = True  # fingerprint only windows near a benchmark shingle
 
 
 def words_of(text: Column) -> Column:
@@ -89,12 +93,12 @@ def common(a: Column, b: Column) -> Column:
 
 
 def item_table(benchmark: DataFrame, p: Params) -> DataFrame:
-    """item_id, size (words a shingle), n, item (its shingles) and its fingerprint."""
+    """item_id, key (a hash of the row), size (words a shingle), n, item (its shingles) and its fingerprint."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     items = items.withColumn("size", F.least(F.size("w"), F.lit(p.words)))
     item = F.coalesce(*[F.when(F.col("size") == k, shingles(F.col("w"), k)) for k in range(1, p.words + 1)])
     items = items.select("item_id", "size", item.alias("item")).distinct()
-    return items.withColumn("n", F.size("item")).withColumn("item_print", simhash(F.col("item")))
+    return items.withColumn("key", F.xxhash64("item_id", "item")).withColumn("n", F.size("item")).withColumn("item_print", simhash(F.col("item")))
 
 
 def _least(n: Column, m: Column, p: Params) -> Column:
@@ -102,61 +106,82 @@ def _least(n: Column, m: Column, p: Params) -> Column:
     return F.ceil(p.similarity / (1 + p.similarity) * (n + m) - 1e-9).cast("int")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, item_id, similarity (best window), start (its first word, from 0), windows (how many reach the threshold)."""
-    items = materialise(item_table(benchmark, p), "decontam-items")
-    known = items.select("item_id", "n", "size", F.explode(F.array_distinct("item")).alias("h"))
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most `words` numbers
-    few = known.count() <= p.broadcast_rows
-    found = None
+def _rows_of(docs: DataFrame, size: int) -> DataFrame:
+    """row (a hash that equal rows share, also without a doc_id), doc_id, total windows of one shingle, s (the shingles)."""
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", words_of(F.col("text")).alias("w"))
+    return texts.select("row", "doc_id", (F.size("w") - size + 1).alias("total"), shingles(F.col("w"), size).alias("s"))
+
+
+def _gated(docs: DataFrame, items: DataFrame, sizes: list[int], p: Params) -> DataFrame:
+    """row, doc_id, size, n, m, start of the windows for items of length n that have a shingle of such an item near their start."""
+    known = items.select("n", "size", F.explode(F.array_distinct("item")).alias("h")).distinct()
+    few, found = known.count() <= p.broadcast_rows, None
     for size in sizes:
         own = known.where(F.col("size") == size)
-        texts = docs.select("doc_id", words_of(F.col("text")).alias("w"))
-        texts = texts.select("doc_id", (F.size("w") - size + 1).alias("total"), shingles(F.col("w"), size).alias("s"))
         # the outer form: from the inner one a filter on the shingles would be inferred and pushed below the words
-        at = texts.select("doc_id", "total", F.posexplode_outer("s").alias("pos", "h"))
+        at = _rows_of(docs, size).select("row", "doc_id", "total", F.posexplode_outer("s").alias("pos", "h"))
         hits = at.join(F.broadcast(own) if few else own, "h")
         window = F.least("n", "total")
         slack = window - _least(F.col("n"), window, p)
         first, last = F.greatest(F.col("pos") - slack, F.lit(0)), F.least(F.col("pos"), F.col("total") - window)
-        starts = hits.where((slack >= 0) & (first <= last)).select("doc_id", "item_id", "size", window.alias("m"), F.explode(F.sequence(first, last)).alias("start"))
+        starts = hits.where((slack >= 0) & (first <= last)).select("row", "doc_id", "size", "n", window.alias("m"), F.explode(F.sequence(first, last)).alias("start"))
         found = starts if found is None else found.unionByName(starts)
-    if found is None:  # no item has words
+    return found.distinct()
+
+
+def _everywhere(docs: DataFrame, items: DataFrame, sizes: list[int], p: Params) -> DataFrame:
+    """As ``_gated``, for every window of every length of an item."""
+    lengths, found = items.select("size", "n").distinct().collect(), None  # no more than an item has shingles
+    for size in sizes:
+        own = F.array(*[F.lit(r.n) for r in lengths if r["size"] == size])
+        at = _rows_of(docs, size).select("row", "doc_id", "total", F.explode(own).alias("n")).where("total > 0")
+        window = F.least("n", "total")
+        starts = at.where(_least(F.col("n"), window, p) <= window).select("row", "doc_id", F.lit(size).alias("size"), "n", window.alias("m"), F.explode(F.sequence(F.lit(0), F.col("total") - window)).alias("start"))
+        found = starts if found is None else found.unionByName(starts)
+    return found.distinct()
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
+    """doc_id, item_id, similarity (best window), start (its first word, from 0), windows (how many reach the threshold)."""
+    items = materialise(item_table(benchmark, p), "decontam-items")
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most `words` numbers
+    if not sizes:  # no item has words
         none = docs.sparkSession.range(0)
         return none.select(*[F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("item_id", "long"), ("similarity", "double"), ("start", "int"), ("windows", "long"))])
-    found = materialise(found.distinct(), "decontam-starts")
+    found = materialise((_gated if p.gate else _everywhere)(docs, items, sizes, p), "decontam-starts")
 
     # the shingles of these windows, from the documents that have any
-    asked = found.groupBy(F.col("doc_id").alias("asked"), "size").agg(F.collect_set(F.struct("start", "m")).alias("spans"))
-    ids = found.select(F.col("doc_id").alias("id")).distinct()
+    asked = found.groupBy("row", "size").agg(F.collect_set(F.struct("start", "m", "n")).alias("spans"))
+    ids = found.select("row").distinct()
     some = ids.count() <= p.broadcast_rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if some else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    texts = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("asked"))).select("doc_id", "size", words_of(F.col("text")).alias("w"), "spans")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text").join(F.broadcast(ids) if some else ids, "row", "left_semi")
+    texts = texts.join(asked, "row").select("doc_id", "size", words_of(F.col("text")).alias("w"), "spans")
     hashes = F.coalesce(*[F.when(F.col("size") == k, shingles(F.col("w"), k)) for k in sizes])
     texts = texts.select("doc_id", "size", hashes.alias("s"), "spans")
     spans = texts.select("doc_id", "size", "s", F.explode("spans").alias("span"))  # the hashes are made once, below the explode
-    spans = spans.select("doc_id", "size", F.col("span.start").alias("start"), F.col("span.m").alias("m"), F.slice("s", F.col("span.start") + 1, F.col("span.m")).alias("window"))
-    windows = spans
-    windows = materialise(windows.where(F.size("window") == F.col("m")).distinct().withColumn("window_print", simhash(F.col("window"))), "decontam-windows")
-
-    # fingerprints meet block by block
-    pairs = windows.join(found.withColumnRenamed("doc_id", "asked").drop("m"), F.col("doc_id").eqNullSafe(F.col("asked")) & (windows["size"] == found["size"]) & (windows["start"] == found["start"]))
-    pairs = pairs.select("doc_id", "item_id", windows["start"], "window", "window_print")
-    probes = pairs.select("*", F.explode(blocks(F.col("window_print"))).alias("b")).select("*", "b.block", "b.value").drop("b")
-    index = items.select("item_id", "item", "n", "item_print", F.explode(blocks(F.col("item_print"))).alias("b"))
-    index = index.select("item_id", "item", "n", "item_print", "b.block", F.explode(near_bytes(F.col("b.value"))).alias("value"))
-    met = probes.join(index.select("item_id", "block", "value", "item_print"), ["item_id", "block", "value"])
-    near = met.where(F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print"))) <= RADIUS).select("doc_id", "item_id", "start", "window").distinct()
+    spans = spans.select("doc_id", "size", F.col("span.n").alias("n"), F.col("span.start").alias("start"), F.slice("s", F.col("span.start") + 1, F.col("span.m")).alias("window")).distinct()
+    windows = materialise(spans.withColumn("window_print", simhash(F.col("window"))), "decontam-windows")
+
+    # the index: items by (length, block, value); a pair counts at the first block in which it meets
+    index = items.select("key", "size", "n", "item_print", F.explode(blocks(F.col("item_print"))).alias("b"))
+    index = materialise(index.select("key", "size", "n", "item_print", "b.block", F.explode(near_bytes(F.col("b.value"))).alias("value")), "decontam-index")
+    few = index.count() <= p.broadcast_rows
+    probes = windows.select("*", F.explode(blocks(F.col("window_print"))).alias("b")).select("*", "b.block", "b.value").drop("b")
+    apart = F.col("window_print").bitwiseXOR(F.col("item_print"))
+    met_at = F.coalesce(*[F.when(F.bit_count(F.shiftrightunsigned(apart, 8 * k).bitwiseAND(F.lit(255))) <= FLIPS, k) for k in range(BLOCKS)])
+    met = probes.join(F.broadcast(index) if few else index, ["size", "n", "block", "value"])
+    near = met.where((F.col("block") == met_at) & (F.bit_count(apart) <= RADIUS)).select("doc_id", "key", "start", "window")
 
     # the exact similarity decides
-    exact = near.join(items.select("item_id", "item", "n"), "item_id")
-    both = common(F.col("window"), F.col("item"))
-    exact = exact.withColumn("both", both).withColumn("similarity", F.col("both") / (F.col("n") + F.size("window") - F.col("both")))
-    best = exact.where(F.col("similarity") >= p.similarity - 1e-12).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("top"), F.count("*").alias("windows"))
+    exact = near.join(F.broadcast(items) if few else items, "key")
+    exact = exact.select("doc_id", "item_id", "start", "n", F.size("window").alias("m"), common(F.col("window"), F.col("item")).alias("both"))
+    exact = exact.withColumn("similarity", F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).where(F.col("similarity") >= p.similarity - 1e-12)
+    best = exact.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("top"), F.count("*").alias("windows"))
     return best.select("doc_id", "item_id", F.col("top.similarity").alias("similarity"), (-F.col("top.back")).alias("start"), "windows")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """``docs`` without those that hold any item; all rows without a doc_id count as one document."""
-    gone = materialise(matches(docs, benchmark, p).select(F.col("doc_id").alias("_gone")).distinct(), "decontam-gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = materialise(matches(docs, benchmark, p).select(F.col("doc_id")).distinct(), "decontam-gone")
+    gone = F.broadcast(gone) if gone.count() <= p.broadcast_rows else gone
+    return docs.alias("all").join(gone.alias("gone"), F.col("all.doc_id").eqNullSafe(F.col("gone.doc_id")), "left_anti")

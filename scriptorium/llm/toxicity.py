@@ -6,6 +6,11 @@ identity term is written again with each other term of its group, and the loss
 grows with the squared change of the score, so that a mention of a group by
 itself moves no score. Labels, languages, sources and ids are not inputs.
 
+Terms are listed for English, German, French and Spanish. Where no labelled
+sentence mentions any, as in the given tables, there is nothing to swap and the
+fit is a plain logistic one; ``Model.mentions`` and ``Model.swaps`` say how much
+there was.
+
 Null and empty texts have no words and get the model's base score; repeated
 rows get equal scores; without any labels the score is 0.5 throughout (0 or 1
 alone in the labels gives a constant near it). Texts are scored whole.
@@ -24,14 +29,41 @@ from pyspark.sql import DataFrame
 
 from ._fit import filter_by_score, minimise, sigmoid, training_rows, weights
 
-#: Identity terms by group; within a group any term may stand for any other.
+#: Identity terms by language and group; within a group any term may stand for any other.
 IDENTITY_TERMS = (
-    ("woman", "man"), ("women", "men"), ("girl", "boy"), ("mother", "father"), ("female", "male"),
+    # English
+    ("woman", "man"), ("women", "men"), ("girl", "boy"), ("girls", "boys"), ("mother", "father"), ("wife", "husband"), ("female", "male"),
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"), ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
     ("black", "white", "asian", "latino", "african", "european"), ("gay", "straight", "lesbian", "bisexual", "transgender"),
     ("immigrant", "citizen", "refugee"), ("immigrants", "citizens", "refugees"), ("old", "young"), ("disabled", "deaf", "blind"),
+    # German
+    ("frau", "mann"), ("frauen", "männer"), ("mädchen", "junge"), ("mutter", "vater"), ("weiblich", "männlich"),
+    ("christ", "muslim", "jude", "hindu", "buddhist", "atheist"), ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("christliche", "muslimische", "jüdische", "hinduistische", "buddhistische"), ("schwarze", "weiße", "asiatische", "afrikanische", "europäische"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell"), ("einwanderer", "flüchtlinge", "staatsbürger"), ("alte", "junge"), ("behinderte", "gehörlose", "blinde"),
+    # French
+    ("femme", "homme"), ("femmes", "hommes"), ("fille", "garçon"), ("mère", "père"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"), ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noir", "blanc", "asiatique", "africain", "européen"), ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("gay", "lesbienne", "bisexuel", "hétérosexuel"), ("immigré", "réfugié", "citoyen"), ("immigrés", "réfugiés", "citoyens"), ("vieux", "jeune"), ("handicapé", "sourd", "aveugle"),
+    # Spanish
+    ("mujer", "hombre"), ("mujeres", "hombres"), ("niña", "niño"), ("madre", "padre"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"), ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negro", "blanco", "asiático", "africano", "europeo"), ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("gay", "lesbiana", "bisexual", "heterosexual"), ("inmigrante", "refugiado", "ciudadano"), ("inmigrantes", "refugiados", "ciudadanos"), ("viejo", "joven"), ("discapacitado", "sordo", "ciego"),
 )
-GROUP = {t: g for g in IDENTITY_TERMS for t in g}
+
+
+def _counterparts() -> dict[str, tuple[str, ...]]:
+    """For each term all others of its groups, in the order in which they are listed."""
+    out: dict[str, dict[str, None]] = {}
+    for group in IDENTITY_TERMS:
+        for t in group:
+            out.setdefault(t, {}).update(dict.fromkeys(x for x in group if x != t))
+    return {t: tuple(x) for t, x in out.items()}
+
+
+GROUP = _counterparts()
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 
@@ -60,6 +92,8 @@ class Model:
     bias: float
     prefixes: tuple[int, ...]
     memo: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    mentions: int = 0  # labelled sentences with an identity term
+    swaps: int = 0  # their counterfactuals
 
     def counts(self, text: str | None) -> tuple[np.ndarray, int]:
         words = WORD.findall((text or "").lower())
@@ -105,7 +139,7 @@ def fit(texts: list[str | None], y: np.ndarray, totals: dict[int, int], p: Param
         x[i] = model.inputs(t)
     model.scale = (1 / np.maximum(x.std(0), 1e-2)) if len(texts) else np.ones(k)
     x *= model.scale.astype(np.float32)
-    swaps = _swaps(model, texts) * model.scale.astype(np.float32)
+    model.mentions, model.swaps, swaps = _swaps(model, texts)
     w8 = weights(y, totals) / max(len(y), 1)
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
@@ -114,10 +148,10 @@ def fit(texts: list[str | None], y: np.ndarray, totals: dict[int, int], p: Param
         error = w8 * (sigmoid(z) - y)
         value = float(w8 @ (np.logaddexp(0, z) - y * z)) + p.ridge / 2 * float(w @ w)
         grad = np.append(x.T @ error.astype(np.float32) + p.ridge * w, error.sum())
-        if len(swaps):
-            change = swaps @ w.astype(np.float32)
-            value += p.swap / 2 * float(change @ change) / len(swaps)
-            grad[:-1] += p.swap * (swaps.T @ change) / len(swaps)
+        if swaps is not None:
+            change = swaps @ w  # the mean of squared changes as a quadratic form
+            value += p.swap / 2 * float(w @ change)
+            grad[:-1] += p.swap * change
         return value, grad
 
     v = minimise(loss, np.zeros(k + 1)) if len(y) else np.zeros(k + 1)
@@ -126,17 +160,36 @@ def fit(texts: list[str | None], y: np.ndarray, totals: dict[int, int], p: Param
     return model
 
 
-def _swaps(model: Model, texts: list[str | None]) -> np.ndarray:
-    """For each labelled sentence with an identity term, its inputs less those of each counterfactual."""
-    out: list[np.ndarray] = []
+def _swaps(model: Model, texts: list[str | None], block: int = 512) -> tuple[int, int, np.ndarray | None]:
+    """Labelled sentences with an identity term, counterfactuals that change an input, and the mean outer product of these changes.
+
+    Changes are added up a block at a time, so memory follows the number of inputs, not that of mentions.
+    """
+    k, rows, changed, sentences = 2 * len(model.index), [], 0, 0
+    total = np.zeros((k, k))
+
+    def add() -> None:
+        x = np.array(rows, np.float32) * model.scale.astype(np.float32)
+        total[:] += x.T @ x
+        rows.clear()
+
     for t in texts:
         for s in SENTENCE.findall((t or "").lower()):
             words = WORD.findall(s)
-            for term in {w for w in words if w in GROUP}:
+            terms = {w for w in words if w in GROUP}
+            sentences += bool(terms)
+            for term in sorted(terms):
                 own = model.inputs(s)
-                out += [own - model.inputs(" ".join(other if w == term else w for w in words)) for other in GROUP[term] if other != term]
-    changed = [d for d in out if d.any()]
-    return np.array(changed, np.float32).reshape(len(changed), 2 * len(model.index))
+                for other in GROUP[term]:
+                    change = own - model.inputs(" ".join(other if w == term else w for w in words))
+                    if change.any():
+                        rows.append(change)
+                        changed += 1
+                        if len(rows) == block:
+                            add()
+    if rows:
+        add()
+    return sentences, changed, total / changed if changed else None
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:

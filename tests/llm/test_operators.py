@@ -88,6 +88,27 @@ def test_identity_swaps_move_no_score():
     assert fair.score(["awful scum " + filler()])[0] > fair.score([filler()])[0] + 1
 
 
+def test_neutral_mentions_on_real_texts(spark):
+    """The given texts with group mentions planted, mostly in toxic ones: the penalty frees neutral mentions of toxicity and keeps the accuracy."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("length(text) < 6000").orderBy("doc_id").collect()
+    rng = random.Random(4)
+    toxic = [d.text for d in docs if d.toxic == 1]
+    clean = [d.text for d in docs if d.toxic == 0][: 2 * len(toxic)]
+    plant = lambda t, term: f"{t}\nThe {term} walk here. So the {term} are. And {term} there."
+    cut, half = len(toxic) * 2 // 3, len(clean) * 2 // 3
+    texts = [plant(t, "muslims") if rng.random() < 0.8 else t for t in toxic[:cut]] + [plant(t, "christians") if rng.random() < 0.5 else t for t in clean[:half]]
+    y = np.array([1.0] * cut + [0.0] * half)
+    totals = {0: half, 1: cut}
+    free, fair = (toxicity.fit(texts, y, totals, toxicity.Params(swap=s)) for s in (0.0, 20.0))
+    assert fair.mentions == free.mentions > 200 and fair.swaps > fair.mentions
+    short = [" ".join(t.split()[:40]) for t in clean[half:]]
+    wrong = lambda m: float(np.mean(m.score([plant(t, "muslims") for t in short]) > 0))
+    gap = lambda m: float(np.mean(np.abs(m.score([plant(t, "muslims") for t in short]) - m.score([plant(t, "christians") for t in short]))))
+    right = lambda m: float(np.mean(np.concatenate((m.score(toxic[cut:]) > 0, m.score(clean[half:]) <= 0))))
+    print("false positives", wrong(free), wrong(fair), "gap", gap(free), gap(fair), "accuracy", right(free), right(fair))
+    assert wrong(fair) < 0.5 * wrong(free) and gap(fair) < 0.2 * gap(free) and right(fair) > 0.9
+
+
 def test_held_out_accuracy(spark):
     labels = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     for name, label, least in (("op4_toxicity", "toxic", 0.93), ("op10_quality", "quality", 0.97)):
@@ -165,6 +186,21 @@ def test_decontamination_is_exact(spark):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got.collect()} == brute_matches(docs, items)
 
 
+def test_the_index_finds_the_same_without_the_gate(spark):
+    """All windows of all documents in the index of fingerprints, against the gated ones, on whole small tables."""
+    rng = random.Random(8)
+    items = [(k, " ".join(rng.choice("abcdefghij") + str(rng.randrange(9)) for _ in range(rng.choice([2, 7, 25, 26])))) for k in range(12)]
+    docs = []
+    for k in range(40):
+        w = items[k % 12][1].split()
+        if k % 3:
+            w[rng.randrange(len(w))] = "zz"
+        docs.append((k if k % 5 else None, " ".join(["x", "y", *(f"q{rng.randrange(50)}" for _ in range(rng.randrange(20))), *w, "end"])))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda gate: sorted(map(repr, decontam.matches(docs, items, decontam.Params(gate=gate)).collect()))
+    assert rows(False) == rows(True) and len(rows(True)) > 10
+
+
 # Jaccard join
 def brute_components(rows, words, percent):
     sets = {}
