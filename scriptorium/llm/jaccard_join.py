@@ -36,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,9 +51,10 @@ class Params:
 
     The others change only the cost, never the links: ``group`` nodes and ``group_tokens``
     tokens at most in a group (one longer document is a group of its own), components below
-    ``pooled`` nodes share groups, ``chunk_bytes`` of text are counted at a time, each task
-    of the census counts the tokens of about ``range_bytes`` of text, and up to
-    ``broadcast_rows`` counted ids are broadcast to fetch texts.
+    ``pooled`` nodes share groups, ``chunk_bytes`` of text are counted at a time, a group of
+    the census counts the tokens of about ``range_bytes`` of text (of up to
+    ``most_range_bytes`` where there are many, so that a chunk has more than a token or
+    two for each), and up to ``broadcast_rows`` counted ids are broadcast to fetch texts.
     """
 
     words: int = 5
@@ -60,8 +62,9 @@ class Params:
     group: int = 256
     group_tokens: int = 500_000
     pooled: int = 64
-    chunk_bytes: int = 8 << 20
+    chunk_bytes: int = 4 << 20
     range_bytes: int = 8 << 20
+    most_range_bytes: int = 128 << 20
     broadcast_rows: int = 1_000_000
 
 
@@ -110,7 +113,7 @@ def _count_out(p: Params, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for whole in batches:
-            _, offsets = flat_bytes(whole.column(1))
+            offsets = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(whole.column(1)), 0), np.int64))))
             for i, j in ((s, min(s + 32768, j)) for i, j in pieces(offsets, most) for s in range(i, j, 32768)):
                 b = whole.slice(i, j - i)
                 valid = np.asarray(b.column(0).is_valid())
@@ -174,9 +177,9 @@ def _heads(p: Params):
     percent = p.percent
 
     def run(table: pa.Table) -> pa.Table:
-        own = table.filter(pa.compute.equal(table["kind"], 1))
+        own = table.filter(pc.equal(table["kind"], 1))
         ids, n, node, valid, key, doc = (_joined(own[c], k)[0] for c, k in zip("abcdef", (np.int64, np.uint32, np.int64, np.uint8, np.uint64, np.uint16), strict=True))
-        told = table.filter(pa.compute.equal(table["kind"], 2))
+        told = table.filter(pc.equal(table["kind"], 2))
         place = np.asarray(told["place"].to_numpy(), np.uint64) << np.uint64(32)
         (one, at), (one_doc, _), (level, _), (many, many_at), (many_level, _) = (_joined(told[c], k) for c, k in zip("abcde", (np.uint32, np.uint16, np.uint8, np.uint32, np.uint8), strict=True))
         one = one | np.repeat(place, np.diff(at))
@@ -200,9 +203,9 @@ def _heads(p: Params):
         null = pa.scalar(None, pa.int64())
         return pa.table(
             {
-                "doc_id": pa.compute.if_else(pa.array(valid.astype(bool)), pa.array(ids), null),
+                "doc_id": pc.if_else(pa.array(valid.astype(bool)), pa.array(ids), null),
                 "n_shingles": pa.array(size),
-                "node": pa.compute.if_else(some, pa.array(node), null),
+                "node": pc.if_else(some, pa.array(node), null),
                 "head": _lists(key[kept].view(np.int64), counts),
                 "cap": _lists(cap[kept], counts),
             }
@@ -215,7 +218,7 @@ def sketches(docs: DataFrame, p: Params) -> DataFrame:
     """doc_id, n_shingles, node (hash of the set), head (the tokens that index the set), cap (for each, the largest set it can be linked with)."""
     texts = docs.select("doc_id", "text")
     bytes_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-bytes_ // p.range_bytes))
+    ranges = max(1, min(-(-bytes_ // p.range_bytes), 4096 + bytes_ // p.most_range_bytes))
     out = texts.mapInArrow(_count_out(p, ranges), f"to long, chunk long, {_ROW}")
     census = materialise(out.groupBy("to").applyInArrow(_answer, f"chunk long, {_ROW}"), "jaccard-census")
     heads = materialise(census.groupBy("chunk").applyInArrow(_heads(p), "doc_id long, n_shingles long, node long, head array<long>, cap array<long>"), "jaccard-sketch")
