@@ -102,7 +102,7 @@ class Model:
             got = memo.get(w)
             if got is None:
                 got = tuple(self.index[g] for g in grams(w, self.prefixes) if g in self.index)
-                if len(memo) >= 500_000:
+                if len(memo) >= 100_000:
                     memo.clear()
                 memo[w] = got
             if got:
@@ -119,10 +119,16 @@ class Model:
 
 
 def fit(texts: list[str | None], y: np.ndarray, totals: dict[int, int], p: Params = Params()) -> Model:
-    doc_words = [Counter(WORD.findall((t or "").lower())) for t in texts]
+    def all_grams() -> Iterator[tuple[set[str], int]]:
+        for t, label in zip(texts, y, strict=True):
+            yield {g for w in set(WORD.findall((t or "").lower())) for g in grams(w, p.prefixes)}, int(label)
+
+    often = np.zeros(1 << 20, np.int32)  # most grams are in one text only; they are never kept as strings
+    for found, _ in all_grams():
+        np.add.at(often, np.fromiter((hash(g) & 0xFFFFF for g in found), np.int64, len(found)), 1)
     seen = [Counter(), Counter()]
-    for words, label in zip(doc_words, y, strict=True):
-        seen[int(label)].update({g for w in words for g in grams(w, p.prefixes)})
+    for found, label in all_grams():
+        seen[label].update(g for g in found if often[hash(g) & 0xFFFFF] >= p.least_docs)
     n = np.maximum(1, [(y == 0).sum(), (y == 1).sum()])
     part = {}
     for g in {*seen[0], *seen[1]}:
@@ -131,6 +137,7 @@ def fit(texts: list[str | None], y: np.ndarray, totals: dict[int, int], p: Param
             share = (a + b) / n.sum()
             part[g] = abs(a / n[1] - b / n[0]) / np.sqrt(share * (1 - share) + 1e-3)
     chosen = sorted(part, key=lambda g: (-part[g], g))[: p.features]
+    del seen
     chosen += [f"={t}" for t in GROUP if f"={t}" in part and f"={t}" not in set(chosen)]
     model = Model({g: i for i, g in enumerate(chosen)}, np.ones(0), np.zeros(0), 0.0, p.prefixes)
     k = 2 * len(chosen)
