@@ -86,7 +86,7 @@ def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 2 << 20) -> list[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = 1 << 19) -> list[tuple[int, int]]:
     """Runs of whole documents of about ``most`` bytes (one longer document is a run of its own)."""
     out, start = [], 0
     n = len(offsets) - 1

@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import pieces
+
 
 def held_out(doc_id: Column) -> Column:
     """One document in five is never learned from."""
@@ -81,6 +84,17 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(np.clip(z, -60, 60) / 2))
 
 
+def in_slices(scorer: Callable[[pa.Array], np.ndarray], most: int = 2 << 20) -> Callable[[pa.Array], np.ndarray]:
+    """``scorer`` applied to about ``most`` bytes of text at a time, so a batch of long texts needs no more memory than one of short ones."""
+
+    def run(texts: pa.Array) -> np.ndarray:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+        cuts = pieces(np.concatenate(([0], np.cumsum(sizes))), most)
+        return np.concatenate([scorer(texts.slice(i, j - i)) for i, j in cuts] or [np.zeros(0)])
+
+    return run
+
+
 def filter_by_score(docs: DataFrame, scorer: Callable[[pa.Array], np.ndarray], keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """The rows of ``docs`` whose score of ``text`` satisfies ``keep``, with all their columns and no other."""
     at = docs.columns.index("text")

@@ -13,7 +13,7 @@ from . import packing
 from ._common import materialise, table
 
 CAPACITY = 2048
-_KEPT_WORDS = 600_000
+_KEPT_WORDS = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import flat_bytes, pieces, word_hashes
-from ._fit import filter_by_score, minimise, sigmoid, training_rows, weights
+from ._fit import filter_by_score, in_slices, minimise, sigmoid, training_rows, weights
 
 _MARKS = b"|!%$#*&<>{}[]=_~^\\/@+"
 UPPER, LOWER, DIGIT, END, MARK, BAR, SHOUT, OTHER = range(8)
@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Field:
 
 
 def scorer(field: Field) -> Callable[[pa.Array], np.ndarray]:
-    return lambda texts: field.score(field.quality(*features(texts))) if len(texts) else np.zeros(0)
+    return in_slices(lambda texts: field.score(field.quality(*features(texts))))
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:

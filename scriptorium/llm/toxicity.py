@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._fit import filter_by_score, minimise, sigmoid, training_rows, weights
+from ._fit import filter_by_score, in_slices, minimise, sigmoid, training_rows, weights
 
 #: Identity terms by language and group; within a group any term may stand for any other.
 IDENTITY_TERMS = (
@@ -214,7 +214,7 @@ def scorer(model: Model) -> Callable[[pa.Array], np.ndarray]:
             made.append(Model(*parts))
         return sigmoid(made[0].score(texts.to_pylist()))
 
-    return run
+    return in_slices(run)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
