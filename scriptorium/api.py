@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators.search import bm25
+from scriptorium.operators.search import any_word, bm25, stored_index
 from scriptorium.plans.filters import page
 from scriptorium.sources.tables import catalog, table
 
@@ -22,7 +22,7 @@ def library(spark: SparkSession, folder: str, text: str = "", limit: float = 100
     """A page of articles by title; with a text, those whose title is like it or that a search finds."""
     rows = catalog(spark, folder)
     if text:
-        hits = bm25(rows, text).select("id")
+        hits = any_word(spark, stored_index(spark, folder), text)
         rows = rows.where(F.col("title").ilike(f"%{text}%")).select("id").unionByName(hits).distinct().join(rows, "id")
     return page(rows.select("id", "title", "lang", "source").orderBy(F.lower("title"), "id"), limit, offset)
 
@@ -30,7 +30,7 @@ def library(spark: SparkSession, folder: str, text: str = "", limit: float = 100
 def search(spark: SparkSession, folder: str, text: str, limit: int = 20) -> DataFrame:
     """Ranked hits, best first."""
     rows = catalog(spark, folder)
-    best = bm25(rows, text).orderBy("score", "id").limit(min(max(limit, 1), 100))
+    best = bm25(spark, stored_index(spark, folder), text).orderBy("score", "id").limit(min(max(limit, 1), 100))
     return best.join(rows.select("id", "title"), "id").orderBy("score", "id")
 
 

@@ -1,75 +1,166 @@
-"""Ranked full-text search over an inverted index of tokens."""
+"""Ranked full-text search over a stored inverted index of tokens.
+
+Tokens are runs of letters and digits of any script, in lower case and without
+the accents of Latin letters. The index is written once for a table, sorted by
+term, so a query reads the row groups of its own terms and no text; it is written
+again when a file of the table or the rule for tokens changes. A term of very
+many documents is split over tasks and files by document.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import re
+import tempfile
+import unicodedata
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKEN = "[a-z0-9]+"
+from scriptorium.sources.tables import catalog
+
+TOKEN = r"[\p{L}\p{N}]+"
+VERSION = 2  # of the rule for tokens and of the index's columns
 K1, B = 1.2, 0.75
 WEIGHTS = {"title": 5.0, "body": 1.0}
 
 
-def tokens_of(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), 0)
+def _plain_letters() -> tuple[str, str]:
+    """Accented Latin letters in lower case, and the letters that they are without accents."""
+    accented = [chr(k) for k in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(k) == chr(k).lower()]
+    bare = {c: "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)) for c in accented}
+    folded = [c for c in accented if len(bare[c]) == 1 and bare[c] != c]
+    return "".join(folded), "".join(bare[c] for c in folded)
 
 
-def build_index(docs: DataFrame, key: str = "id", columns: tuple[str, ...] = ("title", "body")) -> DataFrame:
-    """(key, col, term, tf) and the length of all the row's columns in ``len``: one row per term, column and document."""
-    arrays = docs.select(key, *[tokens_of(F.col(c)).alias(c) for c in columns])
-    arrays = arrays.withColumn("len", sum((F.size(c) for c in columns), F.lit(0)))
-    parts = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("terms")) for c in columns])
-    rows = arrays.select(key, "len", F.explode(parts).alias("p")).select(key, "len", "p.col", F.explode("p.terms").alias("term"))
-    return rows.groupBy(key, "len", "col", "term").agg(F.count("*").alias("tf"))
+_ACCENTED, _BARE = _plain_letters()
+_FOLD = str.maketrans(_ACCENTED, _BARE)
+
+
+def tokens_of(c: Column) -> Column:
+    return F.regexp_extract_all(F.translate(F.lower(c), _ACCENTED, _BARE), F.lit(TOKEN), 0)
 
 
 def query_words(text: str, most: int = 32) -> list[str]:
     """The query's words; quoting is not needed, as they are only ever compared."""
-    return re.findall(TOKEN, text.lower())[:most]
+    return re.findall(r"[^\W_]+", text.lower().translate(_FOLD))[:most]
 
 
-def bm25(docs: DataFrame, text: str, key: str = "id", weights: dict[str, float] | None = None) -> DataFrame:
-    """(key, score) of the documents with any word of the query; the more negative, the better.
+def build_index(docs: DataFrame, key: str = "id", columns: tuple[str, ...] = ("title", "body")) -> DataFrame:
+    """(key, len, col, term, tf): one row per term, column and document; ``len`` is the length of all its columns.
 
-    Only the query's terms are exploded: the filter on terms is inside the array,
-    so a document costs its hits. Corpus statistics are one row and one row per term.
+    A document's terms are counted where it is read: nothing is shuffled.
+    """
+    arrays = docs.select(key, *[F.coalesce(tokens_of(F.col(c)), F.array().cast("array<string>")).alias(c) for c in columns])
+    arrays = arrays.withColumn("len", reduce(lambda a, b: a + b, [F.size(c) for c in columns]).cast("long"))
+    parts = F.array(*[F.struct(F.lit(c).alias("col"), F.array_sort(F.col(c)).alias("terms")) for c in columns])
+    rows = arrays.select(key, "len", F.explode(parts).alias("p"))
+    ends = F.filter(F.sequence(F.lit(1), F.size("p.terms")), lambda i: F.coalesce(F.get("p.terms", i) != F.get("p.terms", i - 1), F.lit(True)))
+    rows = rows.where(F.size("p.terms") > 0).select(key, "len", "p.col", "p.terms", ends.alias("ends"))
+    runs = F.transform("ends", lambda e, i: F.struct(F.get("terms", e - 1).alias("term"), (e - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("long").alias("tf")))
+    return rows.select(key, "len", "col", F.explode(runs).alias("t")).select(key, "len", "col", "t.term", "t.tf")
+
+
+def write_index(docs: DataFrame, path: str, key: str = "id", columns: tuple[str, ...] = ("title", "body")) -> None:
+    """Postings sorted by term, and one row with the number of documents and their mean length."""
+    postings = build_index(docs, key, columns).withColumnRenamed(key, "id")
+    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    spark = docs.sparkSession
+    n_docs = docs.count()
+    total = spark.read.parquet(f"{path}/postings").select("id", "len").distinct().agg(F.sum("len")).first()[0] or 0
+    spark.range(1).select(F.lit(n_docs).cast("long").alias("n_docs"), F.lit(total / max(n_docs, 1)).alias("avg_len")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def _folder(spark: SparkSession) -> str:
+    """Where indexes are kept: beside the checkpoints, else, on one machine only, in a folder of this process."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.TemporaryDirectory(prefix="scriptorium-"))
+    return "file://" + _OWN[0].name
+
+
+_OWN: list[tempfile.TemporaryDirectory] = []
+
+
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the table's files, their sizes and times, and the version."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    seen = [str(VERSION)]
+    for name in sorted(catalog(spark, sf_dir).inputFiles()):
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        s = p.getFileSystem(conf).getFileStatus(p)
+        seen.append(f"{name} {s.getLen()} {s.getModificationTime()}")
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:32]
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the catalog's index, which is written first where none of this state is there."""
+    path = f"{_folder(spark)}/index-{_state(spark, sf_dir)}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        write_index(catalog(spark, sf_dir), path)
+    return path
+
+
+def postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/postings")
+
+
+def bm25(spark: SparkSession, path: str, text: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """(id, score) of the documents with any word of the query; the more negative, the better.
+
+    The terms reach the scan as a filter; corpus statistics are two numbers and one row per term.
     """
     weights = weights or WEIGHTS
     words = sorted(set(query_words(text)))
-    columns = tuple(weights)
-    wanted = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    arrays = docs.select(key, *[tokens_of(F.col(c)).alias(c) for c in columns]).withColumn("len", sum((F.size(c) for c in columns), F.lit(0)))
-    total = arrays.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).withColumn("one", F.lit(1))
-    parts = F.array(*[F.struct(F.lit(weights[c]).alias("w"), F.filter(F.col(c), lambda t: F.array_contains(wanted, t)).alias("terms")) for c in columns])
-    hits = arrays.select(key, "len", F.explode(parts).alias("p")).select(key, "len", "p.w", F.explode("p.terms").alias("term"))
-    tf = hits.groupBy(key, "len", "term").agg(F.sum("w").alias("tf"))
+    weight = F.coalesce(*[F.when(F.col("col") == c, w) for c, w in weights.items()], F.lit(0.0))
+    hits = postings(spark, path).where(F.col("term").isin(words) if words else F.lit(False))
+    tf = hits.groupBy("id", "len", "term").agg(F.sum(weight * F.col("tf")).alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    joined = tf.join(F.broadcast(df), "term").withColumn("one", F.lit(1)).join(F.broadcast(total), "one")  # a row per query word; one row
-    raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    joined = tf.join(F.broadcast(df), "term")  # a row per query word
+    stats = spark.read.parquet(f"{path}/stats").first()
+    raw = F.log((stats.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, 1e-6).otherwise(raw)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return joined.groupBy(key).agg((-F.sum(part)).alias("score"))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (stats.avg_len or 1.0)))
+    return joined.groupBy("id").agg((-F.sum(part)).alias("score"))
 
 
-def prefix_and(docs: DataFrame, text: str, key: str = "id", column: str = "body") -> DataFrame:
-    """Keys of the documents in which every word of the query begins some token."""
-    words = query_words(text[:500], 20)
-    found = F.lit(bool(words))
-    tokens = tokens_of(F.col(column))
-    for w in words:
-        found = found & _begins(w)
-    return docs.select(key, tokens.alias("t")).where(found).select(key)
+def any_word(spark: SparkSession, path: str, text: str) -> DataFrame:
+    """Ids of the documents with any word of the query."""
+    words = query_words(text)
+    return postings(spark, path).where(F.col("term").isin(words) if words else F.lit(False)).select("id").distinct()
+
+
+def prefix_and(spark: SparkSession, path: str, text: str, column: str = "body") -> DataFrame:
+    """Ids of the documents in which every word of the query begins some token of ``column``."""
+    words = sorted(set(query_words(text[:500], 20)))
+    if not words:
+        return postings(spark, path).where(F.lit(False)).select("id")
+    begins = [F.col("term").startswith(w) for w in words]
+    hits = postings(spark, path).where((F.col("col") == column) & reduce(lambda a, b: a | b, begins))
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(b, 1 << k).otherwise(0) for k, b in enumerate(begins)])
+    return hits.groupBy("id").agg(F.bit_or(mask).alias("m")).where(F.col("m") == (1 << len(words)) - 1).select("id")
 
 
-def _begins(word: str) -> Column:
-    return F.exists("t", lambda t: t.startswith(word))
+def snippet(text: Column, word: str, most: int = 48) -> Column:
+    """At most ``most`` tokens from four before the first that is ``word``, which is marked; ellipses stand for what is left out."""
+    tokens = tokens_of(text)
+    at = F.array_position(tokens, word)
+    start = F.greatest(F.lit(1), at - 4).cast("int")
+    marked = F.transform(F.slice(tokens, start, most), lambda t: F.when(t == word, F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
+    body = F.array_join(marked, " ")
+    return F.when(at > 0, F.concat(F.when(start > 1, "… ").otherwise(""), body, F.when(F.size(tokens) > start + most - 1, " …").otherwise("")))
 
 
 def substring_and(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
     """Rows whose columns together hold every word of the query, with a snippet about the first."""
-    words = query_words(text, 20)
+    words = re.findall(r"[^\W_]+", text.lower())[:20]
     hay = F.lower(F.concat_ws("\n", *columns))
     cond = F.lit(bool(words))
     for w in words:

@@ -47,17 +47,17 @@ def a6_dedupe_before_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-@query("SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) WHERE length(w) > 2 GROUP BY w")
+@query("SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents) WHERE length(w) > 2 GROUP BY w")
 def a7_bag_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word"))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
     return words.where(F.length("word") > 2).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("""WITH s AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) > 2 GROUP BY ALL),
- d AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY ALL)
+@query("""WITH s AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM benchmark) WHERE length(w) > 2 GROUP BY ALL),
+ d AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM documents) GROUP BY ALL)
  SELECT item_id, round(sum(least(s.n, coalesce(d.n, 0)))::DOUBLE / greatest(1, sum(s.n)), 4) AS coverage FROM s LEFT JOIN d USING (w) GROUP BY item_id""")
 def a8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0)).alias("w")
+    words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), 0)).alias("w")
     s = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text"))).where(F.length("w") > 2).groupBy("item_id", "w").agg(F.count("*").alias("n"))
     d = table(spark, sf_dir, "documents").select(words(F.col("text"))).groupBy("w").agg(F.count("*").alias("m"))
     got = F.sum(F.least("n", F.coalesce("m", F.lit(0))))

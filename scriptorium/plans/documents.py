@@ -37,9 +37,9 @@ def s20_manifest_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("outputs")).withColumn("ok", F.col("outputs") == 1)
 
 
-@query("SELECT w AS word, count(*) AS n, count(*) FILTER (contains(w, '-')) AS compounds FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+(-[a-z]+)*')) AS w FROM documents) GROUP BY w HAVING count(*) >= 3")
+@query("SELECT w AS word, count(*) AS n, count(*) FILTER (contains(w, '-')) AS compounds FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+(-\\p{L}+)*')) AS w FROM documents) GROUP BY w HAVING count(*) >= 3")
 def a10_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+(-[a-z]+)*"), 0)).alias("word"))
+    w = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(-\p{L}+)*"), 0)).alias("word"))
     return w.groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("word").contains("-")).alias("compounds")).where("n >= 3")
 
 

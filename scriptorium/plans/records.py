@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import records as R
+from scriptorium.functions import text as T
 from scriptorium.plans.registry import query
 from scriptorium.sources.tables import table
 
@@ -40,9 +41,9 @@ def c4_public_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", R.public_url(F.col("url")).alias("public"))
 
 
-@query("SELECT item_id, array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') AS text FROM benchmark")
+@query("SELECT item_id, array_to_string(regexp_extract_all(lower(text), '\\p{L}+'), ' ') AS text FROM benchmark")
 def c5_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("pos", "word"))
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("pos", "word"))
     index = words.groupBy("item_id", "word").agg(F.collect_list("pos").alias("at"))
     back = index.select("item_id", F.explode("at").alias("pos"), "word").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"), F.countDistinct("pos").alias("n"))
     whole = (F.size("w") == F.col("n")) & (F.element_at("w", -1)["pos"] + 1 == F.col("n"))
@@ -61,10 +62,9 @@ def c7_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", R.compact_digest([("source", F.col("source")), ("n", F.col("n_chars")), ("lang", F.col("lang"))]).alias("digest"))
 
 
-@query("SELECT doc_id, sha256(text) AS content, sha1('blob ' || octet_length(encode(text)) || chr(1) || text) AS blob FROM documents")
+@query("SELECT doc_id, sha256(text) AS content, sha1(encode('blob ' || octet_length(encode(text))) || '\\x00'::BLOB || encode(text)) AS blob FROM documents")
 def c8_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blob = F.concat(F.lit("blob "), F.octet_length("text").cast("string"), F.lit("\x01"), "text")
-    return _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("content"), F.sha1(blob).alias("blob"))
+    return _docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("content"), T.blob_id(F.col("text")).alias("blob"))
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(lang || ', ' || source || ',,' || lang, ','), lambda x: trim(x)), lambda x: x <> ''))), '|') AS tags FROM documents")
@@ -79,10 +79,10 @@ def c10_json_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).join(wanted, "source", "left_semi").select("doc_id")
 
 
-@query("WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents) SELECT doc_id, round(len(list_intersect(w, ['the', 'ing', 'with', 'that', 'and']))::DOUBLE / 5, 4) AS overlap FROM d")
+@query("WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '\\p{L}{3,}')) AS w FROM documents) SELECT doc_id, round(len(list_intersect(w, ['the', 'ing', 'with', 'that', 'and']))::DOUBLE / 5, 4) AS overlap FROM d")
 def g2_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.array(*[F.lit(w) for w in ("the", "ing", "with", "that", "and")])
-    own = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)
+    own = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), 0)
     return _docs(spark, sf_dir).select("doc_id", F.round(F.size(F.array_intersect(own, title)) / 5, 4).alias("overlap"))
 
 

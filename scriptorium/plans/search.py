@@ -13,43 +13,52 @@ _Q = "stupid the reation"
 _WORDS = ", ".join(f"'{w}'" for w in sorted(set(S.query_words(_Q))))
 
 
+def _tok(c: str) -> str:
+    return rf"regexp_extract_all(strip_accents(lower({c})), '[\p{{L}}\p{{N}}]+')"
+
+
+_BOTH = _tok("title || ' ' || body")
+
+
 def _bm25_sql(title: float, body: float, tail: str) -> str:
-    return f"""WITH {CATALOG_SQL}, a AS (SELECT id, regexp_extract_all(lower(title), '[a-z0-9]+') AS t, regexp_extract_all(lower(body), '[a-z0-9]+') AS b FROM cat),
+    return f"""WITH {CATALOG_SQL}, a AS (SELECT id, {_tok('title')} AS t, {_tok('body')} AS b FROM cat),
  l AS (SELECT id, (len(t) + len(b))::DOUBLE AS len, t, b FROM a), s AS (SELECT count(*) AS n, avg(len) AS av FROM l),
  h AS (SELECT id, len, unnest(t) AS term, {title}::DOUBLE AS w FROM l UNION ALL SELECT id, len, unnest(b), {body}::DOUBLE FROM l),
  f AS (SELECT id, len, term, sum(w) AS tf FROM h WHERE term IN ({_WORDS}) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY term)
  SELECT id, round(-sum(CASE WHEN ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / av))), 6) AS score FROM f JOIN d USING (term), s GROUP BY id {tail}"""
 
 
-@query(f"WITH {CATALOG_SQL} SELECT col, term, sum(tf)::BIGINT AS n, count(*) AS docs FROM (SELECT id, col, term, count(*) AS tf FROM (SELECT id, 'title' AS col, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) AS term FROM cat UNION ALL SELECT id, 'body', unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) FROM cat) GROUP BY ALL) GROUP BY ALL")
+@query(f"WITH {CATALOG_SQL} SELECT col, term, sum(tf)::BIGINT AS n, count(*) AS docs FROM (SELECT id, col, term, count(*) AS tf FROM (SELECT id, 'title' AS col, unnest({_tok('title')}) AS term FROM cat UNION ALL SELECT id, 'body', unnest({_tok('body')}) FROM cat) GROUP BY ALL) GROUP BY ALL")
 def f1_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.build_index(catalog(spark, sf_dir)).groupBy("col", "term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
+    return S.postings(spark, S.stored_index(spark, sf_dir)).groupBy("col", "term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
 
 
-@query(f"WITH {CATALOG_SQL} SELECT id FROM cat WHERE list_has_any(regexp_extract_all(lower(title || ' ' || body), '[a-z0-9]+'), ['stupid', 'worthless'])")
+@query(f"WITH {CATALOG_SQL} SELECT id FROM cat WHERE list_has_any({_BOTH}, ['stupid', 'worthless'])")
 def f2_any_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array(*[F.lit(w) for w in S.query_words("Stupid, worthless!")])
-    return catalog(spark, sf_dir).where(F.arrays_overlap(S.tokens_of(F.concat_ws(" ", "title", "body")), words)).select("id")
+    return S.any_word(spark, S.stored_index(spark, sf_dir), "Stupid, worthless!")
 
 
-@query(f"WITH {CATALOG_SQL} SELECT id FROM cat WHERE len(list_filter(regexp_extract_all(lower(body), '[a-z0-9]+'), lambda t: starts_with(t, 'ther'))) > 0 AND len(list_filter(regexp_extract_all(lower(body), '[a-z0-9]+'), lambda t: starts_with(t, 'stu'))) > 0")
+@query(f"WITH {CATALOG_SQL} SELECT id FROM cat WHERE len(list_filter({_tok('body')}, lambda t: starts_with(t, 'ther'))) > 0 AND len(list_filter({_tok('body')}, lambda t: starts_with(t, 'stu'))) > 0")
 def f3_prefix_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.prefix_and(catalog(spark, sf_dir), "ther stu")
+    return S.prefix_and(spark, S.stored_index(spark, sf_dir), "ther stu")
 
 
 @query(_bm25_sql(5.0, 1.0, ""))
 def f4_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.bm25(catalog(spark, sf_dir), _Q).select("id", F.round("score", 6).alias("score"))
+    return S.bm25(spark, S.stored_index(spark, sf_dir), _Q).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {CATALOG_SQL} SELECT id, array_to_string(regexp_extract_all(lower(body), '[a-z0-9]+')[1:48], ' ') AS snippet FROM cat WHERE contains(lower(body), 'stupid')")
+@query(f"""WITH {CATALOG_SQL}, t AS (SELECT id, {_tok('body')} AS t FROM cat), p AS (SELECT id, t, list_position(t, 'stupid') AS i FROM t WHERE list_contains(t, 'stupid')), s AS (SELECT *, greatest(1, i - 4) AS s FROM p)
+ SELECT id, CASE WHEN s > 1 THEN '… ' ELSE '' END || array_to_string(list_transform(t[s:s + 47], lambda x: CASE WHEN x = 'stupid' THEN '[stupid]' ELSE x END), ' ') || CASE WHEN len(t) > s + 47 THEN ' …' ELSE '' END AS snippet FROM s""")
 def f5_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog(spark, sf_dir).where(F.lower("body").contains("stupid")).select("id", F.array_join(F.slice(S.tokens_of(F.col("body")), 1, 48), " ").alias("snippet"))
+    """Texts are read only of the documents that the index names."""
+    found = S.any_word(spark, S.stored_index(spark, sf_dir), "stupid")
+    return catalog(spark, sf_dir).join(found, "id", "left_semi").select("id", S.snippet(F.col("body"), "stupid").alias("snippet")).where("snippet IS NOT NULL")
 
 
 @query(_bm25_sql(1.0, 1.0, "ORDER BY score, id LIMIT 30"))
 def f6_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.bm25(catalog(spark, sf_dir), _Q, weights={"title": 1.0, "body": 1.0}).select("id", F.round("score", 6).alias("score"))
+    found = S.bm25(spark, S.stored_index(spark, sf_dir), _Q, weights={"title": 1.0, "body": 1.0}).select("id", F.round("score", 6).alias("score"))
     return found.orderBy("score", "id").limit(30)
 
 

@@ -91,9 +91,9 @@ def s17_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat(F.lit("WEBVTT"), joined).alias("vtt"))
 
 
-@query("SELECT doc_id, substr(sha256(sha256(text) || chr(1) || doc_id), 1, 24) AS entry FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@query("SELECT doc_id, substr(sha256(encode(sha256(text)) || '\\x00'::BLOB || encode(doc_id::VARCHAR)), 1, 24) AS entry FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def s18_outbox_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entry = F.substring(F.sha2(F.concat(F.sha2("text", 256), F.lit("\x01"), F.col("doc_id").cast("string")), 256), 1, 24)
+    entry = F.substring(F.sha2(F.concat(F.encode(F.sha2("text", 256), "UTF-8"), F.lit(b"\x00"), F.encode(F.col("doc_id").cast("string"), "UTF-8")), 256), 1, 24)
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", entry.alias("entry"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.functions import arrow
 from scriptorium.functions.records import first_of
 from scriptorium.functions.text import digit_dense
 from scriptorium.plans.registry import query
@@ -98,10 +99,12 @@ def z8_field_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", F.coalesce(new, "lang").alias("tag"), F.coalesce(new != F.col("lang"), F.lit(False)).alias("changed"))
 
 
-@query("SELECT doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) <= 50000 AS accepted FROM documents")
+@query("""WITH RECURSIVE o AS (SELECT doc_id, source, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+ f AS (SELECT source, k, doc_id, n <= 50000 AS accepted, CASE WHEN n <= 50000 THEN 50000 - n ELSE 50000 END AS room FROM o WHERE k = 1
+ UNION ALL SELECT o.source, o.k, o.doc_id, n <= room, CASE WHEN n <= room THEN room - n ELSE room END FROM f JOIN o ON o.source = f.source AND o.k = f.k + 1) SELECT doc_id, accepted FROM f""")
 def z9_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = F.sum("n_chars").over(W.partitionBy("source").orderBy("doc_id"))
-    return _docs(spark, sf_dir).select("doc_id", (used <= 50000).alias("accepted"))
+    """A refused row leaves the budget to the ones after it."""
+    return arrow.reserve(_docs(spark, sf_dir), "source", "doc_id", "n_chars", 50000).select("doc_id", "accepted")
 
 
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'created' WHEN quality = 1 THEN 'saved' ELSE 'conflict' END AS result FROM documents d LEFT JOIN labels l USING (doc_id)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions import arrow
 from scriptorium.functions import text as T
 from scriptorium.plans.registry import query
 from scriptorium.sources.tables import table
@@ -99,7 +100,7 @@ def t14_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def t15_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _docs(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("s"))
-    return parts.select("doc_id", F.posexplode_outer(T.chunks(F.col("s"))).alias("k", "chunk")).where("chunk IS NOT NULL")
+    return parts.select("doc_id", F.posexplode_outer(arrow.chunks(F.col("s"))).alias("k", "chunk")).where("chunk IS NOT NULL")
 
 
 _STOP = {"de": ("der", "die", "und", "das"), "en": ("the", "and", "of", "to"), "es": ("de", "que", "el", "la"), "fr": ("le", "la", "et", "de")}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium import api
-from scriptorium.functions import dates, text
+from scriptorium.functions import arrow, dates, text
 from scriptorium.operators import blocks, registry, search
 from scriptorium.operators.rank import global_rank
 from scriptorium.plans import registry as plans
@@ -30,14 +30,20 @@ def test_years(spark):
 def test_sentences_and_chunks(spark):
     s = one(spark, text.sentences(F.lit("Dr. Berg came, e.g. by bus. It rained! 3 hours went by. so it was")))
     assert s == ["Dr. Berg came, e.g. by bus.", "It rained!", "3 hours went by. so it was"]
-    c = one(spark, text.chunks(F.lit(None).cast("array<string>")))
+    s = one(spark, text.sentences(F.lit("See e.g. The one. Prof. Ono et al. 2 left.  \n Äh? Ébène! ")))
+    assert s == ["See e.g. The one.", "Prof. Ono et al. 2 left.", "Äh?", "Ébène!"]
+    c = one(spark, arrow.chunks(F.lit(None).cast("array<string>")))
     assert c is None
-    c = one(spark, text.chunks(F.array(*[F.lit("a" * 300 + ".") for _ in range(7)])))
+    c = one(spark, arrow.chunks(F.array(*[F.lit("a" * 300 + ".") for _ in range(7)])))
     assert all(len(x) <= 900 for x in c) and " ".join(c) == " ".join(["a" * 300 + "."] * 7)
+    long = " ".join(["word"] * 500)
+    assert all(len(x) <= 900 for x in arrow.pack_sentences([long])) and " ".join(arrow.pack_sentences([long])) == long
+    assert arrow.pack_sentences(["x" * 1000]) == ["x" * 900, "x" * 100] and arrow.pack_sentences(["One.", long], whole=True) == ["One.", long]
+    assert arrow.pack_sentences(["ab", "cd", "efg"], most=5) == ["ab cd", "efg"] and arrow.pack_sentences(["", "a"]) == ["a"]
 
 
 def test_surnames(spark):
-    assert [one(spark, text.surname(F.lit(n))) for n in ("Berg, Anna", "Jan van Dyk", "Ada Lovelace", "Plato")] == ["Berg", "van Dyk", "Lovelace", "Plato"]
+    assert [one(spark, text.surname(F.lit(n))) for n in ("Berg, Anna", "Jan van Dyk", "Ada Lovelace", "Plato", " Jean  du Pont ", "Maria De la Cruz", "van Dyk", "Ann\tVon Au", "")] == ["Berg", "van Dyk", "Lovelace", "Plato", "Pont", "la Cruz", "van Dyk", "Von Au", ""]
 
 
 def test_front_matter_only_at_the_start(spark):
@@ -60,15 +66,16 @@ def test_global_rank(spark):
     assert all(x.r == x.k + 1 for x in got) and len(got) == 500
 
 
-def test_bm25_formula(spark):
+def test_bm25_formula(spark, tmp_path):
     import math
 
     docs = spark.createDataFrame([(1, "red", "blue blue"), (2, "green", "red"), (3, "x", "y z w")], "id int, title string, body string")
-    got = {r.id: r.score for r in search.bm25(docs, "red").collect()}
+    search.write_index(docs, str(tmp_path))
+    got = {r.id: r.score for r in search.bm25(spark, str(tmp_path), "red").collect()}
     idf = max(math.log((3 - 2 + 0.5) / (2 + 0.5)), 0) or 1e-6
     part = lambda tf, n: -idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 3))
     assert got == pytest.approx({1: part(5, 3), 2: part(1, 2)})
-    assert search.bm25(docs, "?!").count() == 0
+    assert search.bm25(spark, str(tmp_path), "?!").count() == 0
 
 
 def test_sqlite_source(spark, tmp_path):
@@ -172,3 +179,39 @@ def test_reference_tail(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = plans.QUERIES["w8_reference_tail"](spark, str(tmp_path)).orderBy("conv_id", "turn").collect()
     assert [r.kept for r in got] == [True] + [False] * 7 + [True] * 4
+
+
+def test_search_folds_letters_and_reads_its_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Æble", "Læring på norsk"), (2, "Été", "l'été à la plage, LÆRINGEN"), (3, "日本語", "naïve ΣΟΦΟΣ x1"), (4, None, "")], "id int, title string, body string")
+    assert search.query_words("læring*, \"ÉTÉ\" OR x_1") == ["læring", "ete", "or", "x", "1"]
+    path = str(tmp_path / "index")
+    search.write_index(docs, path)
+    assert [r.id for r in search.bm25(spark, path, "ete").collect()] == [2]
+    assert sorted(r.id for r in search.prefix_and(spark, path, "læring").collect()) == [1, 2]
+    assert sorted(r.id for r in search.prefix_and(spark, path, "lær nor").collect()) == [1]
+    assert search.prefix_and(spark, path, "...").count() == search.bm25(spark, path, "").count() == 0
+    assert [r.id for r in search.bm25(spark, path, "NAIVE").collect()] == [3]
+    hit = search.bm25(spark, path, "norsk")
+    assert "EqualTo(term,norsk)" in hit._jdf.queryExecution().toString()  # among the pushed filters
+
+
+def test_index_is_written_again_when_the_table_changes(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    rows = lambda t: spark.createDataFrame([(1, t, "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(path)
+    rows("alpha beta")
+    first = search.stored_index(spark, str(tmp_path))
+    assert search.stored_index(spark, str(tmp_path)) == first and search.bm25(spark, first, "alpha").count() == 1
+    rows("gamma delta")
+    second = search.stored_index(spark, str(tmp_path))
+    assert second != first and search.bm25(spark, second, "alpha").count() == 0 and search.bm25(spark, second, "gamma").count() == 1
+
+
+def test_git_blob_id(spark):
+    assert one(spark, text.blob_id(F.lit("hello\n"))) == "ce013625030ba8dba906f756967f9e9ca394464a"
+    assert one(spark, text.blob_id(F.lit(""))) == "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391"
+
+
+def test_reservations_leave_room_for_what_still_fits(spark):
+    rows = spark.createDataFrame([("a", 1, 60), ("a", 2, 50), ("a", 3, 40), ("a", 4, 1), ("b", 1, 101), ("b", 2, 100), ("c", 1, None)], "source string, doc_id long, n_chars long")
+    got = {(r.source, r.doc_id): r.accepted for r in arrow.reserve(rows, "source", "doc_id", "n_chars", 100).collect()}
+    assert got == {("a", 1): True, ("a", 2): False, ("a", 3): True, ("a", 4): False, ("b", 1): False, ("b", 2): True, ("c", 1): True}
