@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.functions import arrow
+
 
 def reading_order(boxes: DataFrame, page: str, full_width: Column, column: Column, y: Column, x: Column) -> DataFrame:
     """Adds ``ordinal``: full-width boxes are barriers; between them boxes go by column, then down, then right."""
@@ -18,17 +20,7 @@ def reading_order(boxes: DataFrame, page: str, full_width: Column, column: Colum
 def merge_continuations(lines: Column) -> Column:
     """Lines of one document folded in order: a line that begins with a small letter or digit continues an
     open one, which lacks closing punctuation or closes fewer brackets than it opens."""
-
-    def is_open(s: Column) -> Column:
-        return ~F.rtrim(s).rlike(r"[.!?:;]\z") | (F.length(F.regexp_replace(s, r"[^(]", "")) > F.length(F.regexp_replace(s, r"[^)]", "")))
-
-    def add(acc: Column, s: Column) -> Column:
-        last = F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(""))
-        joins = (F.size(acc) > 0) & is_open(last) & s.rlike(r"\A[a-z0-9]")
-        kept = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(joins, F.concat(kept, F.array(F.concat(last, F.lit(" "), s)))).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(lines, F.array().cast("array<string>"), add)
+    return arrow.continuations(lines)
 
 
 def markdown_blocks(text: Column) -> Column:

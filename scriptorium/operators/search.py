@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-import tempfile
 import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.sources.tables import catalog
+from scriptorium.sources.tables import catalog, shared_folder
 
 TOKEN = r"[\p{L}\p{N}]+"
 VERSION = 2  # of the rule for tokens and of the index's columns
@@ -72,21 +71,6 @@ def write_index(docs: DataFrame, path: str, key: str = "id", columns: tuple[str,
     spark.range(1).select(F.lit(n_docs).cast("long").alias("n_docs"), F.lit(total / max(n_docs, 1)).alias("avg_len")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
-def _folder(spark: SparkSession) -> str:
-    """Where indexes are kept: beside the checkpoints, else, on one machine only, in a folder of this process."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _OWN:
-        _OWN.append(tempfile.TemporaryDirectory(prefix="scriptorium-"))
-    return "file://" + _OWN[0].name
-
-
-_OWN: list[tempfile.TemporaryDirectory] = []
-
-
 def _state(spark: SparkSession, sf_dir: str) -> str:
     """A digest of the table's files, their sizes and times, and the version."""
     jvm = spark.sparkContext._jvm
@@ -101,7 +85,7 @@ def _state(spark: SparkSession, sf_dir: str) -> str:
 
 def stored_index(spark: SparkSession, sf_dir: str) -> str:
     """The path of the catalog's index, which is written first where none of this state is there."""
-    path = f"{_folder(spark)}/index-{_state(spark, sf_dir)}"
+    path = f"{shared_folder(spark)}/index-{_state(spark, sf_dir)}"
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
     if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         write_index(catalog(spark, sf_dir), path)

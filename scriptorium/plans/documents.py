@@ -49,14 +49,6 @@ def w6_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", lines.alias("l")).select("doc_id", F.posexplode(blocks.merge_continuations(F.col("l"))).alias("k", "block"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS parts FROM documents")
-def t12_numbered_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.when(F.col("doc_id") % 2 == 0, "2.1. A short heading. Then the body goes on.").otherwise("No number here. Then the body.")
-    head = F.regexp_extract(line, r"\A([0-9]+(?:\.[0-9]+)*\. [^.]{1,120}\.) ", 1)
-    split = (head != "") & (F.size(F.split(head, " ")) <= 15)
-    return _docs(spark, sf_dir).select("doc_id", F.when(split, 2).otherwise(1).alias("parts"))
-
-
 @query("SELECT doc_id, replace(replace(replace(text, '%', ' percent'), '&', ' and '), '±', ' plus or minus ') AS text FROM documents")
 def t21_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
@@ -90,7 +82,7 @@ def t28_page_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t30_readable_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.functions.arrow import byte_cap
 
-    return _docs(spark, sf_dir).select("doc_id", byte_cap(F.concat_ws(" — ", F.lit("2025"), squeeze(F.substring("text", 1, 300)), "source")).alias("name"))
+    return _docs(spark, sf_dir).select("doc_id", byte_cap(F.concat_ws(" — ", F.lit("2025"), squeeze(F.col("text")), "source")).alias("name"))
 
 
 @query()
@@ -273,3 +265,29 @@ def g22_import_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplied, csl = F.when(k == 0, "10.1/a"), F.when(k <= 1, "10.1/a")
     rule = first_of([(supplied.isNotNull() & (supplied == csl), "supplied"), (csl.isNotNull(), "csl")], "tags")
     return table(spark, sf_dir, "pages").select("page_id", rule.alias("resolved"))
+
+
+@query()
+def x3_inferred_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The abstract that each document's first page (up to a form feed) shows, with its evidence; null without one."""
+    from scriptorium.functions.abstracts import inferred
+
+    a = _docs(spark, sf_dir).select("doc_id", inferred(F.split_part("text", F.lit("\f"), F.lit(1))).alias("a"))
+    return a.select("doc_id", "a.abstract", "a.source")
+
+
+@query()
+def t31_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First pages with the title block replaced by the inferred abstract; pages without one are as they were."""
+    from scriptorium.functions.abstracts import with_abstract
+
+    return _docs(spark, sf_dir).select("doc_id", with_abstract(F.split_part("text", F.lit("\f"), F.lit(1))).alias("page"))
+
+
+@query()
+def g14_publisher_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The abstract that a page states for the work named in its title element; empty without one."""
+    from scriptorium.functions.abstracts import from_publisher
+
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1)
+    return table(spark, sf_dir, "pages").select("page_id", from_publisher("html", title, F.lit(None).cast("string")).alias("abstract"))

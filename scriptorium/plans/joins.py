@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.operators.nearest import nearest
 from scriptorium.plans.registry import query
 from scriptorium.sources.tables import table
 
@@ -119,9 +120,9 @@ def j15_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey, arg_min(c_custkey, struct_pack(d := abs(c_acctbal - s_acctbal), k := c_custkey)) AS nearest FROM supplier JOIN customer ON c_nationkey = s_nationkey GROUP BY s_suppkey")
 def j16_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("s_nationkey"), "c_custkey", "c_acctbal")
-    both = table(spark, sf_dir, "supplier").join(c, "s_nationkey")
-    return both.groupBy("s_suppkey").agg(F.min(F.struct(F.abs(F.col("c_acctbal") - F.col("s_acctbal")).alias("d"), "c_custkey")).alias("m")).select("s_suppkey", F.col("m.c_custkey").alias("nearest"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("group"), F.col("s_acctbal").alias("at"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("group"), F.col("c_acctbal").alias("at"), F.col("c_custkey").alias("id"))
+    return s.join(nearest(s, c, 100.0), ["group", "at"]).select("s_suppkey", "nearest")
 
 
 _BOXES = [(1, 0.0, 20.0), (2, 10.0, 60.0), (3, 50.0, 200.0)]

@@ -55,16 +55,9 @@ def s13_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("k IS NOT NULL").groupBy("k").agg(F.min("event_id").alias("event_id"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(cell, '^[=+@\\t\\r\\n-]') THEN '''' || cell ELSE cell END AS cell FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '=' || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS cell FROM documents)")
-def s14_csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 20)
-    cell = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), head)).otherwise(head)
-    return table(spark, sf_dir, "documents").select("doc_id", formula_guard(cell).alias("cell"))
-
-
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+@\\t\\r\\n-]') THEN '''' || text ELSE text END AS cell FROM documents")
 def s14_csv_guard_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text whole behind the guard; s14_csv_guard shows the rule on 20 characters."""
+    """Every text whole behind the guard."""
     return table(spark, sf_dir, "documents").select("doc_id", formula_guard(F.col("text")).alias("cell"))
 
 

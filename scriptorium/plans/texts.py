@@ -62,33 +62,28 @@ def t10_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", n(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}").alias("mails"), n(r"\b(19|20)[0-9]{2}\b").alias("years"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 3 END::INT AS level FROM documents")
-def t11_heading_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id") % 4
-    line = F.when(k == 0, "### A part").when(k == 1, " Conclusion ").when(k == 2, "2.1. Data and scope").otherwise("Plain text, no heading")
-    return _docs(spark, sf_dir).select("doc_id", T.heading_level(line).alias("level"))
+_LINES = "(SELECT doc_id, unnest(range(0, len(l))) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 
 
-@query()
+@query(f"""SELECT doc_id, k::INT AS k, CASE WHEN marks > 0 THEN marks WHEN lower(trim(line)) IN ('abstract', 'introduction', 'methods', 'results', 'discussion', 'conclusion', 'conclusions', 'references', 'acknowledgements') THEN 2
+ WHEN num <> '' AND length(line) <= 140 AND split_part(num, '.', 1)::INT <= 30 THEN least(6, length(num) - length(replace(num, '.', '')) + 2) END::INT AS level
+ FROM (SELECT doc_id, k, line, length(regexp_extract(line, '^(#{{2,6}}) ', 1)) AS marks, regexp_extract(line, '^([0-9]{{1,2}}(\\.[0-9]{{1,2}}){{0,5}})\\.? +[A-Z]', 1) AS num FROM {_LINES})""")
 def t11_heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The level of every line of every document; t11_heading_level shows the rule on four lines."""
+    """The level of every line of every document."""
     return _lines(spark, sf_dir).select("doc_id", "k", T.heading_level(F.col("line")).alias("level"))
 
 
-@query()
+@query(r"""SELECT doc_id, k::INT AS k, CASE WHEN num <> '' AND len(regexp_split_to_array(trim(heading), '\s+')) <= 14 THEN [num || '. ' || heading, body] ELSE [line] END AS parts
+ FROM (SELECT doc_id, k, line, regexp_extract(line, f, 1) AS num, regexp_extract(line, f, 2) AS heading, regexp_extract(line, f, 3) AS body
+ FROM (SELECT *, '(?s)^([0-9]+(?:\.[0-9]+){0,5})[.)]\s+(.{2,100}?)\.\s+([A-ZÀ-ÖØ-Þ].+)$' AS f FROM """ + _LINES + "))")
 def t12_heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of every line of every document; t12_numbered_heading shows the rule on two lines."""
+    """The parts of every line of every document."""
     return _lines(spark, sf_dir).select("doc_id", "k", T.heading_parts(F.col("line")).alias("parts"))
 
 
-@query("SELECT doc_id, (len(list_filter(regexp_split_to_array(substr(text, 1, 200), '[ \\t\\n\\r]+'), lambda w: w <> '')) <= 30 AND length(regexp_replace(substr(text, 1, 200), '[^,;]', '', 'g')) >= 2 AND NOT regexp_matches(trim(substr(text, 1, 200)), '[.!?]$')) AS keywords FROM documents")
-def t13_keyword_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", T.keyword_list(F.substring("text", 1, 200)).alias("keywords"))
-
-
 @query("SELECT doc_id, (len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda w: w <> '')) <= 30 AND length(regexp_replace(text, '[^,;·]', '', 'g')) >= 2 AND NOT regexp_matches(text, '[.!?]([ \\t\\n\\r]|$)')) AS keywords FROM documents")
 def t13_keyword_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule over whole texts; t13_keyword_list judges their first 200 characters."""
+    """The rule over whole texts."""
     return _docs(spark, sf_dir).select("doc_id", T.keyword_row(F.col("text")).alias("keywords"))
 
 
@@ -112,6 +107,16 @@ def t16_language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", *[F.size(F.filter("w", _among(ws))).alias(k) for k, ws in _STOP.items()])
 
 
+_VOTES = ", ".join(f"len(list_filter(w, lambda x: x IN {ws}))::INT AS {k}" for k, ws in _STOP.items())
+
+
+@query("SELECT doc_id, CASE WHEN greatest(de, es, fr) <= en * 1.15::DOUBLE THEN 'en' WHEN de >= es AND de >= fr THEN 'de' WHEN es >= fr THEN 'es' ELSE 'fr' END AS language FROM (SELECT doc_id, " + _VOTES + " FROM (SELECT doc_id, regexp_split_to_array(lower(substr(text, 1, 20000)), '[ \\t\\n\\r]+') AS w FROM documents))")
+def t16_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vote itself; the rule reads the first 20,000 characters."""
+    counts = t16_language_vote(spark, sf_dir)
+    return counts.select("doc_id", T.voted({k: F.col(k) for k in _STOP}).alias("language"))
+
+
 def _among(words: tuple[str, ...]):
     return lambda x: x.isin(*words)
 
@@ -123,6 +128,15 @@ def t17_surname(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", T.surname(name).alias("surname"))
 
 
+@query("SELECT o_custkey, CASE count(*) WHEN 1 THEN min(c) WHEN 2 THEN min(c) || ' & ' || max(c) ELSE min(c) || ' et al.' END AS label FROM (SELECT DISTINCT o_custkey, substr(o_orderpriority, 3) AS c FROM orders) GROUP BY o_custkey")
+def t17_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors' label of each customer; order priorities stand in for the authors, as 'First Last'."""
+    last = F.substr(F.col("o_orderpriority"), F.lit(3))
+    names = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(last)).alias("n"))
+    named = F.transform("n", lambda x: F.concat(x, F.lit(", Ada")))
+    return names.select("o_custkey", T.label(named).alias("label"))
+
+
 @query("SELECT conv_id, CASE WHEN count(DISTINCT role) = 1 THEN min(role) WHEN count(DISTINCT role) = 2 THEN min(role) || ' and ' || max(role) ELSE min(role) || ' and colleagues' END AS phrase FROM conversations GROUP BY conv_id")
 def t18_author_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("r"))
@@ -142,16 +156,13 @@ def t20_show_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", F.concat_ws("\n", F.concat(F.lit("Source: "), "source"), F.when(F.col("quality") == 1, "Quality: good"), F.when(F.col("toxic") == 1, "Warning: toxic")).alias("notes"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'CC BY 4.0' WHEN 1 THEN 'CC0' END AS licence FROM documents")
-def t22_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id") % 4
-    note = F.when(k == 0, "under CC BY 4.0.").when(k == 1, "see https://creativecommons.org/publicdomain/zero/1.0/").when(k == 2, "CC BY-NC 4.0, https://creativecommons.org/licenses/by/4.0/").otherwise("all rights reserved")
-    return _docs(spark, sf_dir).select("doc_id", T.licence(note).alias("licence"))
-
-
-@query()
+@query(r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '\binterna-\s+tional\b', 'international', 'g'), '\s+', ' ', 'g') AS t FROM documents),
+ b AS (SELECT doc_id, regexp_replace(regexp_replace(t, 'creativecommons ?\. ?org ?/ ?licen[cs]es ?/ ?([a-z-]+) ?/ ?(\d) ?\. ?(\d)', 'creativecommons.org/licenses/\1/\2.\3', 'g'), 'creativecommons ?\. ?org ?/ ?publicdomain ?/ ?zero ?/ ?1 ?\. ?0', 'creativecommons.org/publicdomain/zero/1.0', 'g') AS t FROM a),
+ c AS (SELECT doc_id, regexp_replace(regexp_replace(t, 'non[- ]commercial|no[- ]derivatives|share[- ]alike', 'noncommercial', 'g'), 'creative commons attribution (?:international licen[cs]e 4\.0|licen[cs]e 4\.0|international 4\.0 licen[cs]e|4\.0 (?:international )?licen[cs]e)', 'cc by 4.0', 'g') AS t FROM b)
+ SELECT doc_id, CASE WHEN regexp_matches(t, 'cc[ -]by-(nc|nd|sa)|licenses/by-(nc|nd|sa)|noncommercial|noderivatives|sharealike') THEN NULL
+ WHEN regexp_matches(t, 'cc[ -]by 4\.0|creativecommons\.org/licenses/by/4\.0') THEN 'CC BY 4.0' WHEN regexp_matches(t, '\bcc0\b|creativecommons\.org/publicdomain/zero/1\.0') THEN 'CC0' END AS licence FROM c""")
 def t22_licence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The licence that each document's own text gives; t22_licence shows the rule on four notes."""
+    """The licence that each document's own text gives."""
     return _docs(spark, sf_dir).select("doc_id", T.licence_in(F.col("text")).alias("licence"))
 
 

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium import api
-from scriptorium.functions import arrow, dates, text
+from scriptorium.functions import abstracts, arrow, dates, text
 from scriptorium.operators import blocks, registry, search
+from scriptorium.operators.nearest import nearest
 from scriptorium.operators.rank import global_rank
 from scriptorium.plans import registry as plans
 from scriptorium.plans.filters import page
@@ -215,3 +216,86 @@ def test_reservations_leave_room_for_what_still_fits(spark):
     rows = spark.createDataFrame([("a", 1, 60), ("a", 2, 50), ("a", 3, 40), ("a", 4, 1), ("b", 1, 101), ("b", 2, 100), ("c", 1, None)], "source string, doc_id long, n_chars long")
     got = {(r.source, r.doc_id): r.accepted for r in arrow.reserve(rows, "source", "doc_id", "n_chars", 100).collect()}
     assert got == {("a", 1): True, ("a", 2): False, ("a", 3): True, ("a", 4): False, ("b", 1): False, ("b", 2): True, ("c", 1): True}
+
+
+def test_global_rank_of_more_rows_than_are_sampled(spark):
+    """Bounds of ranges are sampled; ranks must hold whatever they are."""
+    n = 200_000
+    got = global_rank(spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.lit("x" * 20).alias("other")), ["k"], "r")
+    assert got.where("r <> k + 1").count() == 0 and got.count() == n
+
+
+def test_nearest_equals_all_pairs(spark):
+    import random
+
+    rnd = random.Random(5)
+    place = lambda: rnd.choice([rnd.uniform(-50, 50), float(rnd.randint(-5, 5)), 1e6])
+    left = [(k, rnd.randint(0, 3), place()) for k in range(200)] + [(200, 0, None), (201, None, 1.0), (202, 9, 1.0)]
+    right = [(rnd.randint(0, 2), place(), k) for k in range(150)] + [(0, None, 900), (None, 1.0, 901)]
+    l, r = spark.createDataFrame(left, "k int, group int, at double"), spark.createDataFrame(right, "group int, at double, id int")
+    got = {(x["group"], x["at"]): x["nearest"] for x in nearest(l, r, 7.0).collect()}
+    want = {}
+    for _, g, a in left:
+        near = [(abs(b - a), i) for h, b, i in right if h == g and None not in (a, b, g)]
+        if near:
+            want[g, a] = min(near)[1]
+    assert got == want
+
+
+ABSTRACT = "We measured how long the rain falls on the old roofs of nine towns. " * 5
+
+
+def test_inferred_abstracts():
+    body = ABSTRACT.strip()
+    page = f"A title\nAnna Berg\nABSTRACT\n{body} Keywords: rain, roofs\n1. Introduction\nMore."
+    assert abstracts.infer(page) == (body, "pdf-explicit-heading")
+    assert abstracts.infer(f"A title\nEdited by C. Dyk\n{body}\nIntroduction\nMore.") == (body, "pdf-editorial-front-matter")
+    acm = f"A title\nAnna Berg\n{body}\nCCS Concepts: rain\nMore text."
+    assert abstracts.infer(acm) == (body, "pdf-implicit-front-matter")
+    assert abstracts.infer(acm.replace("CCS Concepts", "Notes")) == (None, None)  # no publisher's mark
+    assert abstracts.infer("Abstract\n" + "Too short. " * 5) == abstracts.infer("Abstract\n" + "no end " * 60) == abstracts.infer("Abstract\n" + "Long one. " * 300) == (None, None)
+    assert abstracts.infer(None) == abstracts.infer("") == (None, None)
+    assert abstracts.infer(f"Abstract\n{body}\nA | B | C\nNot this.") == (body, "pdf-explicit-heading")
+    assert abstracts.infer(f"Abstract\n{body}\nPublished by Us\nNot this.")[0] == body
+
+
+def test_front_matter_gives_way_to_the_abstract():
+    body = ABSTRACT.strip()
+    page = f"A title\nAbstract\n{body}\nKeywords: rain\n1. Introduction\nMore."
+    assert abstracts.replace_front_matter(page, *abstracts.infer(page)) == f"Abstract\n\n{body}\n\n1. Introduction\nMore."
+    rows = f"Abstract\n{body}\nA | B | C\nAfter."
+    assert abstracts.replace_front_matter(rows, *abstracts.infer(rows)) == f"Abstract\n\n{body}\n\nAfter."
+    assert abstracts.replace_front_matter("No abstract.", None, None) == "No abstract."
+    assert abstracts.replace_front_matter(f"Abstract\n{body}", body, "pdf-explicit-heading") == f"Abstract\n{body}"  # no boundary
+
+
+def test_publisher_abstracts(spark):
+    head = '<meta name="citation_title" content="Rain on roofs"><meta name="citation_doi" content="https://doi.org/10.1234/AB">'
+    meta, linked = '<meta name="citation_abstract" content="<p>It rains.</p>">', '<script type="application/ld+json">{"@graph": [{"name": "Other", "abstract": "No."}, {"headline": "Rain on roofs!", "abstract": "It pours."}]}</script>'
+    box = '<div class="Abs1"><br>Abstract: It <b>drips.</b></div><div>Not this.</div>'
+    got = lambda *parts, title="Rain on roofs", doi=None: abstracts.publisher_abstract(head + "".join(parts), title, doi)
+    assert [got(meta, linked, box), got(linked, box), got(box), got()] == ["It rains.", "It pours.", "It drips.", ""]
+    assert got(meta, doi="10.1234/ab") == "It rains." and got(meta, doi="10.1234/other") == got(meta, title="Snow") == got(meta.replace("rains.", "rains…")) == ""
+    assert got('<script type="application/ld+json">{broken</script>', box) == "It drips." and abstracts.publisher_abstract(None, "x") == ""
+
+
+def test_labels_votes_and_names(spark):
+    names = lambda *n: F.array(*[F.lit(x) for x in n])
+    assert [one(spark, text.label(names(*n))) for n in (["Berg, Anna"], ["Ada Lovelace", "Jan van Dyk"], ["A B", "C D", "E F"])] == ["Berg", "Lovelace & van Dyk", "B et al."]
+    vote = lambda **k: one(spark, text.voted({a: F.lit(n) for a, n in k.items()}))
+    assert [vote(en=20, de=23, fr=0), vote(en=20, de=24, fr=24), vote(en=0, de=0, fr=0), vote(en=0, de=0, fr=1)] == ["en", "de", "en", "fr"]
+    name = lambda c: one(spark, text.file_part(F.lit(c)))
+    assert name("ж" * 180) == "ж" * 120 and name("雨" * 200) == "雨" * 80 and name("a" * 200) == "a" * 180 and name(" . ") == "document" and name("a:b—c") == "a - b - c"
+
+
+def test_queries_without_sql_on_known_rows(spark, tmp_path):
+    page = '<html><head><title>T</title><meta name="citation_author" content="C"></head><body><article><h1>One</h1><p>A &amp; <b>b</b></p><ul><li>x</li></ul><nav>no</nav></article>out</body></html>'
+    spark.createDataFrame([(1, "http://a.b/", page), (2, None, None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, "ﬁrst line ( a ) .", "src"), (2, "é" * 300, None)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: {r[0]: r[1] for r in plans.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("s11_article_markdown") == {1: "## One\n\nA & b\n\n- x", 2: ""}
+    assert run("t6_abstracts") == {1: "T One A & b x no out", 2: ""}
+    assert run("c11_citation_tags")[1] == '{"citation_author":["A","B","C"]}'
+    assert run("t1_nfkc") == {1: "first line (a).", 2: "é" * 300}
+    name = run("t30_readable_name")
+    assert name[1] == "2025 — ﬁrst line ( a ) . — src" and len(name[2].encode()) in (234, 235)
