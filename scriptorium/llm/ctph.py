@@ -142,12 +142,12 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     dealt = docs.select("doc_id", "text").repartitionByRange(parts, order[0]).sortWithinPartitions(*order)
     rows = materialise(dealt.mapInArrow(_stream, _OUT), "ctph")
     seam = rows.where("part IS NOT NULL")
-    heads = seam.where("place = 0").select("part", "text")  # one row for each range
-    ends = seam.where("place = 1")
-    place = F.row_number().over(W.orderBy("part")) - 1
-    ranges = F.count("*").over(W.partitionBy())
-    following = heads.select(F.pmod(place - 1, ranges).alias("k"), F.col("text").alias("following"))  # the first range follows the last
-    last = ends.withColumn("k", place.cast("long")).join(following, "k", "left")
+    heads, ends = seam.where("place = 0"), seam.where("place = 1")  # one row for each range
+    in_order = W.orderBy("part")
+    follows = F.coalesce(F.lead("part").over(in_order), F.min("part").over(W.partitionBy()))  # the first range follows the last
+    numbers = F.broadcast(heads.select("part", follows.alias("then")))  # numbers of ranges alone: at most ``parts`` rows
+    following = heads.select(F.col("part").alias("then"), F.col("text").alias("following"))
+    last = ends.join(numbers, "part").join(following, "then")
     last = last.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint", "part", "place", "text", F.col("following").alias("next_text"))
     done = rows.where("part IS NULL").unionByName(last.mapInArrow(_seams, _OUT))
     return done.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")

@@ -76,6 +76,79 @@ def test_ctph_follows_content():
 
 
 # toxicity
+def _plain_fingerprint(text):
+    """The fingerprint byte by byte, without arrays."""
+    data, full = text.encode(), 2**32 - 1
+    if not data:
+        return "3::"
+    table = [int(x) for x in ctph._TABLE]
+    turned = lambda v, k: (v << k | v >> (32 - k)) & full if k else v
+    states = [sum(turned(table[data[i - k]], 4 * k) for k in range(min(7, i + 1))) & full for i in range(len(data))]
+
+    def mixed(v):
+        for _ in range(2):
+            v ^= v >> 32
+            v = v * 0xD6E8FEB86659FD93 & (2**64 - 1)
+        return v ^ v >> 32
+
+    def signature(block):
+        out, total = [], 0
+        for k, state in enumerate(states):
+            total += state
+            if k + 1 == len(states) or state % block == block - 1 and len(out) < 63:
+                out.append("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[mixed(total) >> 58])
+                total = 0
+        return "".join(out)
+
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    while block > 3 and sum(s % block == block - 1 for s in states) < 32:
+        block //= 2
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def _plain_likeness(a, b):
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, above = [i], row
+            for j, d in enumerate(y, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (c != d)))
+        return row[-1]
+
+    like = lambda x, y: 1 - distance(x, y) / max(len(x), len(y)) if x or y else 1.0
+    (p, a1, a2), (q, b1, b2) = a.split(":"), b.split(":")
+    p, q = int(p), int(q)
+    if a == b:
+        return 1.0
+    if (not a1) != (not b1):
+        return 0.0
+    return max(like(a1, b1), like(a2, b2)) if p == q else like(a1, b2) if p == 2 * q else like(a2, b1) if 2 * p == q else 0.0
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_fingerprints_equal_a_plain_version(spark, tmp_path, ranges):
+    rnd = random.Random(3)
+    words = [rnd.choice(["rain", "roof", "wörd", "\n", "x" * 40, "雨", "Ada.", "in"]) for _ in range(9000)]
+    texts = [" ".join(words[i : i + rnd.choice([1, 30, 300])]) for i in range(0, 8000, 220)] + ["", None, "a", "ab", words[3], " ".join(words)]
+    spark.createDataFrame([(3 * k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        got = {r.doc_id: r for r in queries.QUERIES["op3_fingerprints"](spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        t, following = t or "", texts[k - 1] or ""
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        own, other, after = (_plain_fingerprint(x) for x in (t, edited, following))
+        r = got[3 * k]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), own, other)
+        assert (r.near_edited, r.near_next) == pytest.approx((_plain_likeness(own, other), _plain_likeness(own, after)))
+
+
 def test_identity_swaps_move_no_score():
     rng = random.Random(0)
     filler = lambda: " ".join(rng.choice(["tree", "house", "river", "song", "bread", "stone"]) for _ in range(12))
