@@ -10,7 +10,7 @@ from ._common import fresh_path, materialise, table
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path = fresh_path(spark, "op2-warc")
-    warc.write(pages, path, F.concat_ws(":", F.col("_metadata.file_name"), F.col("_metadata.row_index")))
+    warc.write(pages, path, F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index")))
     records = materialise(warc.read(spark, path, with_block=False), "op2-records")
     return warc.resolve_revisits(warc.assemble(records))
 

@@ -52,7 +52,8 @@ def _record(kind: Column | str, record_id: Column, fields: list[tuple[str, Colum
 def with_records(pages: DataFrame, row_key: Column, date: str, min_bytes: int = 0) -> DataFrame:
     """Adds digest, size, the winner of each group of equal payloads, and the capture's records as one string.
 
-    Only digests that occur twice are joined back, so payloads move only where copies exist.
+    Only digests that occur twice are joined back. Spark sends that side to all executors where it is
+    small; else rows with their payloads are shuffled by digest once, and split where one digest is hot.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select("page_id", "url", "html", row_key.alias("row_key")).withColumn("digest", base32_sha1(payload.cast("binary"))).withColumn("bytes", F.octet_length(payload).cast("long"))
