@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}
 _WRITTEN: dict[int, tuple[DataFrame, str]] = {}
 
@@ -58,10 +59,18 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, tidy: bool = False) -> DataFrame:
+    """``df`` written and read again; ``tidy`` drops the shuffles of this write as soon as it is done."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    if tidy:
+        spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(CLEAN_UP, before) if before is not None else spark.conf.unset(CLEAN_UP)
     out = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[id(out)] = (out, path)
     return out
