@@ -185,13 +185,14 @@ def encode(df: DataFrame, id_col: str, vector_col: str, label_col: str, p: Param
     """Codes and final squared errors of all kept vectors, and the codebooks (at most 256 entries each)."""
     if not 0 < p.entries <= 256:
         raise ValueError("two hex digits hold 1 to 256 entries")
-    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector")).where(finite(F.col(vector_col)))
+    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector")).where(finite(F.col("vector")))
     lengths = {r[0]: r[1] for r in rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()}
     width = next(iter(lengths), 0)
     fits = (F.size("vector") == width) & F.lit(width % p.parts == 0 and width > 0)
     even = rows.where(fits)
     kinds = {f.name: f.dataType for f in rows.schema.fields}
-    first = np.asarray([r.vector for r in even.orderBy(F.col("id").asc_nulls_last(), "vector").limit(p.entries).collect()], np.float64).reshape(-1, width)  # `entries` rows
+    lowest = [r.vector for r in even.orderBy(F.col("id").asc_nulls_last(), "vector").limit(p.entries).collect()]  # `entries` rows
+    first = np.asarray(lowest, np.float64).reshape(len(lowest), width)
     start = integers(first, p.scale).reshape(len(first), p.parts, -1) if len(first) else np.zeros((0, p.parts, 0), np.int64)
     books = [narrow(start[:, k]) for k in range(p.parts)]
     shape = f"id {kinds['id'].simpleString()}, label {kinds['label'].simpleString()}"

@@ -1,6 +1,7 @@
 """Every dealt query and stage over nulls, empty and long texts, repeated rows, extra columns and empty tables."""
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,7 +27,11 @@ def sf(request, spark, tmp_path_factory):
     pages = spark.createDataFrame(pages, "page_id long, url string, html string")
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (9, 0, 0), (10, 1, 1), (6, 1, 0), (None, 1, 1), (3, None, None), (2, 0, 1)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "x"), (5, ITEM)], "item_id long, text string")
-    for name, df in (("documents", docs), ("pages", pages), ("labels", labels), ("benchmark", bench)):
+    nan, inf = float("nan"), float("inf")
+    unit = [[float(i == k) for i in range(16)] for k in range(16)]
+    vectors = [(1, unit[0], 1), (1, unit[0], 1), (2, None, 1), (3, [None, *unit[1][1:]], 1), (4, [nan, *unit[1][1:]], 2), (5, [-inf, *unit[1][1:]], 2), (None, unit[2], None), (6, unit[3], None), (7, [1e30] * 16, 3), (8, [-0.001] * 16, 3), (9, [], 3), (10, [1.0] * 32, 3)]
+    vectors = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    for name, df in (("documents", docs), ("pages", pages), ("labels", labels), ("benchmark", bench), ("embeddings", vectors)):
         if name != "benchmark" and name != "labels":
             df = df.select("*", *[F.lit("clash").alias(c) for c in EXTRA])
         (df.limit(0) if request.param == "empty" else df).write.parquet(f"{path}/{name}.parquet")
@@ -35,8 +40,9 @@ def sf(request, spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(name, spark, sf):
-    source = "pages" if name.split("_")[0] in ("op1", "op2", "op9") else "documents"
+    source = {"op1": "pages", "op2": "pages", "op9": "pages", "op13": "embeddings"}.get(name.split("_")[0], "documents")
     n = spark.read.parquet(f"{sf}/{source}.parquet").count()
+    n -= 4 if n and source == "embeddings" else 0  # null, null part, not a number, infinite
     rows = queries.QUERIES[name](spark, sf).collect()
     if name.startswith("op6"):
         found = {(r.doc_id, r.item_id) for r in rows}
@@ -66,6 +72,18 @@ def test_query(name, spark, sf):
         assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
     if name.split("_")[0] in ("op4", "op10"):
         assert all(0 <= r.score <= 1 for r in rows)
+    if n and name.startswith("op11"):
+        drawn = sorted(r.rank for r in rows if r.rank)
+        fit = sum(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", d[1] or "")) >= 20 for d in DOCS)
+        assert drawn == list(range(1, fit * 25 // 100 + 1)) and {(r.n_features, r.weight) for r in rows if r.doc_id in (2, 3, 7)} == {(0, 0)}
+    if n and name.startswith("op12"):
+        for source in {(r.source_size, r.target) for r in rows}:
+            own = [r for r in rows if (r.source_size, r.target) == source]
+            assert all(0 <= r.taken <= 2 * r.size for r in own) and 0 <= source[1] - sum(r.taken for r in own) <= len(own)
+    if n and name.startswith("op13"):
+        code = {r.vec_id: (r.code, r.error) for r in rows}
+        assert code[9] == code[10] == (None, None) and len(code[1][0]) == 32 and code[1] == ("00" * 16, 0)
+        assert code[7][0] is not None and len({r.label_error for r in rows if r.vec_id in (None, 6)}) == 1
     if n and name.startswith("op5"):
         for s in {r.shard for r in rows}:
             assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))

@@ -4,15 +4,17 @@ import base64
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import ctph, decontam, html_extract, jaccard_join, packing, quality, queries, sharding, toxicity, url_filter, warc
+from scriptorium.llm import ctph, decontam, html_extract, importance, jaccard_join, mixing, packing, quality, queries, sharding, toxicity, url_filter, vector_codes, warc
 from scriptorium.llm.q08_packing import WordIds
 
 SF = "/root/testdata/sf0.001"
@@ -24,7 +26,7 @@ def test_sql(name, spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "documents"):
+    for t in ("pages", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     want = con.sql(queries.SQL[name])
@@ -477,3 +479,150 @@ def test_features_don_t_depend_on_neighbours_in_the_batch():
     for k, t in enumerate(texts):
         own, own_size, _ = quality.features(pa.array([t]))
         assert np.allclose(x[at[k] : at[k + 1]], own) and np.allclose(size[at[k] : at[k + 1]], own_size)
+
+
+# importance resampling
+def plain_importance(docs, bench, buckets=10_000, seed=7):
+    """The contract word by word, every feature hashed where it stands."""
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+    def features(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(lower))
+        return len(words), [zlib.crc32(f.encode()) % buckets for f in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]]
+
+    seen = [(i, *features(t)) for i, t in docs]
+    s, t = collections.Counter(b for _, _, f in seen for b in f), collections.Counter(b for x in bench for b in features(x)[1])
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[k] + 1) * (big_s + buckets) / ((s[k] + 1) * (big_t + buckets)))) for k in range(buckets)]
+    out = []
+    for i, n, f in seen:
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append((i, n, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    fit = sorted((o for o in out if o[1] >= 20), key=lambda o: (-o[4], o[0]))
+    rank = {o[0]: k + 1 for k, o in enumerate(fit[: 25 * len(fit) // 100])}
+    return sorted((o[0], *o[2:], rank.get(o[0])) for o in out)
+
+
+@pytest.mark.parametrize("chunk", [importance.CHUNK, 3000])
+def test_importance_is_the_contract_word_by_word(spark, chunk, monkeypatch):
+    if chunk != importance.CHUNK:
+        monkeypatch.setattr(importance, "_cut", lambda side, real=importance._cut: small_chunks(real(side)))
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert sorted(tuple(r) for r in queries.QUERIES["op11_importance"](spark, SF).collect()) == plain_importance(docs, bench)
+
+
+def small_chunks(cut):
+    """Each batch by rows of three, so that every text is spread over many chunks."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 3):
+                yield from cut(iter([batch.slice(lo, 3)]))
+
+    return run
+
+
+def test_chunks_keep_each_document_once():
+    rows = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(range(9)), pa.array(["ab cd"] * 4 + ["x " * (importance.CHUNK // 2 + 9), None, "", "ab", "y " * 10])], ["row", "id", "text"])
+    chunks = [r for b in importance._cut(False)(iter([rows, rows.slice(0, 0)])) for r in b.to_pylist()]
+    ids = [pa.ipc.open_stream(c["docs"]).read_all()["id"].to_pylist() for c in chunks]
+    assert ids == [[0, 1, 2, 3], [4], [5, 6, 7, 8]] and [c["chunk"] for c in chunks] == [0, 8, 10]
+
+
+def test_crc_and_ranks_with_ties(spark):
+    texts = ["", "a", "é x", "w" * 47, "w" * 48, "w" * 49, "long" * 100]
+    assert importance.crc32s(pa.array(texts)).tolist() == [zlib.crc32(t.encode()) for t in texts]
+    rows = spark.createDataFrame([(5, 30, 59, 7)] * 3 + [(None, 30, 59, 7)] * 2 + [(6, 19, 37, 900), (7, 20, 39, -5)] + [(100 + k, 25, 49, k % 3) for k in range(40)], "id long, n_words long, n_features long, weight long")
+    got = importance.resample(rows).collect()
+    fit = [r for r in got if r.n_words >= 20]
+    assert sorted(r.rank for r in got if r.rank) == list(range(1, len(fit) * 25 // 100 + 1)) and len(got) == 47
+    lowest = min((r.score, r.rank) for r in fit if r.rank)[0]
+    assert all(r.rank for r in fit if r.score > lowest) and not any(r.rank for r in got if r.score < lowest or r.n_words < 20)
+    ordered = sorted((r for r in fit if r.rank), key=lambda r: r.rank)
+    assert [(-r.score, r.id is None, r.id or 0) for r in ordered] == sorted((-r.score, r.id is None, r.id or 0) for r in ordered)
+
+
+# mixing
+def test_mix_targets_fill_up_by_weight(spark):
+    def plain(sizes, share, weights, cap):
+        order = sorted(sizes, key=lambda s: (s is None, s))
+        w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+        out, free, left = {}, set(order), share * sum(sizes.values())
+        while free:
+            level = left / sum(w[s] for s in free)
+            over = {s for s in free if w[s] * level > cap * sizes[s]}
+            if not over:
+                return out | {s: w[s] * level for s in free}
+            out |= {s: cap * sizes[s] for s in over}
+            left -= sum(cap * sizes[s] for s in over)
+            free -= over
+        return out
+
+    rng = random.Random(5)
+    for trial in range(4):
+        sizes = {s: rng.choice([0, 1, 10, 1000, 10**9]) * rng.randint(1, 9) for s in [None, *(f"s{k}" for k in range(rng.randint(1, 12)))]}
+        got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), 1.5, [3, 1, 2], 2).collect()
+        want = plain(sizes, 1.5, [3, 1, 2], 2)
+        assert {r.source: pytest.approx(r.target) for r in got} == want, trial
+
+
+def test_mix_is_nested_near_its_targets_and_the_same_salted(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(k, rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 40)) for k in range(600)] + [(7, "hot", 3)] * 500 + [(8, "one", 1000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("h", mixing.hash60("s", F.col("doc_id"))).withColumn("target_x", F.lit("clash"))
+    mixed = mixing.mix(df, {"x": 0.4, "y": 1.0, "z": 1.5}, [3, 1, 2])
+    got = sorted((tuple(r) for r in mixed.select("source", "size", "h", "target_x", "taken_x", "target_y", "taken_y", "target_z", "taken_z").collect()), key=repr)
+    assert len(got) == len(rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r[0]].append(r)
+        assert 0 <= r[4] <= r[6] <= r[8] <= 2 * r[1]
+    for own in by.values():
+        for t in (3, 5, 7):
+            assert 0 <= own[0][t] - sum(r[t + 1] for r in own) <= sum(r[2] == s[2] for r in own for s in own[:1]) + len(own) * (own[0][0] == "hot") + 1
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    again = mixing.mix(df, {"x": 0.4, "y": 1.0, "z": 1.5}, [3, 1, 2]).select("source", "size", "h", "target_x", "taken_x", "target_y", "taken_y", "target_z", "taken_z")
+    assert sorted((tuple(r) for r in again.collect()), key=repr) == got
+
+
+# vector codes
+def plain_codes(rows, parts, entries, rounds):
+    cut = lambda v: [tuple(math.floor(x * 256) for x in v[k * len(v) // parts : (k + 1) * len(v) // parts]) for k in range(parts)]
+    far = lambda x, c: sum((a - b) ** 2 for a, b in zip(x, c, strict=True))
+    near = lambda x, book: min(range(len(book)), key=lambda k: (far(x, book[k]), k))
+    rows = sorted(rows)
+    split = [cut(v) for _, v in rows]
+    books = [[s[p] for s in split[:entries]] for p in range(parts)]
+    for _ in range(rounds):
+        for p, book in enumerate(books):
+            held = collections.defaultdict(list)
+            for s in split:
+                held[near(s[p], book)].append(s[p])
+            books[p] = [tuple(sum(c) // len(held[k]) for c in zip(*held[k], strict=True)) if k in held else entry for k, entry in enumerate(book)]
+    codes = [[near(s[p], books[p]) for p in range(parts)] for s in split]
+    errors = [sum(far(s[p], books[p][c[p]]) for p in range(parts)) for s, c in zip(split, codes, strict=True)]
+    return [(i, "".join(f"{k:02x}" for k in c), e) for (i, _), c, e in zip(rows, codes, errors, strict=True)], books
+
+
+def test_vector_codes_are_those_of_whole_numbers(spark, monkeypatch):
+    """Small and huge components (beyond 64-bit distances) in one table, blocks of few rows, more tasks than one."""
+    monkeypatch.setattr(vector_codes, "CELLS", 64)
+    rng = random.Random(3)
+    for scale in (1.0, 3e9):
+        rows = [(k, [rng.choice([1.0, 1.0, scale]) * rng.uniform(-2, 2) for _ in range(8)]) for k in range(120)]
+        df = spark.createDataFrame([(i, v, i % 3) for i, v in rows], "vec_id long, embedding array<double>, label int").repartition(5)
+        got = vector_codes.encode(df, "vec_id", "embedding", "label", vector_codes.Params(parts=4, entries=9, rounds=3))
+        want, books = plain_codes(rows, 4, 9, 3)
+        assert sorted((r.id, r.code) for r in got.rows.collect()) == [w[:2] for w in want]
+        assert [[tuple(int(x) for x in e) for e in b] for b in got.books] == books
+        assert all(r.error == e or e >= 1 << 63 for r, (_, _, e) in zip(sorted(got.rows.collect(), key=lambda r: r.id), want, strict=True))
+
+
+def test_label_errors_are_the_same_salted(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, None if k % 3 else 1, "00", k) for k in range(90)], "id long, label int, code string, error long")
+    broad = sorted((tuple(r) for r in vector_codes.with_label_error(rows).collect()), key=repr)
+    monkeypatch.setattr(vector_codes, "BROADCAST_LABELS", 0)
+    assert sorted((tuple(r) for r in vector_codes.with_label_error(rows).collect()), key=repr) == broad
+    assert {r[1]: r[4] for r in broad} == {1: sum(range(0, 90, 3)), None: sum(k for k in range(90) if k % 3)}
