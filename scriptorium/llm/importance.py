@@ -36,11 +36,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ._common import flat_bytes, materialise, mix, release
 
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Bytes of features that a range is meant to hold.
 RANGE = 64 << 20
 #: Entries that a task gathers before it sends them back by chunk.
-HELD = 1 << 20
+HELD = 1 << 18
 
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[:0x30] = _IN_WORD[0x3A:0x61] = _IN_WORD[0x7B:0x80] = False
