@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.records import first_of
 from scriptorium.functions.text import squeeze
-from scriptorium.operators import blocks
+from scriptorium.functions import text as T
+from scriptorium.operators import blocks, paragraphs
 from scriptorium.plans.registry import query
 from scriptorium.sources.tables import table
 
@@ -94,9 +95,7 @@ def t6_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def t1_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from scriptorium.functions.arrow import nfkc
-
-    return _docs(spark, sf_dir).select("doc_id", nfkc("text").alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", T.normal("text").alias("text"))
 
 
 @query()
@@ -164,22 +163,34 @@ def g20_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy("url").agg((F.count("*") == 1).alias("verified"))
 
 
-@query("SELECT doc_id, k, block FROM (SELECT doc_id, unnest(range(0, len(p))) AS k, unnest(p) AS block FROM (SELECT doc_id, [regexp_replace(text, '\n', ' ', 'g')] AS p FROM documents WHERE NOT contains(text, '\n\n') AND NOT regexp_matches(text, '[a-z]-\n[a-z]'))) WHERE trim(block) <> ''")
+_NAMES = ", ".join(f"'{n}'" for n in T.SECTION_NAMES)
+#: Lines with kind and island in SQL, for texts of one page (the given ones have no form feeds, so no edge runs).
+LINES_SQL = rf"""l AS (SELECT doc_id, unnest(range(0, len(x))) AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+ c AS (SELECT doc_id, line, trim(t) AS raw, regexp_replace(regexp_replace(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ([,.;:!?)])', '\1', 'g'), '\( ', '(', 'g') AS clean FROM l),
+ n AS (SELECT *, raw <> '' AND contains('{paragraphs.NOTE_SIGNS}', raw[1]) AS sign, regexp_matches(raw, '[.!?]$') AS closed FROM c),
+ o AS (SELECT *, raw <> '' AND (sign OR coalesce(last_value(CASE WHEN sign AND NOT closed THEN true WHEN raw = '' OR closed THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)) AS note FROM n),
+ p AS (SELECT *, regexp_extract(clean, '^(\S+)\s+\S', 1) AS word, CASE WHEN raw = '' THEN 'blank' WHEN note THEN 'footnote' WHEN clean = '' THEN 'none' WHEN regexp_matches(lower(clean), '^(?:{"|".join(paragraphs.PUBLISHER)})(?:\W|$)') THEN 'publisher-or-contact-furniture' WHEN rtrim(lower(clean), ':') = 'significance' THEN 'heading' END AS sure FROM o),
+ q AS (SELECT *, coalesce(sure, CASE WHEN regexp_matches(clean, '^#{{2,6}}\s') OR rtrim(lower(clean), ':') IN ({_NAMES}) OR regexp_full_match(word, '{T.NUMBER}') AND length(clean) <= {T.HEADING_CHARS} AND CAST(regexp_extract(word, '[0-9]+') AS HUGEINT) <= {T.HEADING_NUMBER} THEN 'maybe' ELSE 'text' END) AS likely FROM p),
+ r AS (SELECT *, likely IN ('blank', 'publisher-or-contact-furniture', 'heading') OR sign AND likely = 'footnote' AS breaks FROM q),
+ s AS (SELECT *, sum(breaks::INT) OVER (PARTITION BY doc_id ORDER BY line) AS island, CASE WHEN likely <> 'maybe' THEN likely WHEN coalesce(last_value(CASE WHEN likely = 'text' THEN true WHEN breaks THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'text' ELSE 'heading' END AS kind FROM r)"""
+
+
+@query(rf"""WITH {LINES_SQL},
+ g AS (SELECT doc_id, min(line) AS line, kind, CASE WHEN kind = 'heading' THEN min(clean) ELSE trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(string_agg(raw, chr(10) ORDER BY line), '-' || chr(10), '-'), chr(10), ' '), '\s+', ' ', 'g'), ' ([,.;:!?)])', '\1', 'g'), '\( ', '(', 'g')) END AS b FROM s WHERE kind IN ('text', 'heading') GROUP BY doc_id, island, kind),
+ h AS (SELECT *, regexp_extract(b, '^({T.NUMBER})\s+\S', 1) AS num, string_split(regexp_replace(regexp_replace(b, '^\S+\s+', ''), '([^\n]{{2}})\.\s+([A-ZÀ-ÖØ-Þ][^\n])', '\1' || chr(1) || '\2'), chr(1)) AS w FROM g WHERE b <> ''),
+ i AS (SELECT doc_id, line, CASE WHEN num <> '' AND len(w) = 2 AND length(w[1]) <= {T.INLINE_CHARS} AND len(string_split(trim(w[1]), ' ')) <= {T.INLINE_WORDS} THEN [num[1:-2] || '. ' || w[1], w[2]] ELSE [b] END AS parts FROM h),
+ j AS (SELECT doc_id, line, unnest(range(0, len(parts))) AS n, unnest(parts) AS block FROM i)
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, n) - 1 AS k, block FROM j""")
 def x1_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all documents; the SQL states the case without blank lines, line-end hyphens and omissions."""
-    from scriptorium.functions.arrow import assemble
-
-    a = _docs(spark, sf_dir).select("doc_id", assemble("text").alias("a"))
-    return a.select("doc_id", F.posexplode("a.blocks").alias("k", "block")).withColumn("k", F.col("k").cast("long"))
+    lines = paragraphs.classified(_docs(spark, sf_dir), "doc_id", "text")
+    return paragraphs.blocks(lines).select(F.col("id").alias("doc_id"), "k", "block")
 
 
-@query()
+@query(f"WITH {LINES_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS k, clean AS text, kind AS reason FROM s WHERE kind NOT IN ('text', 'heading', 'blank', 'none')")
 def x1_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that x1_paragraphs leaves out, each with its reason."""
-    from scriptorium.functions.arrow import assemble
-
-    a = _docs(spark, sf_dir).select("doc_id", assemble("text").alias("a"))
-    return a.select("doc_id", F.posexplode("a.omissions").alias("k", "o")).select("doc_id", F.col("k").cast("long").alias("k"), "o.text", "o.reason")
+    lines = paragraphs.classified(_docs(spark, sf_dir), "doc_id", "text")
+    return paragraphs.omissions(lines).select(F.col("id").alias("doc_id"), "k", "text", "reason")
 
 
 @query("SELECT conv_id, count(*) AS blocks, count(*) FILTER (turn % 2 = 0) AS headings FROM (SELECT conv_id, turn FROM conversations) GROUP BY conv_id")
@@ -269,25 +280,8 @@ def g22_import_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def x3_inferred_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The abstract that each document's first page (up to a form feed) shows, with its evidence; null without one."""
-    from scriptorium.functions.abstracts import inferred
-
-    a = _docs(spark, sf_dir).select("doc_id", inferred(F.split_part("text", F.lit("\f"), F.lit(1))).alias("a"))
-    return a.select("doc_id", "a.abstract", "a.source")
-
-
-@query()
-def t31_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First pages with the title block replaced by the inferred abstract; pages without one are as they were."""
-    from scriptorium.functions.abstracts import with_abstract
-
-    return _docs(spark, sf_dir).select("doc_id", with_abstract(F.split_part("text", F.lit("\f"), F.lit(1))).alias("page"))
-
-
-@query()
-def g14_publisher_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The abstract that a page states for the work named in its title element; empty without one."""
-    from scriptorium.functions.abstracts import from_publisher
-
-    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1)
-    return table(spark, sf_dir, "pages").select("page_id", from_publisher("html", title, F.lit(None).cast("string")).alias("abstract"))
+    """The section that a document itself heads as its abstract, if it has 40 to 600 words and ends as a sentence; else null."""
+    docs = _docs(spark, sf_dir)
+    found = paragraphs.headed_section(paragraphs.classified(docs, "doc_id", "text"), ("abstract", "summary"), ("keywords", "key words"))
+    words = F.size(F.split("section", " "))
+    return found.select(F.col("id").alias("doc_id"), F.when(words.between(40, 600) & F.col("section").rlike(r"[.!?]\z"), F.col("section")).alias("abstract"))

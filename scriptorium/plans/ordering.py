@@ -63,9 +63,12 @@ def w8_look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w8_reference_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns, and whether they stay: the tail is cut at the first numbered entry that two more follow,
     each above the last by at most 5, within the next 11 turns."""
-    entry = r"\A([0-9]{1,3})\.\s+[A-ZÀ-ÖØ-Þ][\w’'-]+(?:\s[a-zà-ÿ]{1,3})?(?:\s[\w’'-]+)?\s[A-ZÀ-ÖØ-Þ]{1,3}[.,]"
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract(F.trim("text"), entry, 1).alias("n"))
-    c = c.withColumn("n", F.when(F.col("n") != "", F.col("n").cast("int")))
+    word = F.split(F.trim("text"), r"\s+")
+    number = F.regexp_extract(F.get(word, F.lit(0)), r"\A([0-9]{1,3})\.\z", 1)
+    # a surname of up to three words, then initials that a point or comma closes
+    initials = F.filter(F.slice(word, 3, 3), lambda w: w.rlike(r"\A\p{Lu}{1,3}[.,]"))
+    named = F.get(word, F.lit(1)).rlike(r"\A\p{Lu}[\p{L}\p{N}_’'-]+\z") & (F.size(initials) > 0)
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when((number != "") & named, number.cast("int")).alias("n"))
     ahead = F.collect_list("n").over(_turn().rowsBetween(1, 11))
     run = F.aggregate("ahead", F.struct(F.col("n").alias("last"), F.lit(1).alias("entries")), lambda a, x: F.when(
         (a["last"] < x) & (x <= a["last"] + 5), F.struct(x.alias("last"), (a["entries"] + 1).alias("entries"))).otherwise(a))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.functions import arrow
+from scriptorium.functions import arrow, text
 from scriptorium.functions.records import first_of
 from scriptorium.functions.text import digit_dense
+from scriptorium.operators import paragraphs
 from scriptorium.plans.registry import query
 from scriptorium.sources.tables import table
 
@@ -30,19 +31,16 @@ def x2_block_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def x2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every block of a document with the first rule that omits it; rules on pages and titles need columns that documents lack."""
-    from scriptorium.functions.arrow import assemble
-
-    def starts_references(b):
-        return F.lower(F.rtrim(b, F.lit(":"))).isin("references", "bibliography", "literature cited", "works cited") | b.rlike(r"\A[0-9]+\.\s+[A-ZÀ-ÖØ-Þ]\.\s+")
-
-    d = _docs(spark, sf_dir).select("doc_id", assemble("text").alias("a")).select("doc_id", F.col("a.blocks").alias("b"))
-    d = d.withColumn("first", F.array_position(F.transform("b", starts_references), F.lit(True)) - 1)
-    d = d.select("doc_id", "first", F.posexplode("b").alias("k", "block"))
-    reason = F.when((F.col("first") >= 0) & (F.col("k") >= F.col("first")), "reference-section")
+    entry = r"\A[0-9]+\.\s+[A-ZÀ-ÖØ-Þ]\.\s+"
+    starts = text.heading_name("block").isin(*text.REFERENCE_NAMES) | F.col("block").rlike(entry)
+    d = paragraphs.blocks(paragraphs.classified(_docs(spark, sf_dir), "doc_id", "text"))
+    d = d.withColumn("first", F.min(F.when(starts, F.col("k"))).over(W.partitionBy("row"))).withColumnRenamed("id", "doc_id")
+    reason = F.when(F.col("k") >= F.col("first"), "reference-section")
+    #: How captions and notes begin.
     for form, name in ((r"(?i)\A(?:table|fig(?:ure)?)\s*[0-9]+[.:]", "table-or-figure-caption"), (r"(?i)\A(?:this (?:table|figure)|sample:|se in parentheses)", "table-or-figure-note")):
         reason = reason.when(F.col("block").rlike(form), name)
     reason = reason.when(digit_dense(F.col("block")), "probable-table-grid")
-    return d.select("doc_id", F.col("k").cast("long").alias("k"), "block", reason.alias("omission_reason")).withColumn("included", F.col("omission_reason").isNull())
+    return d.select("doc_id", "k", "block", reason.alias("omission_reason")).withColumn("included", F.col("omission_reason").isNull())
 
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal, CASE WHEN turn = 0 THEN 700 WHEN role = 'user' THEN 500 ELSE 240 END AS pause FROM conversations")

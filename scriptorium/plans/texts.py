@@ -65,17 +65,19 @@ def t10_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = "(SELECT doc_id, unnest(range(0, len(l))) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 
 
-@query(f"""SELECT doc_id, k::INT AS k, CASE WHEN marks > 0 THEN marks WHEN lower(trim(line)) IN ('abstract', 'introduction', 'methods', 'results', 'discussion', 'conclusion', 'conclusions', 'references', 'acknowledgements') THEN 2
- WHEN num <> '' AND length(line) <= 140 AND split_part(num, '.', 1)::INT <= 30 THEN least(6, length(num) - length(replace(num, '.', '')) + 2) END::INT AS level
- FROM (SELECT doc_id, k, line, length(regexp_extract(line, '^(#{{2,6}}) ', 1)) AS marks, regexp_extract(line, '^([0-9]{{1,2}}(\\.[0-9]{{1,2}}){{0,5}})\\.? +[A-Z]', 1) AS num FROM {_LINES})""")
+_NAMES = ", ".join(f"'{n}'" for n in T.SECTION_NAMES)
+
+
+@query(rf"""SELECT doc_id, k::INT AS k, CASE WHEN marks > 0 THEN marks WHEN rtrim(lower(line), ':') IN ({_NAMES}) THEN 2
+ WHEN regexp_full_match(word, '{T.NUMBER}') AND length(line) <= {T.HEADING_CHARS} AND CAST(regexp_extract(word, '[0-9]+') AS HUGEINT) <= {T.HEADING_NUMBER} THEN least(6, len(string_split(word[1:-2], '.')) + 1) END::INT AS level
+ FROM (SELECT doc_id, k, line, length(regexp_extract(line, '^(#{{2,6}})\s', 1)) AS marks, regexp_extract(line, '^(\S+)\s+\S', 1) AS word FROM (SELECT doc_id, k, trim(line, ' ') AS line FROM {_LINES}))""")
 def t11_heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The level of every line of every document."""
-    return _lines(spark, sf_dir).select("doc_id", "k", T.heading_level(F.col("line")).alias("level"))
+    return _lines(spark, sf_dir).select("doc_id", "k", T.heading_level(F.trim("line")).alias("level"))
 
 
-@query(r"""SELECT doc_id, k::INT AS k, CASE WHEN num <> '' AND len(regexp_split_to_array(trim(heading), '\s+')) <= 14 THEN [num || '. ' || heading, body] ELSE [line] END AS parts
- FROM (SELECT doc_id, k, line, regexp_extract(line, f, 1) AS num, regexp_extract(line, f, 2) AS heading, regexp_extract(line, f, 3) AS body
- FROM (SELECT *, '(?s)^([0-9]+(?:\.[0-9]+){0,5})[.)]\s+(.{2,100}?)\.\s+([A-ZÀ-ÖØ-Þ].+)$' AS f FROM """ + _LINES + "))")
+@query(rf"""SELECT doc_id, k::INT AS k, CASE WHEN num <> '' AND len(w) = 2 AND length(w[1]) <= {T.INLINE_CHARS} AND len(regexp_split_to_array(trim(w[1]), '\s+')) <= {T.INLINE_WORDS} THEN [num[1:-2] || '. ' || w[1], w[2]] ELSE [line] END AS parts
+ FROM (SELECT doc_id, k, line, regexp_extract(line, '^({T.NUMBER})\s+\S', 1) AS num, string_split(regexp_replace(regexp_replace(line, '^\S+\s+', ''), '([^\n]{{2}})\.\s+([A-ZÀ-ÖØ-Þ][^\n])', '\1' || chr(1) || '\2'), chr(1)) AS w FROM {_LINES})""")
 def t12_heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of every line of every document."""
     return _lines(spark, sf_dir).select("doc_id", "k", T.heading_parts(F.col("line")).alias("parts"))
@@ -156,11 +158,19 @@ def t20_show_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", F.concat_ws("\n", F.concat(F.lit("Source: "), "source"), F.when(F.col("quality") == 1, "Quality: good"), F.when(F.col("toxic") == 1, "Warning: toxic")).alias("notes"))
 
 
-@query(r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '\binterna-\s+tional\b', 'international', 'g'), '\s+', ' ', 'g') AS t FROM documents),
- b AS (SELECT doc_id, regexp_replace(regexp_replace(t, 'creativecommons ?\. ?org ?/ ?licen[cs]es ?/ ?([a-z-]+) ?/ ?(\d) ?\. ?(\d)', 'creativecommons.org/licenses/\1/\2.\3', 'g'), 'creativecommons ?\. ?org ?/ ?publicdomain ?/ ?zero ?/ ?1 ?\. ?0', 'creativecommons.org/publicdomain/zero/1.0', 'g') AS t FROM a),
- c AS (SELECT doc_id, regexp_replace(regexp_replace(t, 'non[- ]commercial|no[- ]derivatives|share[- ]alike', 'noncommercial', 'g'), 'creative commons attribution (?:international licen[cs]e 4\.0|licen[cs]e 4\.0|international 4\.0 licen[cs]e|4\.0 (?:international )?licen[cs]e)', 'cc by 4.0', 'g') AS t FROM b)
- SELECT doc_id, CASE WHEN regexp_matches(t, 'cc[ -]by-(nc|nd|sa)|licenses/by-(nc|nd|sa)|noncommercial|noderivatives|sharealike') THEN NULL
- WHEN regexp_matches(t, 'cc[ -]by 4\.0|creativecommons\.org/licenses/by/4\.0') THEN 'CC BY 4.0' WHEN regexp_matches(t, '\bcc0\b|creativecommons\.org/publicdomain/zero/1\.0') THEN 'CC0' END AS licence FROM c""")
+def _granted_sql(words: str) -> str:
+    """The SQL of a licence named in words between single spaces."""
+    any_of = lambda names: " OR ".join(f"contains({words}, ' {n} ')" for n in names)
+    return f"CASE WHEN {any_of(T.RESTRICTED)} THEN NULL WHEN {any_of(T.BY)} THEN 'CC BY 4.0' WHEN {any_of(T.ZERO)} THEN 'CC0' END"
+
+
+_REFERENCES = rf"(?im)^\s*(?:{'|'.join(T.REFERENCE_NAMES)})\b\s*:?"
+_WORDS = "replace(' ' || regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g') || ' ', ' interna tional ', ' international ')"
+
+
+@query(rf"""WITH a AS (SELECT doc_id, {_WORDS.format("text")} AS w, {_WORDS.format(f"string_split(regexp_replace(text, '{_REFERENCES}', chr(1)), chr(1))[1]")} AS front FROM documents),
+ n AS (SELECT doc_id, first(g) AS g FROM (SELECT doc_id, {_granted_sql("notice")} AS g FROM (SELECT doc_id, unnest(regexp_extract_all(w, '{T.NOTICE}')) AS notice FROM a)) WHERE g IS NOT NULL GROUP BY doc_id)
+ SELECT a.doc_id, coalesce({_granted_sql("front")}, g) AS licence FROM a LEFT JOIN n USING (doc_id)""")
 def t22_licence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licence that each document's own text gives."""
     return _docs(spark, sf_dir).select("doc_id", T.licence_in(F.col("text")).alias("licence"))

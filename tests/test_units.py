@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium import api
-from scriptorium.functions import abstracts, arrow, dates, text
+from scriptorium.functions import arrow, dates, text
 from scriptorium.operators import blocks, registry, search
 from scriptorium.operators.nearest import nearest
 from scriptorium.operators.rank import global_rank
@@ -159,7 +159,7 @@ def test_rules_read_the_documents(spark, tmp_path):
     run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
     assert {r.doc_id: r.licence for r in run("t22_licence_text")} == dict(enumerate(texts.values()))
     last = len(texts) - 1
-    assert [r.level for r in sorted(run("t11_heading_lines"), key=lambda r: r.k) if r.doc_id == last] == [3, None, 2, 3, None, None]
+    assert [r.level for r in sorted(run("t11_heading_lines"), key=lambda r: r.k) if r.doc_id == last] == [3, None, 2, 3, None, 2]  # one rule for all headings: a number and at most 140 characters
     parts = {r.k: r.parts for r in run("t12_heading_lines") if r.doc_id == last}
     assert parts[3] == ["2.1. Data and scope", "The rows are here."] and all(len(p) == 1 for k, p in parts.items() if k != 3) and len(parts) == 6
 
@@ -245,38 +245,36 @@ def test_nearest_equals_all_pairs(spark):
 ABSTRACT = "We measured how long the rain falls on the old roofs of nine towns. " * 5
 
 
-def test_inferred_abstracts():
+def test_inferred_abstracts(spark, tmp_path):
     body = ABSTRACT.strip()
-    page = f"A title\nAnna Berg\nABSTRACT\n{body} Keywords: rain, roofs\n1. Introduction\nMore."
-    assert abstracts.infer(page) == (body, "pdf-explicit-heading")
-    assert abstracts.infer(f"A title\nEdited by C. Dyk\n{body}\nIntroduction\nMore.") == (body, "pdf-editorial-front-matter")
-    acm = f"A title\nAnna Berg\n{body}\nCCS Concepts: rain\nMore text."
-    assert abstracts.infer(acm) == (body, "pdf-implicit-front-matter")
-    assert abstracts.infer(acm.replace("CCS Concepts", "Notes")) == (None, None)  # no publisher's mark
-    assert abstracts.infer("Abstract\n" + "Too short. " * 5) == abstracts.infer("Abstract\n" + "no end " * 60) == abstracts.infer("Abstract\n" + "Long one. " * 300) == (None, None)
-    assert abstracts.infer(None) == abstracts.infer("") == (None, None)
-    assert abstracts.infer(f"Abstract\n{body}\nA | B | C\nNot this.") == (body, "pdf-explicit-heading")
-    assert abstracts.infer(f"Abstract\n{body}\nPublished by Us\nNot this.")[0] == body
-
-
-def test_front_matter_gives_way_to_the_abstract():
-    body = ABSTRACT.strip()
-    page = f"A title\nAbstract\n{body}\nKeywords: rain\n1. Introduction\nMore."
-    assert abstracts.replace_front_matter(page, *abstracts.infer(page)) == f"Abstract\n\n{body}\n\n1. Introduction\nMore."
-    rows = f"Abstract\n{body}\nA | B | C\nAfter."
-    assert abstracts.replace_front_matter(rows, *abstracts.infer(rows)) == f"Abstract\n\n{body}\n\nAfter."
-    assert abstracts.replace_front_matter("No abstract.", None, None) == "No abstract."
-    assert abstracts.replace_front_matter(f"Abstract\n{body}", body, "pdf-explicit-heading") == f"Abstract\n{body}"  # no boundary
-
-
-def test_publisher_abstracts(spark):
-    head = '<meta name="citation_title" content="Rain on roofs"><meta name="citation_doi" content="https://doi.org/10.1234/AB">'
-    meta, linked = '<meta name="citation_abstract" content="<p>It rains.</p>">', '<script type="application/ld+json">{"@graph": [{"name": "Other", "abstract": "No."}, {"headline": "Rain on roofs!", "abstract": "It pours."}]}</script>'
-    box = '<div class="Abs1"><br>Abstract: It <b>drips.</b></div><div>Not this.</div>'
-    got = lambda *parts, title="Rain on roofs", doi=None: abstracts.publisher_abstract(head + "".join(parts), title, doi)
-    assert [got(meta, linked, box), got(linked, box), got(box), got()] == ["It rains.", "It pours.", "It drips.", ""]
-    assert got(meta, doi="10.1234/ab") == "It rains." and got(meta, doi="10.1234/other") == got(meta, title="Snow") == got(meta.replace("rains.", "rains…")) == ""
-    assert got('<script type="application/ld+json">{broken</script>', box) == "It drips." and abstracts.publisher_abstract(None, "x") == ""
+    pages = [f"A title\nAnna Berg\nABSTRACT\n{body[:68]}\n{body[69:]}\nKeywords: rain, roofs\n1. Introduction\nMore.", f"Abstract\n{body}\n\nIntroduction\nMore.\nSummary\n{body}", "Abstract\nToo short. And more.", "no heading " * 60, f"Summary\n{body}", None, f"Abstract\n{body} and no end"]
+    spark.createDataFrame(list(enumerate(pages)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.abstract for r in plans.QUERIES["x3_inferred_abstract"](spark, str(tmp_path)).collect()}
+    assert got == {0: body, 1: body, 2: None, 4: body, 6: None}
+
+
+def test_licences_of_a_bibliography_do_not_count(spark):
+    of = lambda t: one(spark, text.licence_in(F.lit(t)))
+    assert of("Words.\nOpen Access This article is licensed under a Creative Commons Attribution 4.0 International License.") == "CC BY 4.0"
+    assert of("Words.\nThis work is licensed under a Creative Commons Attribution Interna-\ntional 4.0 License.") == "CC BY 4.0"
+    assert of("Words.\nReferences: Smith. Open data under CC BY 4.0.") is None
+    assert of("Words.\nReferences\nSmith. Open data under CC BY 4.0.\nThis paper is published under https://creativecommons.org/licenses/\nby/4.0/.") == "CC BY 4.0"
+    assert of("This article is licensed under Creative Commons Attribution-NonCommercial-NoDerivatives 4.0. References mention CC BY 4.0.") is None
+    assert of("Data: CC0 1.0") == "CC0" and of("") is None and of("under CC BY-NC 4.0") is None
+
+
+def test_paragraph_states_carry_forward(spark):
+    """Footnotes over several lines, headings inside and outside of open text, line ends of every kind, repeated ids."""
+    rows = [(1, "Abstract\nText that is\nMethods\nopen.\n\nMethods\n† note begins\nnote goes on\n\n3. Results\nSignificance:\nmore."), (1, "a\r\nb\rc\u2028d"), (None, "x"), (2, ""), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from scriptorium.operators import paragraphs
+
+    lines = paragraphs.classified(df, "doc_id", "text")
+    got = sorted(((r.id, r.row), r.k, r.block) for r in paragraphs.blocks(lines).collect() if r.id is not None)
+    first = [b for (i, row), _, b in got if row == got[0][0][1]]
+    assert first == ["Abstract", "Text that is Methods open.", "Methods", "3. Results", "Significance:", "more."]
+    assert [b for (i, row), _, b in got if row != got[0][0][1]] == ["a b c d"]
+    assert [(r.text, r.reason) for r in paragraphs.omissions(lines).orderBy("row", "k").collect()] == [("† note begins", "footnote"), ("note goes on", "footnote")]
 
 
 def test_labels_votes_and_names(spark):
