@@ -7,4 +7,5 @@ from ._common import table
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.main_text(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.main_text(pages, html_extract.fit(pages))

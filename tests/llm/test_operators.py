@@ -433,6 +433,48 @@ def test_pages_with_known_text():
     assert "x squared" in html_extract.extract("<article><p>Here <math><mi>x</mi> squared</math> is a number of some kind.</p></article>").replace("<", "")
 
 
+ARTICLE = "<h1>A title of an article</h1><p>The first paragraph has some words, and a bold one.</p><p>A second one follows; it is as long as the first and ends here.</p><p>Short one.</p>"
+PLAIN = "A title of an article\nThe first paragraph has some words, and a bold one.\nA second one follows; it is as long as the first and ends here.\nShort one."
+MENU, FOOT = "<nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav>", "<footer><p>Copyright 2020. All rights reserved.</p></footer>"
+
+
+def test_names_of_wrappers_and_states_drop_no_article():
+    pages = [
+        f"<div class='wrap has-sidebar'>{MENU}<article>{ARTICLE}</article>{FOOT}</div>", f"<div class='site menu-open'>{MENU}<article>{ARTICLE}</article>{FOOT}</div>", f"<div class='page with-ads'><main>{ARTICLE}</main>{FOOT}</div>",
+        f"{MENU}<article class='legal'>{ARTICLE}</article>{FOOT}", f"{MENU}<article id='search-engines'>{ARTICLE}</article>", f"{MENU}<article>{ARTICLE.replace('<p>Short', '<p class=reply>Short')}</article>{FOOT}",
+        f"{MENU}<main><header>{ARTICLE.partition('<p>')[0]}</header><p>{ARTICLE.partition('<p>')[2]}</main>{FOOT}", f"<div class=modal><div class=menu>{MENU}</div><article>{ARTICLE}</article></div>",
+        f"{MENU}<main><article>{ARTICLE}</article><section class=comments><article class=comment><p>I read this and liked it.</p></article></section></main>{FOOT}",
+        f"{MENU}<article>{ARTICLE}</article><div class=related-posts><article><h2>Another</h2><p>Read on here.</p></article></div>{FOOT}",
+    ]
+    for page in pages:
+        assert html_extract.extract(f"<html><body>{page}</body></html>") == PLAIN, page
+
+
+def test_fitted_costs_on_layouts_without_an_article_element(spark):
+    """Fitted on the given pages (all with an article element); block F1 on layouts that none of them has."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    w = html_extract.fit(pages)
+    assert w == html_extract.fit(pages.repartition(7)) and w != html_extract.Weights()
+    assert html_extract.fit(pages.limit(0)) == html_extract.Weights()
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice(["rain", "roof", "the", "of", "town", "old", "long", "river"]) for _ in range(n)).capitalize()
+    hit = kept = there = 0
+    for _ in range(60):
+        body = [words(rng.randint(3, 8)), *(words(rng.randint(12, 60)) + "." for _ in range(rng.randint(3, 8)))]
+        inner = f"<h1>{body[0]}</h1>" + "".join(f"<p>{p}</p>" for p in body[1:])
+        menu = "".join(f"<li><a href=/>{words(2)}</a></li>" for _ in range(rng.randint(3, 9)))
+        side = f"<div class='{rng.choice(['sidebar', 'widget-area', 'site-sidebar', 'related-posts'])}'><h3>{words(2)}</h3><ul>{menu}</ul></div>"
+        page = rng.choice([
+            f"<div id=nav><ul>{menu}</ul></div><div class='{rng.choice(['content', 'col main', 'x7'])}'>{inner}</div>{side}<div class=footer><p>{words(5)}</p></div>",
+            f"<table><tr><td><ul>{menu}</ul></td><td>{inner}</td></tr></table><div class='site-footer'>{words(4)}</div>",
+            f"<div class='cookie-banner'><p>{words(14)}.</p></div><div><ul>{menu}</ul><div class=wrap>{inner}</div></div><div class='comment-list'><p>{words(11)}.</p></div>",
+        ])
+        got = html_extract.extract(f"<body>{page}</body>", w).split("\n")
+        hit, kept, there = hit + len(set(got) & set(body)), kept + len(got), there + len(body)
+    f1 = 2 * hit / (kept + there)
+    assert f1 >= 0.97, f1
+
+
 def test_cut_is_minimal():
     rng = random.Random(0)
     for _ in range(200):

@@ -247,7 +247,7 @@ ABSTRACT = "We measured how long the rain falls on the old roofs of nine towns.
 
 def test_inferred_abstracts(spark, tmp_path):
     body = ABSTRACT.strip()
-    pages = [f"A title\nAnna Berg\nABSTRACT\n{body[:68]}\n{body[69:]}\nKeywords: rain, roofs\n1. Introduction\nMore.", f"Abstract\n{body}\n\nIntroduction\nMore.\nSummary\n{body}", "Abstract\nToo short. And more.", "no heading " * 60, f"Summary\n{body}", None, f"Abstract\n{body} and no end"]
+    pages = [f"A title\nAnna Berg\nABSTRACT\n{body[:67]}\n{body[68:]}\nKeywords: rain, roofs\n1. Introduction\nMore.", f"Abstract\n{body}\n\nIntroduction\nMore.\nSummary\n{body}", "Abstract\nToo short. And more.", "no heading " * 60, f"Summary\n{body}", None, f"Abstract\n{body} and no end"]
     spark.createDataFrame(list(enumerate(pages)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.abstract for r in plans.QUERIES["x3_inferred_abstract"](spark, str(tmp_path)).collect()}
     assert got == {0: body, 1: body, 2: None, 4: body, 6: None}
