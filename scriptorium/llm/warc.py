@@ -3,8 +3,11 @@ them back; assemble one nested row per capture through concurrent-to identifiers
 
 Writing is a text sink whose line separator is the two CRLFs that end every
 WARC record, so any store that Spark writes to holds the archives and a lost
-task is simply run again. The files are gzip streams of whole archives. Reading
-parses each file by its Content-Length fields.
+task is simply run again. Spark's sink makes one gzip member of a file; files are
+cut so that one holds about ``FILE_BYTES`` before compression. Reading takes archives
+of one member or of many (one a record, as crawlers write), inflates them piece by
+piece and parses records by their Content-Length fields, so a worker holds a file as
+it is stored and one record.
 
 A null URL is written as an empty target, a null html as an empty payload; CR
 and LF in a URL are percent-encoded in the header. Repeated rows are told apart
@@ -24,7 +27,9 @@ from pyspark.sql import functions as F
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
-PAGES_PER_FILE = 4000
+PAGES_PER_FILE, FILE_BYTES = 4000, 64 << 20
+#: Bytes that are inflated at once.
+PIECE = 1 << 20
 
 RECORD = "type string, record_id string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, payload_bytes long, page_id long, block binary"
 
@@ -75,24 +80,71 @@ def with_records(pages: DataFrame, row_key: Column, date: str, min_bytes: int =
 
 
 def write(pages: DataFrame, path: str, row_key: Column, date: str = "2024-01-01T00:00:00Z", min_bytes: int = 0) -> None:
-    with_records(pages, row_key, date, min_bytes).select("records").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", PAGES_PER_FILE).text(path)
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length("html"), F.lit(0)))).first()[0] or 0
+    rows = max(1, min(PAGES_PER_FILE, int(FILE_BYTES // (mean + 1000))))
+    with_records(pages, row_key, date, min_bytes).select("records").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", rows).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of every record of an archive."""
+def inflated(raw: bytes) -> Iterator[bytes]:
+    """The content of a file in pieces: of every gzip member in turn, or as it is."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
     at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
+    while at < len(raw):
+        if raw[at] == 0:  # padding between members
+            at += 1
+            continue
+        member = zlib.decompressobj(31)
+        fed = b""
+        while not member.eof:
+            if not fed and at < len(raw):
+                fed = raw[at : at + PIECE]
+                at += len(fed)
+            piece = member.decompress(fed, PIECE)
+            if not piece and not fed and not member.eof:
+                raise ValueError("a gzip member is cut off")
+            fed = member.unconsumed_tail
+            if piece:
+                yield piece
+        at -= len(member.unused_data)
+
+
+def parse(data: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (names in lower case) and block of every record of an archive, given whole or in pieces."""
+    pieces = iter([data] if isinstance(data, bytes) else data)
+    held, at, gone = bytearray(), 0, 0
+
+    def more() -> bool:
+        nonlocal at, gone
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        del held[:at]
+        gone, at = gone + at, 0
+        held.extend(piece)
+        return True
+
+    while at < len(held) or more():
+        end = held.find(END.encode(), at)
+        while end < 0:
+            if not more():
+                raise ValueError(f"no end of the header at byte {gone + at}")
+            end = held.find(END.encode(), at)
+        lines = held[at:end].decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at byte {gone + at}")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        begin = end + 4
-        at = begin + int(head["content-length"])
-        yield head, data[begin:at]
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"record is not closed at byte {at}")
-        at += 4
+        size = int(head["content-length"])
+        begin = end + 4 - at  # from the record's start, which may move
+        while len(held) < at + begin + size + 4:
+            if not more():
+                raise ValueError(f"record is not closed at byte {gone + at}")
+        block = bytes(held[at + begin : at + begin + size])
+        at += begin + size + 4
+        if held[at - 4 : at] != END.encode():
+            raise ValueError(f"record is not closed at byte {gone + at - 4}")
+        yield head, block
 
 
 def _rows(with_block: bool):
@@ -103,17 +155,19 @@ def _rows(with_block: bool):
             for content in batch.column(0):
                 raw = content.as_py()
                 out: list[tuple] = []
-                for head, block in parse(zlib.decompress(raw, 47) if raw[:2] == b"\x1f\x8b" else raw):
+                for head, block in parse(inflated(raw)):
                     kind, digest, size, page = head["warc-type"], head.get("warc-payload-digest"), None, None
                     if kind == "response":
-                        payload = block[block.index(b"\r\n\r\n") + 4 :]
+                        payload = block.partition(b"\r\n\r\n")[2]
                         found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        if digest != f"sha1:{found}":
+                        if digest is None:
+                            digest = f"sha1:{found}"
+                        elif digest.startswith("sha1:") and digest != f"sha1:{found}":
                             raise ValueError(f"payload of {head['warc-record-id']} doesn't match its digest")
                         size, block = len(payload), payload
                     elif kind == "metadata":
                         text = block.partition(b"page-id:")[2].split(b"\r\n")[0].strip()
-                        page = int(text) if text else None
+                        page = int(text) if text.isdigit() or text[:1] == b"-" and text[1:].isdigit() else None
                     out.append((kind, head["warc-record-id"], head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"), digest and digest.removeprefix("sha1:"), size, page, block if with_block and kind in ("response", "metadata") else None))
                     if len(out) >= 2000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -124,9 +178,9 @@ def _rows(with_block: bool):
     return run
 
 
-def read(spark: SparkSession, path: str, with_block: bool = True) -> DataFrame:
-    """One row per record; a response's block is its payload, checked against its digest."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
+def read(spark: SparkSession, path: str, with_block: bool = True, names: str = "*.gz") -> DataFrame:
+    """One row per record of the archives named ``names``; a response's block is its payload, checked against its SHA-1."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select("content")
     return files.mapInArrow(_rows(with_block), RECORD)
 
 

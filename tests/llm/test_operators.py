@@ -523,6 +523,29 @@ def test_features_don_t_depend_on_neighbours_in_the_batch():
         assert np.allclose(x[at[k] : at[k + 1]], own) and np.allclose(size[at[k] : at[k + 1]], own_size)
 
 
+def test_archives_of_many_members(spark, tmp_path, monkeypatch):
+    """One gzip member a record, as crawlers write them, in pieces of any size; other record types and digests; archives cut off."""
+    import gzip
+
+    def record(kind, k, block, *fields):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{kind}:{k}>", *fields, f"Content-Length: {len(block)}"]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    bodies = [b"", b"x" * 5000, "\u00e9\r\n\r\nWARC/1.0".encode(), random.Random(1).randbytes(30_000), b"end"]
+    records = [record("warcinfo", 0, b"software: x\r\n")] + [record("response", k, b"HTTP/1.1 200 OK\r\n\r\n" + b, "WARC-Payload-Digest: sha256:other") for k, b in enumerate(bodies)] + [record("metadata", 0, b"fetchTimeMs: 9\r\n")]
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records) + b"\0\0")
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    got = warc.read(spark, str(tmp_path)).collect()
+    assert len(got) == 2 * len(records)
+    assert sorted(bytes(r.block) for r in got if r.type == "response") == sorted(2 * bodies) and {r.payload_bytes for r in got if r.type == "response"} == {len(b) for b in bodies}
+    whole = b"".join(gzip.compress(r) for r in records)
+    for piece in (1 << 20, 37):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        assert [b for _, b in warc.parse(warc.inflated(whole))] == [b for _, b in warc.parse(b"".join(records))]
+        with pytest.raises(ValueError):
+            list(warc.parse(warc.inflated(whole[:-20])))
+
+
 # importance resampling
 def plain_importance(docs, bench, buckets=10_000, seed=7):
     """The contract word by word, every feature hashed where it stands."""
