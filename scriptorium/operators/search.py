@@ -1,10 +1,10 @@
 """Ranked full-text search over a stored inverted index of tokens.
 
 Tokens are runs of letters and digits of any script, in lower case and without
-the accents of Latin letters. The index is written once for a table, sorted by
-term, so a query reads the row groups of its own terms and no text; it is written
-again when a file of the table or the rule for tokens changes. A term of very
-many documents is split over tasks and files by document.
+the accents of Latin letters. The index (``operators.index``) is sorted by term, so
+a query reads the row groups of its own terms and no text. When files of the table
+change, the postings of new, changed and deleted documents alone are written. A term
+of very many documents is split over tasks and files by document.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.operators import index
 from scriptorium.sources.tables import catalog, shared_folder
 
 TOKEN = r"[\p{L}\p{N}]+"
@@ -61,39 +62,31 @@ def build_index(docs: DataFrame, key: str = "id", columns: tuple[str, ...] = ("t
     return rows.select(key, "len", "col", F.explode(runs).alias("t")).select(key, "len", "col", "t.term", "t.tf")
 
 
-def write_index(docs: DataFrame, path: str, key: str = "id", columns: tuple[str, ...] = ("title", "body")) -> None:
-    """Postings sorted by term, and one row with the number of documents and their mean length."""
-    postings = build_index(docs, key, columns).withColumnRenamed(key, "id")
-    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
-    spark = docs.sparkSession
-    n_docs = docs.count()
-    total = spark.read.parquet(f"{path}/postings").select("id", "len").distinct().agg(F.sum("len")).first()[0] or 0
-    spark.range(1).select(F.lit(n_docs).cast("long").alias("n_docs"), F.lit(total / max(n_docs, 1)).alias("avg_len")).write.mode("overwrite").parquet(f"{path}/stats")
+def rule(columns: tuple[str, ...] = ("title", "body"), version: int = VERSION) -> index.Rule:
+    return index.Rule(version, columns, lambda docs: build_index(docs, "id", columns))
 
 
-def _state(spark: SparkSession, sf_dir: str) -> str:
-    """A digest of the table's files, their sizes and times, and the version."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    seen = [str(VERSION)]
-    for name in sorted(catalog(spark, sf_dir).inputFiles()):
-        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
-        s = p.getFileSystem(conf).getFileStatus(p)
-        seen.append(f"{name} {s.getLen()} {s.getModificationTime()}")
-    return hashlib.sha256("\n".join(seen).encode()).hexdigest()[:32]
+def write_index(docs: DataFrame, path: str, key: str = "id", columns: tuple[str, ...] = ("title", "body")) -> str:
+    """An index of all ``docs`` as the newest state of ``path``; returns its handle."""
+    return index.build(docs.sparkSession, path, rule(columns), docs.select(F.col(key).alias("id"), *columns))
+
+
+def table_state(spark: SparkSession, path: str) -> str:
+    """A digest of a table's files, their sizes and times: Spark lists them, no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+    n, seen = files.agg(F.count("*"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
+    return f"{n}:{seen}"
 
 
 def stored_index(spark: SparkSession, sf_dir: str) -> str:
-    """The path of the catalog's index, which is written first where none of this state is there."""
-    path = f"{shared_folder(spark)}/index-{_state(spark, sf_dir)}"
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        write_index(catalog(spark, sf_dir), path)
-    return path
+    """The handle of the catalog's index, brought up to the table's state first."""
+    source = f"{sf_dir}/documents.parquet"
+    path = f"{shared_folder(spark)}/index-{hashlib.sha256(source.encode()).hexdigest()[:32]}"
+    return index.refresh(spark, path, rule(), catalog(spark, sf_dir).select("id", "title", "body"), table_state(spark, source))
 
 
-def postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/postings")
+def postings(spark: SparkSession, handle: str) -> DataFrame:
+    return index.postings(spark, handle)
 
 
 def bm25(spark: SparkSession, path: str, text: str, weights: dict[str, float] | None = None) -> DataFrame:
@@ -108,7 +101,7 @@ def bm25(spark: SparkSession, path: str, text: str, weights: dict[str, float] |
     tf = hits.groupBy("id", "len", "term").agg(F.sum(weight * F.col("tf")).alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     joined = tf.join(F.broadcast(df), "term")  # a row per query word
-    stats = spark.read.parquet(f"{path}/stats").first()
+    stats = index.load(spark, path)
     raw = F.log((stats.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, 1e-6).otherwise(raw)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (stats.avg_len or 1.0)))
@@ -133,21 +126,33 @@ def prefix_and(spark: SparkSession, path: str, text: str, column: str = "body")
 
 
 def snippet(text: Column, word: str, most: int = 48) -> Column:
-    """At most ``most`` tokens from four before the first that is ``word``, which is marked; ellipses stand for what is left out."""
+    """The text itself around the first token that is ``word``: at most ``most`` tokens from four before it, ellipses for what is left out."""
+    # only letters count in a prefix of the text: the folded text has the text's length
+    folded = F.translate(F.lower(text), _ACCENTED, _BARE)
+    gaps = F.split(folded, TOKEN)  # what stands before, between and behind the tokens
     tokens = tokens_of(text)
     at = F.array_position(tokens, word)
     start = F.greatest(F.lit(1), at - 4).cast("int")
-    marked = F.transform(F.slice(tokens, start, most), lambda t: F.when(t == word, F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
-    body = F.array_join(marked, " ")
-    return F.when(at > 0, F.concat(F.when(start > 1, "… ").otherwise(""), body, F.when(F.size(tokens) > start + most - 1, " …").otherwise("")))
+    end = F.least(F.size(tokens), start + most - 1).cast("int")
+    width = lambda parts, n: F.length(F.array_join(F.slice(parts, 1, F.greatest(n, F.lit(0))), ""))
+    begin = width(gaps, start) + width(tokens, start - 1)
+    stop = width(gaps, end) + width(tokens, end)
+    body = F.substr(text, begin + 1, stop - begin)
+    return F.when(at > 0, F.concat(F.when(start > 1, "… ").otherwise(""), body, F.when(F.size(tokens) > end, " …").otherwise("")))
+
+
+#: Rows of a substring search, and the characters of its snippet.
+MOST_ROWS, LOCAL_CHARS, REMOTE_CHARS = 30, 500, 450
 
 
-def substring_and(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """Rows whose columns together hold every word of the query, with a snippet about the first."""
-    words = re.findall(r"[^\W_]+", text.lower())[:20]
+def substring_and(docs: DataFrame, text: str, columns: list[str], key: str, chars: int = LOCAL_CHARS, most: int = MOST_ROWS) -> DataFrame:
+    """The first ``most`` rows by ``key`` whose columns together hold every word of the query, with a snippet about the first word and the number of all such rows."""
+    words = re.findall(r"\w+", text.lower())[:20]
     hay = F.lower(F.concat_ws("\n", *columns))
     cond = F.lit(bool(words))
     for w in words:
         cond = cond & hay.contains(w)
+    found = docs.where(cond)
+    total = found.agg(F.count("*").alias("total"))  # one row
     start = F.greatest(F.lit(1), F.instr(F.lower(F.col(columns[-1])), words[0] if words else "") - 100)
-    return docs.where(cond).withColumn("snippet", F.substring(F.col(columns[-1]), start, F.lit(500)))
+    return found.orderBy(key).limit(most).withColumn("snippet", F.substring(F.col(columns[-1]), start, F.lit(chars))).join(F.broadcast(total))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.operators import index
 from scriptorium.operators import search as S
 from scriptorium.plans.registry import query
-from scriptorium.sources.tables import CATALOG_SQL, catalog, table
+from scriptorium.sources.tables import CATALOG_SQL, catalog, shared_folder, table
 
 _Q = "stupid the reation"
 _WORDS = ", ".join(f"'{w}'" for w in sorted(set(S.query_words(_Q))))
@@ -48,10 +51,12 @@ def f4_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bm25(spark, S.stored_index(spark, sf_dir), _Q).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {CATALOG_SQL}, t AS (SELECT id, {_tok('body')} AS t FROM cat), p AS (SELECT id, t, list_position(t, 'stupid') AS i FROM t WHERE list_contains(t, 'stupid')), s AS (SELECT *, greatest(1, i - 4) AS s FROM p)
- SELECT id, CASE WHEN s > 1 THEN '… ' ELSE '' END || array_to_string(list_transform(t[s:s + 47], lambda x: CASE WHEN x = 'stupid' THEN '[stupid]' ELSE x END), ' ') || CASE WHEN len(t) > s + 47 THEN ' …' ELSE '' END AS snippet FROM s""")
+@query(rf"""WITH {CATALOG_SQL}, t AS (SELECT id, body, {_tok('body')} AS t, string_split_regex(strip_accents(lower(body)), '[\p{{L}}\p{{N}}]+') AS g FROM cat),
+ p AS (SELECT *, greatest(1, list_position(t, 'stupid') - 4) AS s, least(len(t), greatest(1, list_position(t, 'stupid') - 4) + 47) AS e FROM t WHERE list_contains(t, 'stupid')),
+ q AS (SELECT *, length(array_to_string(g[1:s], '')) + length(array_to_string(t[1:s - 1], '')) AS b, length(array_to_string(g[1:e], '')) + length(array_to_string(t[1:e], '')) AS z FROM p)
+ SELECT id, CASE WHEN s > 1 THEN '… ' ELSE '' END || substr(body, b + 1, z - b) || CASE WHEN len(t) > e THEN ' …' ELSE '' END AS snippet FROM q""")
 def f5_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts are read only of the documents that the index names."""
+    """Of the documents that the index names; ids join before texts are cut, but their scan reads the column."""
     found = S.any_word(spark, S.stored_index(spark, sf_dir), "stupid")
     return catalog(spark, sf_dir).join(found, "id", "left_semi").select("id", S.snippet(F.col("body"), "stupid").alias("snippet")).where("snippet IS NOT NULL")
 
@@ -62,14 +67,14 @@ def f6_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy("score", "id").limit(30)
 
 
-@query("SELECT page_id, substr(html, greatest(1, instr(lower(html), 'article') - 100), 500) AS snippet FROM pages WHERE contains(lower(url || '\n' || html), 'article') AND contains(lower(url || '\n' || html), 'spam')")
+@query("WITH h AS (SELECT page_id, html FROM pages WHERE contains(lower(url || '\n' || html), 'article') AND contains(lower(url || '\n' || html), 'spam')) SELECT page_id, substr(html, greatest(1, instr(lower(html), 'article') - 100), 500) AS snippet, (SELECT count(*) FROM h) AS total FROM h ORDER BY page_id LIMIT 30")
 def f7_substring_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.substring_and(table(spark, sf_dir, "pages"), "article spam", ["url", "html"]).select("page_id", "snippet")
+    return S.substring_and(table(spark, sf_dir, "pages"), "article spam", ["url", "html"], "page_id").select("page_id", "snippet", "total")
 
 
-@query("SELECT doc_id, substr(text, greatest(1, instr(lower(text), 'idiot') - 100), 500) AS snippet FROM documents WHERE contains(lower(source || '\n' || text), 'idiot') AND contains(lower(source || '\n' || text), 'src')")
+@query("WITH h AS (SELECT doc_id, text FROM documents WHERE contains(lower(source || '\n' || text), 'idiot') AND contains(lower(source || '\n' || text), 'src')) SELECT doc_id, substr(text, greatest(1, instr(lower(text), 'idiot') - 100), 450) AS snippet, (SELECT count(*) FROM h) AS total FROM h ORDER BY doc_id LIMIT 30")
 def f8_substring_and_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.substring_and(table(spark, sf_dir, "documents"), "idiot src", ["source", "text"]).select("doc_id", "snippet")
+    return S.substring_and(table(spark, sf_dir, "documents"), "idiot src", ["source", "text"], "doc_id", S.REMOTE_CHARS).select("doc_id", "snippet", "total")
 
 
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'new' WHEN l.quality = 0 THEN 'changed' ELSE 'kept' END AS action FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR l.quality = 0")
@@ -77,3 +82,32 @@ def f9_index_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "labels").withColumn("hit", F.lit(True))
     action = F.when(F.col("hit").isNull(), "new").when(F.col("quality") == 0, "changed").otherwise("kept")
     return table(spark, sf_dir, "documents").select("doc_id").join(l, "doc_id", "left").select("doc_id", action.alias("action")).where("action <> 'kept'")
+
+
+def _yesterday(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog as it might have been: poor documents with another text, toxic ones not yet there, one since deleted for each good label."""
+    cat = catalog(spark, sf_dir).select("id", "title", "body")
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    known = cat.join(labels, "id", "left")
+    old = known.where("toxic IS NULL OR toxic = 0").select("id", "title", F.when(F.col("quality") == 0, F.concat(F.lit("older text "), F.substring("body", 20, 10_000))).otherwise(F.col("body")).alias("body"))
+    return old.unionByName(known.where("quality = 1 AND toxic = 0 AND id % 3 = 0").select((-1 - F.col("id")).alias("id"), "title", "body"))
+
+
+@query(f"WITH {CATALOG_SQL} SELECT col, term, sum(tf)::BIGINT AS n, count(*) AS docs FROM (SELECT id, col, term, count(*) AS tf FROM (SELECT id, 'title' AS col, unnest({_tok('title')}) AS term FROM cat UNION ALL SELECT id, 'body', unnest({_tok('body')}) FROM cat) GROUP BY ALL) GROUP BY ALL")
+def f9_index_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of an index that was built over yesterday's catalog and then brought up to today's by a delta with tombstones: those of an index built anew."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.build(spark, path, S.rule(), _yesterday(spark, sf_dir), "yesterday")
+    handle = index.refresh(spark, path, S.rule(), catalog(spark, sf_dir).select("id", "title", "body"), "today")
+    return S.postings(spark, handle).groupBy("col", "term").agg(F.sum("tf").alias("n"), F.count("*").alias("docs"))
+
+
+@query(f"WITH {CATALOG_SQL} SELECT id, len({_tok('title')}) + len({_tok('body')}) AS len, {S.VERSION} AS rule, count(*) OVER () AS n_docs FROM cat")
+def f10_migrated_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of an older rule for tokens is built anew, whole, when it is next asked for."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    docs = catalog(spark, sf_dir).select("id", "title", "body")
+    index.build(spark, path, S.rule(("title",), S.VERSION - 1), docs, "now")
+    handle = index.refresh(spark, path, S.rule(), docs, "now")
+    m = index.load(spark, handle)
+    return index.documents(spark, handle).select("id", "len", F.lit(m.rule).alias("rule"), F.lit(m.n_docs).alias("n_docs"))
