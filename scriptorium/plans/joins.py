@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.operators import boxes
 from scriptorium.operators.nearest import nearest
 from scriptorium.plans.registry import query
 from scriptorium.sources.tables import table
@@ -136,6 +137,18 @@ def j17_first_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", box.alias("box")).where("box IS NOT NULL")
 
 
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_linenumber % 4 AS page, l_quantity + l_tax AS x, l_extendedprice / 1000 AS y FROM lineitem),
+ b AS (SELECT p_partkey AS ord, p_size % 4 AS page, p_size * 1.0 AS x0, p_retailprice / 100 AS y0, p_size + p_partkey % 13 * (CASE WHEN p_partkey % 97 = 0 THEN 9 ELSE 0.4 END) AS x1, p_retailprice / 100 + p_partkey % 7 AS y1 FROM part)
+ SELECT l_orderkey, l_linenumber, (SELECT min(ord) FROM b WHERE b.page = p.page AND x BETWEEN least(x0, x1) AND greatest(x0, x1) AND y BETWEEN least(y0, y1) AND greatest(y0, y1)) AS box FROM p""")
+def j17_points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as a point, every part as a box, a few of them wide: the first box that holds the point."""
+    p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") % 4).alias("page"), (F.col("l_quantity") + F.col("l_tax")).alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    k = F.col("p_partkey")
+    wide = F.when(k % 97 == 0, 9.0).otherwise(0.4)
+    b = table(spark, sf_dir, "part").select(k.alias("ord"), (F.col("p_size") % 4).alias("page"), F.col("p_size").cast("double").alias("x0"), (F.col("p_retailprice") / 100).alias("y0"), (F.col("p_size") + k % 13 * wide).alias("x1"), (F.col("p_retailprice") / 100 + k % 7).alias("y1"))
+    return boxes.first_box(p, b, "page", "x", "y", "ord").select("l_orderkey", "l_linenumber", "box")
+
+
 @query("SELECT w.name, r.r_regionkey, r.r_regionkey IS NULL AS missing FROM (VALUES ('ASIA'), ('ATLANTIS')) w(name) LEFT JOIN region r ON r.r_name = w.name")
 def j18_fixed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = spark.range(1).select(F.explode(F.array(F.lit("ASIA"), F.lit("ATLANTIS"))).alias("name"))

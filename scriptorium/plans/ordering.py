@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.operators import sections
 from scriptorium.plans.registry import query
 from scriptorium.sources.tables import CATALOG_SQL, catalog, table
 
@@ -63,12 +64,7 @@ def w8_look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w8_reference_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns, and whether they stay: the tail is cut at the first numbered entry that two more follow,
     each above the last by at most 5, within the next 11 turns."""
-    word = F.split(F.trim("text"), r"\s+")
-    number = F.regexp_extract(F.get(word, F.lit(0)), r"\A([0-9]{1,3})\.\z", 1)
-    # a surname of up to three words, then initials that a point or comma closes
-    initials = F.filter(F.slice(word, 3, 3), lambda w: w.rlike(r"\A\p{Lu}{1,3}[.,]"))
-    named = F.get(word, F.lit(1)).rlike(r"\A\p{Lu}[\p{L}\p{N}_’'-]+\z") & (F.size(initials) > 0)
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when((number != "") & named, number.cast("int")).alias("n"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", sections.entry_number(F.col("text")).alias("n"))
     ahead = F.collect_list("n").over(_turn().rowsBetween(1, 11))
     run = F.aggregate("ahead", F.struct(F.col("n").alias("last"), F.lit(1).alias("entries")), lambda a, x: F.when(
         (a["last"] < x) & (x <= a["last"] + 5), F.struct(x.alias("last"), (a["entries"] + 1).alias("entries"))).otherwise(a))
@@ -77,6 +73,27 @@ def w8_reference_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(cut, "conv_id", "left").select("conv_id", "turn", (F.col("cut").isNull() | (F.col("turn") < F.col("cut"))).alias("kept"))
 
 
+#: Sentences as segments, with headings and entries planted where their length says so (the given texts have none).
+_SEGMENTS = rf"""g AS (SELECT doc_id, unnest(range(0, len(s))) AS k, unnest(s) AS t FROM (SELECT doc_id, string_split_regex(text, '[.!?] ') AS s FROM documents)),
+ p AS (SELECT doc_id, k, CASE WHEN k // 4 % 9 = 7 AND doc_id % 2 = 0 THEN (k % 90 + 1) || '. Xu S, Pan Z.' WHEN length(t) % 13 = 5 THEN '7. References:' WHEN length(t) % 11 = 3 THEN 'Appendix B' ELSE t END AS t, length(t) % 17 = 2 AS narrator FROM g)"""
+
+
+@query(rf"""WITH {_SEGMENTS},
+ n AS (SELECT *, TRY_CAST(regexp_extract(t, '^([0-9]{{1,3}})\. Xu S,', 1) AS INT) AS num, t = '7. References:' AS opens, t = 'Appendix B' AS closes FROM p),
+ r AS (SELECT *, list(num) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND 11 FOLLOWING) AS ahead FROM n),
+ f AS (SELECT *, num IS NOT NULL AND list_reduce(list_filter(ahead, lambda x: x IS NOT NULL), lambda a, x: CASE WHEN x > a % 1000 AND x <= a % 1000 + 5 THEN (a // 1000 + 1) * 1000 + x ELSE a END, 1000 + num) >= 3000 AS run FROM r),
+ z AS (SELECT *, coalesce(last_value(CASE WHEN narrator THEN NULL WHEN opens THEN 1 WHEN closes THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS skip FROM f),
+ e AS (SELECT *, coalesce(max((run AND NOT narrator AND NOT opens AND skip = 0)::INT) OVER (PARTITION BY doc_id ORDER BY k), 0) AS ended FROM z)
+ SELECT doc_id, k, narrator OR NOT opens AND ended = 0 AND (skip = 0 OR closes) AS kept FROM e""")
+def w7_reference_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which segments stay when bibliographies are cut, appendices behind them kept."""
+    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[.!?] ")).alias("k", "t"))
+    k, n = F.col("k"), F.length("t")
+    planted = F.when((F.floor(k / 4) % 9 == 7) & (F.col("doc_id") % 2 == 0), F.concat((k % 90 + 1).cast("string"), F.lit(". Xu S, Pan Z."))).when(n % 13 == 5, "7. References:").when(n % 11 == 3, "Appendix B").otherwise(F.col("t"))
+    s = s.select("doc_id", k.cast("long").alias("k"), planted.alias("t"), (n % 17 == 2).alias("narrator"))
+    return sections.without_bibliographies(s, "doc_id", "k", "t", F.col("narrator")).select("doc_id", "k", "kept")
+
+
 @query("SELECT conv_id, turn FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations) WHERE s = 0 AND role <> 'user'")
 def w9_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(_turn().rowsBetween(W.unboundedPreceding, 0))
