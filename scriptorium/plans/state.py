@@ -12,6 +12,7 @@ from scriptorium.functions.text import digit_dense
 from scriptorium.operators import paragraphs
 from scriptorium.plans.registry import query
 from scriptorium.sources.tables import table
+from scriptorium.streaming import queue as job_queue
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,3 +226,16 @@ def z30_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def z31_bound_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("h"))
     return _docs(spark, sf_dir).where("n_chars <= 20000").withColumn("h", F.sha2("text", 256)).join(b, "h", "left_semi").select("doc_id")
+
+
+@query()
+def z2_job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of leased job queues when all events are replayed as requests: a queue for every 20 users, four workers each."""
+    e = _events(spark, sf_dir)
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    n = F.pmod(F.xxhash64("event_id"), F.lit(12))
+    kind = F.when(n <= 2, "submit").when(n <= 5, "claim").when(n <= 8, "update").when(n == 9, "cancel").when(n == 10, "retry").when(F.pmod(F.xxhash64(F.lit(1), "event_id"), F.lit(40)) == 0, "recover").otherwise("update")
+    worker = F.concat(F.lit("w"), F.pmod(F.xxhash64(F.lit(2), "event_id"), F.lit(4)).cast("string"))
+    status = F.when(n == 6, "completed").when(n == 7, "failed").otherwise("running")
+    requests = e.select(F.concat(F.lit("q"), (F.col("user_id") % 20).cast("string")).alias("queue"), F.col("event_id").alias("seq"), at.alias("at"), kind.alias("kind"), F.concat(F.lit("j"), F.floor(F.col("user_id") / 20).cast("string")).alias("job"), worker.alias("worker"), worker.alias("token"), status.alias("status"), F.lit(6 * 3_600_000).cast("long").alias("lease_ms"))
+    return job_queue.answers(requests).select("queue", "seq", "kind", "answer", "job", "status", "worker")
