@@ -62,14 +62,16 @@ def words_of(texts: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray]:
     data, offsets = flat_bytes(texts)
     data = _LOWER[data]
     inside = _IN_WORD[data]
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
     at = offsets[:-1][offsets[:-1] < len(data)]
-    start[at] = inside[at]
-    begins = np.flatnonzero(start)
-    kept = np.flatnonzero(inside)
-    ends = np.append(np.searchsorted(kept, begins), len(kept)).astype(np.int64)
-    words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(data[kept]))
+    first[at] = inside[at]  # a text's first byte never continues the one before
+    at = at[at > 0]
+    last[at - 1] = inside[at - 1]
+    begins = np.flatnonzero(first)
+    ends = np.append(0, np.cumsum(np.flatnonzero(last) - begins + 1))
+    words = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(ends), pa.py_buffer(data[inside]))
     return words, np.searchsorted(begins, offsets)
 
 
@@ -175,6 +177,7 @@ def _cut(target: bool):
                 if held and not fits:
                     yield chunk(held)
                     held, size = [], 0
+                    pa.default_memory_pool().release_unused()
                     continue
                 take = max(1, fits)
                 held.append(batch.slice(start, take))
@@ -280,7 +283,8 @@ def _runs(buckets: int):
             if size >= HELD:
                 out, last = pack(held, sums, last)
                 yield from out
-                held, size = [], 0
+                held, size, out = [], 0, []
+                pa.default_memory_pool().release_unused()
         if size:
             yield from pack(held, sums, last)[0]
         if sums.any():
