@@ -29,10 +29,10 @@ def first_box(points: DataFrame, boxes: DataFrame, page: str, x: str, y: str, or
     spread = lambda lo, hi: F.sequence(cell(F.col(lo), F.col("_grid")), cell(F.col(hi), F.col("_grid")))
     b = b.withColumn("_cx", F.explode(spread("_x0", "_x1"))).withColumn("_cy", F.explode(spread("_y0", "_y1")))
     grids = [r[0] for r in b.select("_grid").distinct().collect()]  # powers of two between the least and the greatest side: a few dozen
-    numbered = points.withColumn("_row", F.monotonically_increasing_id())
-    look = numbered.where(finite(x, y)).select("_row", F.col(page).alias("_p"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.explode(F.array(*[F.lit(g) for g in grids]) if grids else F.array().cast("array<int>")).alias("_g"))
+    numbered = points.select(F.monotonically_increasing_id().alias("_row"), F.struct(*points.columns).alias("_point"), F.when(finite(x, y), F.col(page)).alias("_p"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    where = F.array(*[F.lit(g) for g in grids]) if grids else F.array().cast("array<int>")
+    look = numbered.withColumn("_g", F.explode_outer(F.when(F.col("_p").isNotNull(), where)))
     look = look.withColumn("_ux", cell(F.col("_x"), F.col("_g"))).withColumn("_uy", cell(F.col("_y"), F.col("_g")))
-    met = look.join(b, (F.col("_p") == F.col("_page")) & (F.col("_g") == F.col("_grid")) & (F.col("_ux") == F.col("_cx")) & (F.col("_uy") == F.col("_cy")))
+    met = look.join(b, (F.col("_p") == F.col("_page")) & (F.col("_g") == F.col("_grid")) & (F.col("_ux") == F.col("_cx")) & (F.col("_uy") == F.col("_cy")), "left")
     inside = F.col("_x").between(F.col("_x0"), F.col("_x1")) & F.col("_y").between(F.col("_y0"), F.col("_y1"))
-    first = met.where(inside).groupBy("_row").agg(F.min("_order").alias("box"))
-    return numbered.join(first, "_row", "left").drop("_row")
+    return met.groupBy("_row").agg(F.first("_point").alias("_point"), F.min(F.when(inside, F.col("_order"))).alias("box")).select("_point.*", "box")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import arrow
 from scriptorium.functions import text as T
+from scriptorium.operators import repairs, spoken
 from scriptorium.plans.registry import query
 from scriptorium.sources.tables import table
 
@@ -260,3 +263,49 @@ def m3_digit_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey, s_acctbal BETWEEN -17 AND 1500 AND s_nationkey <= 12 AS pass FROM supplier")
 def m4_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal").between(-17, 1500) & (F.col("s_nationkey") <= 12)).alias("pass"))
+
+
+#: What is added to each text by its number, so that every rule has something to do.
+PLANTED = {
+    0: " Write to a.b@c-d.org, or see https://x.org/y?z=1.", 1: " As shown (Berg and Dyk, 2019; Lee et al., 2020a) and [Orr 2001] in [1, 2–4] .", 2: " An organiza- tional view of retrievalaugmented work &amp; con-cern.",
+    3: " arXiv:2101.00001v2 [cs.CL] 3 Jan 2021 by orcid0000-0001-2345-6789 andτ-bench.", 4: " {a, b}@uni.edu; ( ) and www.site.com/a), too , done .", 5: "", 6: " © 2020 Copyright by us. CC BY 4.0) Crosssection of [12].",
+}
+
+
+def _chain_sql(rules: tuple[spoken.Rule, ...]) -> str:
+    """The rules one after the other, each a step of its own."""
+    steps, prior = [], "p"
+    for n, r in enumerate(rules):
+        pattern = r.pattern.replace("'", "''").replace(r"\z", "$").replace(r"\A", "^")
+        by = re.sub(r"\$([0-9])", r"\\\1", r.by).replace("'", "''")
+        new = f"CASE WHEN regexp_matches(t, '{pattern}') THEN '' ELSE t END" if r.whole else f"regexp_replace(t, '{pattern}', '{by}', 'g')"
+        if r.sections:
+            new = "t"
+        note = f"CASE WHEN n = t OR list_contains(c, '{r.name}') THEN c ELSE list_append(c, '{r.name}') END" if r.name else "c"
+        steps.append(f"s{n} AS (SELECT doc_id, n AS t, {note} AS c FROM (SELECT *, {new} AS n FROM {prior}))")
+        prior = f"s{n}"
+    return f"{', '.join(steps)} SELECT doc_id, t AS spoken, array_to_string(c, ',') AS changes FROM {prior}"
+
+
+_PLANTED_SQL = " ".join(f"WHEN {k} THEN '{v}'" for k, v in PLANTED.items())
+
+
+@query(f"WITH p AS (SELECT doc_id, text || CASE length(text) % 7 {_PLANTED_SQL} END AS t, CAST([] AS VARCHAR[]) AS c FROM documents), " + _chain_sql(spoken.RULES))
+def t8_spoken_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with planted artefacts, fit for reading aloud, and what was changed."""
+    planted = F.lit("")
+    for k, v in PLANTED.items():
+        planted = F.when(F.length("text") % 7 == k, v).otherwise(planted)
+    s = spoken.spoken(_docs(spark, sf_dir).select("doc_id", F.concat("text", planted).alias("t")), "t")
+    return s.select("doc_id", "spoken", F.array_join("changes", ",").alias("changes"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, text, regexp_extract(text, '(?:^| )([a-z]{6,})(?: |$)', 1) AS word FROM documents)
+ SELECT doc_id, text || CASE WHEN word <> '' THEN ' ' || word || ' xq- zzt token- and' ELSE '' END AS text, CASE WHEN word <> '' THEN 'repair-line-break-hyphenation' ELSE '' END AS repairs FROM w""")
+def t9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, each with one of its own words broken at its end, repaired by what the text itself says; what has no evidence stays."""
+    word = F.regexp_extract("text", r"(?:\A| )([a-z]{6,})(?: |\z)", 1)
+    d = _docs(spark, sf_dir).select("doc_id", "text", word.alias("w"))
+    broken = F.concat("text", F.lit(" "), F.substring("w", 1, 3), F.lit("- "), F.substr("w", F.lit(4)), F.lit(" xq- zzt token- and"))
+    done = repairs.repaired(d.select("doc_id", F.when(F.col("w") != "", broken).otherwise(F.col("text")).alias("text")), "doc_id", "text")
+    return done.select(F.col("id").alias("doc_id"), "text", F.array_join("repairs", ",").alias("repairs"))

@@ -1,0 +1,52 @@
+"""Rules for reading aloud and repairs by evidence, on planted cases."""
+
+from pyspark.sql import functions as F
+
+from scriptorium.operators import repairs, spoken
+
+
+def said(spark, *rows):
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, text string, section string")
+    return [(r.spoken, r.changes) for r in spoken.spoken(df, "text", F.col("section")).orderBy("k").collect()]
+
+
+def test_every_rule_has_a_case(spark):
+    cases = [
+        ("A &lt;b&gt; &amp; c", "", "A <b> & c", ["decode-html-entities"]), ("Open Access This article is licensed under a licence.", "", "", ["omit-license-notice"]), ("Published by Elsevier Ltd.", "", "", ["omit-publisher-front-matter"]),
+        ("Keywords: rain, roofs", "", "", ["omit-keyword-list"]), ("It rains. CCS Concepts: rain", "Abstract:", "It rains.", ["omit-publisher-footer"]), ("It rains. CCS Concepts: rain", "Methods", "It rains. CCS Concepts: rain", []),
+        ("the organiza- tional vari-able", "", "the organizational variable", ["repair-typesetting-split"]), ("As (e.g., Berg and Dyk, 2019; Lee et al., 2020a) say (in 2019).", "", "As say (in 2019).", ["omit-author-year-citation"]),
+        ("x arXiv:2101.00001v2 [cs.CL] 3 Jan 2021 y", "", "x y", ["omit-arxiv-page-stamp"]), ("by /orcid0000-0001-2345-6789 me", "", "by me", ["omit-orcid-identifier"]), ("Domainspecific and domainspecific", "", "Domain-specific and domain-specific", ["repair-fused-word"]),
+        ("Methods We ask. Results They say.", "Abstract", "Methods. We ask. Results. They say.", ["punctuate-structured-abstract-label"]), ("andτ-bench", "", "and τ-bench", ["separate-greek-symbol"]), ("us {a, b}@c.org; here", "", "us here", ["omit-grouped-email-addresses"]),
+        ("so [1, 2–4], and [x]", "", "so, and [x]", ["omit-numeric-citation-marker"]), ("to a.b@c.org, or", "", "to the email address, or", ["replace-email-address"]), ("see (https:// x.org/a.b?c).", "", "see (the linked source).", ["replace-web-link"]),
+        ("© 2020 Copyright by us, under CC BY 4.0) It rains.", "", "It rains.", ["omit-publisher-front-matter"]), ("", "", "", []), (None, None, None, []), ("plain , text", "", "plain, text", []),
+    ]
+    assert said(spark, *[(t, s) for t, s, _, _ in cases]) == [(t, c) for _, _, t, c in cases]
+    names = {r.name for r in spoken.RULES if r.name}
+    assert names == {n for *_, c in cases for n in c}
+
+
+def test_order_matters_and_changes_are_told_in_order(spark):
+    text = "See https://x.org/a@b.org and [3] of a@b.org."
+    assert said(spark, (text, ""))[0] == ("See the linked source email address and of the email address.", ["omit-numeric-citation-marker", "replace-email-address", "replace-web-link"])
+    links_first = tuple(sorted(spoken.RULES, key=lambda r: r.name != "replace-web-link"))
+    df = spoken.spoken(spark.createDataFrame([(text, "clash")], "t string, spoken string"), "t", None, links_first)
+    assert df.columns == ["t", "spoken", "changes"] and df.first().spoken == "See the linked source and of the email address." and df.first().changes == ["replace-web-link", "omit-numeric-citation-marker", "replace-email-address"]
+
+
+def test_repairs_need_evidence_in_the_same_document(spark):
+    rows = [
+        (1, "They cooperate. To co- operate, co-operate and cooperate."), (2, "To co- operate alone."), (3, "A well-known fact; the well- known and wellknown fact."), (4, "token- and cost-aware; sub- agents, sub-agents and sub-agents"),
+        (5, "A BSTRACT of a text. The A CNN and a CNN. A PI is api"), (6, "form1,2 and model3–5, as before7,8. Then model9 and x2y stay3."), (7, "form1,2 alone, model9."), (1, "co- operate without it"), (None, None), (8, ""), (9, "no candidates here"),
+    ]
+    got = sorted(((r.id, r.text, r.repairs) for r in repairs.repaired(spark.createDataFrame(rows, "id long, text string").repartition(3), "id", "text").collect()), key=repr)
+    hyphen, caps, cited = "repair-line-break-hyphenation", "repair-small-caps-split", "omit-superscript-citation"
+    want = [
+        (1, "They cooperate. To cooperate, cooperate and cooperate.", [hyphen, hyphen]), (2, "To co- operate alone.", []), (3, "A well-known fact; the well-known and wellknown fact.", [hyphen]), (4, "token- and cost-aware; sub-agents, sub-agents and sub-agents", [hyphen]),
+        (5, "ABSTRACT of a text. The A CNN and a CNN. API is api", [caps, caps]), (6, "form and model, as before. Then model and x2y stay.", [cited] * 5), (7, "form1,2 alone, model9.", []), (1, "co- operate without it", []), (None, None, []), (8, "", []), (9, "no candidates here", []),
+    ]
+    assert got == sorted(want, key=repr)
+
+
+def test_vocabulary_counts_words_and_compounds(spark):
+    df = spark.createDataFrame([(1, "Sub-agents are sub-agents; Agents, A GENTS x1 agents.")], "row long, t string")
+    assert {r.form: r.n for r in repairs.vocabulary(df, "t").collect()} == {"sub-agents": 2, "are": 1, "agents": 2}
