@@ -354,9 +354,11 @@ def fit(pages: DataFrame, prior: Weights = Weights(), strength: float = 30.0) ->
 
     Pages without an article or main element teach nothing; without any, the prior is returned. The smoothness stays.
     """
-    html = pages.select("html").where(F.length("html").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("html"), "html").limit(SAMPLE)
+    short = pages.select("html", F.xxhash64("html").alias("h")).where(F.length("html").between(1, SAMPLE_CHARS))
+    lowest = [r.h for r in short.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]  # numbers first, so tasks send no pages
     x, y = [], []
-    for k, row in enumerate(html.collect()):  # `SAMPLE` pages
+    rows = short.where(F.col("h") <= lowest[-1]).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect() if lowest else []  # `SAMPLE` pages
+    for k, row in enumerate(rows):
         a, b = labelled(row.html, k % 2 == 1)
         x += a
         y += b
