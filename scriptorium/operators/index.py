@@ -70,7 +70,7 @@ def _numbers(spark: SparkSession, path: str, ending: str) -> list[int]:
     return sorted(int(m[1]) for n in names if (m := re.fullmatch(rf"([0-9]+){re.escape(ending)}", n)))
 
 
-def load(spark: SparkSession, handle: str) -> Manifest | None:
+def load_json(spark: SparkSession, handle: str) -> dict | None:
     """The manifest that a handle names, or the newest of a path; None where there is none."""
     path, _, number = handle.partition("@")
     known = _numbers(spark, path, ".json")
@@ -79,23 +79,31 @@ def load(spark: SparkSession, handle: str) -> Manifest | None:
     p, fs = _fs(spark, f"{path}/manifests/{number or known[-1]}.json")
     stream = fs.open(p)
     try:
-        raw = json.loads(bytes(stream.readAllBytes()).decode())
+        return json.loads(bytes(stream.readAllBytes()).decode())
     finally:
         stream.close()
-    return Manifest(**raw | {"segments": [Segment(**s) for s in raw["segments"]]})
 
 
-def publish(spark: SparkSession, path: str, new: Manifest) -> str:
-    """Makes ``new`` the newest state; ``Conflict`` where its number is taken. A claim whose builder died is passed over by the next number."""
-    claim, fs = _fs(spark, f"{path}/manifests/{new.number}.claim")
+def load(spark: SparkSession, handle: str) -> Manifest | None:
+    raw = load_json(spark, handle)
+    return raw and Manifest(**raw | {"segments": [Segment(**s) for s in raw["segments"]]})
+
+
+def publish_json(spark: SparkSession, path: str, number: int, content: dict) -> str:
+    """Makes ``content`` the newest state; ``Conflict`` where its number is taken. A claim whose builder died is passed over by the next number."""
+    claim, fs = _fs(spark, f"{path}/manifests/{number}.claim")
     if not fs.createNewFile(claim):
-        raise Conflict(f"manifest {new.number} of {path} is another builder's")
-    part, _ = _fs(spark, f"{path}/manifests/{new.number}.{uuid.uuid4().hex}")
+        raise Conflict(f"manifest {number} of {path} is another builder's")
+    part, _ = _fs(spark, f"{path}/manifests/{number}.{uuid.uuid4().hex}")
     out = fs.create(part)
-    out.write(bytearray(json.dumps(asdict(new)).encode()))
+    out.write(bytearray(json.dumps(content).encode()))
     out.close()
-    fs.rename(part, _fs(spark, f"{path}/manifests/{new.number}.json")[0])
-    return f"{path}@{new.number}"
+    fs.rename(part, _fs(spark, f"{path}/manifests/{number}.json")[0])
+    return f"{path}@{number}"
+
+
+def publish(spark: SparkSession, path: str, new: Manifest) -> str:
+    return publish_json(spark, path, new.number, asdict(new))
 
 
 def next_number(spark: SparkSession, path: str) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,9 +11,9 @@ from pyspark.sql import functions as F
 from scriptorium.functions import arrow, text
 from scriptorium.functions.records import first_of
 from scriptorium.functions.text import digit_dense
-from scriptorium.operators import paragraphs
+from scriptorium.operators import changes, paragraphs, quotas, revisions
 from scriptorium.plans.registry import query
-from scriptorium.sources.tables import table
+from scriptorium.sources.tables import shared_folder, table
 from scriptorium.streaming import queue as job_queue
 
 
@@ -239,3 +241,57 @@ def z2_job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(n == 6, "completed").when(n == 7, "failed").otherwise("running")
     requests = e.select(F.concat(F.lit("q"), (F.col("user_id") % 20).cast("string")).alias("queue"), F.col("event_id").alias("seq"), at.alias("at"), kind.alias("kind"), F.concat(F.lit("j"), F.floor(F.col("user_id") / 20).cast("string")).alias("job"), worker.alias("worker"), worker.alias("token"), status.alias("status"), F.lit(6 * 3_600_000).cast("long").alias("lease_ms"))
     return job_queue.answers(requests).select("queue", "seq", "kind", "answer", "job", "status", "worker")
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error'")
+def s5_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy of the newest event of every user, errors as deletions, kept up by a feed of thirds; a batch comes twice, one is late and one has nothing."""
+    log = _events(spark, sf_dir).select("user_id", "event_id", "event_type", "value")
+    top = log.agg(F.max("event_id")).first()[0] or 0
+    path = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+
+    def upto(version: int):
+        def feed(since: int):
+            part = log.where((F.col("event_id") > since) & (F.col("event_id") <= version))
+            return changes.Batch(part.where("event_type <> 'error'"), part.where("event_type = 'error'"), version)
+
+        return feed
+
+    for feed in (upto(top // 3), upto(top // 3), upto(2 * top // 3), lambda _: None, upto(top // 2), upto(top)):
+        changes.sync(spark, path, feed, "user_id", "event_id")
+    return changes.rows(spark, path).select("user_id", "event_id", "event_type", "value")
+
+
+@query("""WITH r AS (SELECT event_id, ts, user_id * 7 + event_id % 400 AS id, event_type AS content FROM events),
+ f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS nth, first_value(content) OVER (PARTITION BY id ORDER BY ts, event_id) AS first FROM r),
+ d AS (SELECT event_id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM f WHERE nth = 1),
+ w AS (SELECT day, least(count(*), 50) AS wanted FROM d GROUP BY day),
+ m AS (SELECT day, greatest(0, least(wanted, 700 - coalesce(sum(wanted) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS room FROM w)
+ SELECT f.event_id, CASE WHEN nth = 1 THEN CASE WHEN k <= room THEN 'admitted' WHEN room < 50 THEN 'total' ELSE 'daily' END WHEN content = first THEN 'again' ELSE 'conflict' END AS answer FROM f LEFT JOIN d USING (event_id) LEFT JOIN m USING (day)""")
+def z22_coupled_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests under 50 a day and 700 in all; repeated ids are answered again, or conflict."""
+    e = _events(spark, sf_dir).select("event_id", "ts", (F.col("user_id") * 7 + F.col("event_id") % 400).alias("id"), F.col("event_type").alias("content"))
+    return quotas.admitted(e, "ts", "event_id", "id", "content", 50, 700).select("event_id", "answer")
+
+
+@query("""WITH t AS (SELECT event_id, event_type, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events)
+ SELECT event_id, i * 900000 + max(ms - i * 900000) OVER (PARTITION BY event_type ORDER BY i) AS start FROM t""")
+def z18_pacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each event may start if those of one type keep a quarter of an hour apart."""
+    e = _events(spark, sf_dir).select("event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return quotas.paced(e, "event_type", "at", "event_id", 900_000).select("event_id", "start")
+
+
+_SAVES = """r AS (SELECT event_id AS s, user_id AS p, 'r' || CASE WHEN event_id % 23 = 0 THEN event_id - 1 ELSE event_id END AS id, 'v' || event_id AS rev,
+ lag('v' || event_id, CASE WHEN event_id % 5 = 0 THEN 2 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS e FROM events)"""
+
+
+@query(f"""WITH RECURSIVE {_SAVES}, f AS (SELECT *, min(s) OVER (PARTITION BY id) AS first FROM r), n AS (SELECT * FROM f WHERE s = first),
+ c AS (SELECT p, min(s) AS s FROM n WHERE e IS NULL GROUP BY p UNION ALL SELECT n.p, min(n.s) FROM c JOIN n ON n.p = c.p AND n.e = 'v' || c.s AND n.s > c.s GROUP BY n.p)
+ SELECT f.s AS event_id, CASE WHEN f.s <> first THEN 'reused' WHEN c.s IS NOT NULL THEN 'accepted' ELSE 'conflict' END AS answer FROM f LEFT JOIN c ON c.p = f.p AND c.s = f.s""")
+def z10_replayed_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as saves of a user's file: most expect the newest revision, one in five the one before; one in 23 uses another's id."""
+    k, user = F.col("event_id"), W.partitionBy("user_id").orderBy("event_id")
+    rev = F.concat(F.lit("v"), k.cast("string"))
+    e = _events(spark, sf_dir).select("event_id", "user_id", F.concat(F.lit("r"), F.when(k % 23 == 0, k - 1).otherwise(k).cast("string")).alias("id"), rev.alias("rev"), F.when(k % 5 == 0, F.lag(rev, 2).over(user)).otherwise(F.lag(rev, 1).over(user)).alias("e"))
+    return revisions.replayed(e, "user_id", "event_id", "id", "e", "rev").select("event_id", "answer")
