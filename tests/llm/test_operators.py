@@ -691,3 +691,40 @@ def test_label_errors_are_the_same_salted(spark, monkeypatch):
     monkeypatch.setattr(vector_codes, "BROADCAST_LABELS", 0)
     assert sorted((tuple(r) for r in vector_codes.with_label_error(rows).collect()), key=repr) == broad
     assert {r[1]: r[4] for r in broad} == {1: sum(range(0, 90, 3)), None: sum(k for k in range(90) if k % 3)}
+
+
+# the pipeline
+def test_the_chain_equals_a_plain_one(spark):
+    """Every stage of the pipeline against plain code on what the stage before kept: texts scored one by one,
+    all pairs of shingle sets, all windows of all items, and the whole tokenizer."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    frame = lambda kept: docs.where(F.col("doc_id").isin([i for i, _ in kept]))
+    toxic = toxicity.scorer(toxicity.train(docs, labels))
+    clean = [(i, t) for i, t in rows if toxic(pa.array([t], pa.string()))[0] < 0.5]
+    fair = quality.scorer(quality.train(frame(clean), labels))
+    good = [(i, t) for i, t in clean if fair(pa.array([t], pa.string()))[0] >= 0.3]
+    of = brute_components(good, 5, 80)
+    single = [(i, t) for i, t in good if of[i][1] == i]
+    leaks = {d for d, _ in brute_matches(single, items)}
+    last = [(i, t) for i, t in single if i not in leaks]
+    assert len(rows) > len(clean) > len(good) > len(single) > len(last) > 0
+    whole = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    want = {}
+    for i, t in last:
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want |= {(i, k): (at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for k, at in enumerate(range(0, len(ids), 2048))}
+    packed = corpus_pipeline.run(spark, SF).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packed} == want and len(packed) == len(want)
+    ends = collections.Counter()
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert ends[r.sequence_id] == r.offset
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 2048
