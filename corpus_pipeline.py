@@ -7,9 +7,8 @@ on all that the one before kept; all but the last return the columns of
 its own score says otherwise; an empty table passes through as one.
 
 No stage is plain SQL (three fit or walk something that SQL cannot express), so
-``ORACLE_SQL`` is None. The operators of the third to fifth stage are held against
-brute force in their tests, those of the first two against held-out labels; the
-chain itself is tested on odd rows.
+``ORACLE_SQL`` is None. The whole chain is tested against plain code, stage by stage,
+and on odd rows; the classifiers also against held-out labels.
 """
 
 from __future__ import annotations
