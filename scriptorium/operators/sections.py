@@ -40,7 +40,7 @@ def is_appendix_heading(text: Column) -> Column:
     words = F.split(F.trim(text), r"\s+")
     named = F.lower(F.trim(text)).rlike(rf"\A(?:{'|'.join(APPENDIX_NAMES)})\b")
     lettered = F.get(words, F.lit(0)).rlike(r"\A[A-Z][0-9]{0,2}(?:\.[0-9]+)*\.?\z") & F.get(words, F.lit(1)).rlike(r"\A[A-Z]") & ~F.trim(text).rlike(r"[,“”\"]")
-    return (F.size(words) <= APPENDIX_WORDS) & (named | lettered)
+    return (F.size(words) <= APPENDIX_WORDS) & (named | F.coalesce(lettered, F.lit(False)))
 
 
 def run_starts(rows: DataFrame, key: str, place: str, text: str) -> DataFrame:

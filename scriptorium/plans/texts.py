@@ -301,7 +301,8 @@ def t8_spoken_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH w AS (SELECT doc_id, text, regexp_extract(text, '(?:^| )([a-z]{6,})(?: |$)', 1) AS word FROM documents)
- SELECT doc_id, text || CASE WHEN word <> '' THEN ' ' || word || ' xq- zzt token- and' ELSE '' END AS text, CASE WHEN word <> '' THEN 'repair-line-break-hyphenation' ELSE '' END AS repairs FROM w""")
+ SELECT doc_id, text || CASE WHEN word = '' THEN '' WHEN substr(word, 4) IN ('and', 'or', 'nor', 'to', 'versus', 'vs') THEN ' ' || substr(word, 1, 3) || '- ' || substr(word, 4) || ' xq- zzt token- and' ELSE ' ' || word || ' xq- zzt token- and' END AS text,
+ CASE WHEN word = '' OR substr(word, 4) IN ('and', 'or', 'nor', 'to', 'versus', 'vs') THEN '' ELSE 'repair-line-break-hyphenation' END AS repairs FROM w""")
 def t9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts, each with one of its own words broken at its end, repaired by what the text itself says; what has no evidence stays."""
     word = F.regexp_extract("text", r"(?:\A| )([a-z]{6,})(?: |\z)", 1)

@@ -75,7 +75,7 @@ def test_headings_and_entries(spark):
     of = lambda f, *t: [r[0] for r in spark.createDataFrame(list(enumerate(t)), "k int, t string").select(f(F.col("t"))).collect()]
     assert of(sections.entry_number, "4. Xu S, Pan Z.", "12. van Dyk", "7. O’Neil JB. A title", "1. Van der Berg K. Title", "x", "1234. Xu S.") == [4, None, 7, 1, None, None]
     assert of(sections.is_reference_heading, "References", "6. REFERENCE LIST:", "References are many", " works cited. ") == [True, True, False, True]
-    assert of(sections.is_appendix_heading, "Appendix", "A Proofs of Lemmas", "A1.2 Data", "A dog barks, loudly", "a note", "supplementary " + "x " * 12) == [True, True, True, False, False, False]
+    assert of(sections.is_appendix_heading, "Appendix", "A Proofs of Lemmas", "A1.2 Data", "A dog barks, loudly", "a note", "supplementary " + "x " * 12, "B", "") == [True, True, True, False, False, False, False, False]
 
 
 def test_first_box_equals_all_pairs(spark):
