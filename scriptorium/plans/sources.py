@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import excerpt, formula_guard
+from scriptorium.operators import tags
 from scriptorium.plans.registry import query
 from scriptorium.sources.tables import CATALOG_SQL, catalog, table
 
@@ -43,6 +44,27 @@ def s10_landing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", r'<html lang="([a-z]+)"', 1).alias("lang"))
 
 
+@query()
+def s10_landing_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a page says of itself, with the abstract that it shows; tested against the standard parser."""
+    pages = table(spark, sf_dir, "pages")
+    found = tags.evidence(pages, "page_id", "url", "html").join(tags.abstracts(pages, "page_id", "html"), "page_id", "left")
+    meta = F.array_join(F.transform("meta", lambda m: F.concat(m["name"], F.lit("="), m["content"])), "\n")
+    return found.select("page_id", "title", "base", meta.alias("meta"), F.array_join("pdfs", "\n").alias("pdfs"), F.size("links").alias("n_links"), F.size("data").alias("n_data"), "abstract")
+
+
+@query(r"""WITH p AS (SELECT page_id, url, regexp_replace(html, '<!--.*?-->|<script.*?</script>', '', 'gs') AS html FROM pages),
+ h AS (SELECT page_id, url, unnest(l) AS href, unnest(range(len(l))) AS k FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS l FROM p)),
+ r AS (SELECT page_id, k, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN split_part(url, ':', 1) || ':' || href WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || href END AS link FROM h)
+ SELECT page_id, k, link, link IN (SELECT regexp_replace(url, '[?#].*', '') FROM pages) AS known FROM r WHERE link IS NOT NULL""")
+def s10_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of every page, and whether it leads to a page of the table, whose query and fragment do not count."""
+    pages = table(spark, sf_dir, "pages")
+    links = tags.links(pages, "page_id", "url", "html")
+    known = pages.select(F.regexp_replace("url", "[?#].*", "").alias("link"), F.lit(True).alias("known")).distinct()
+    return links.join(known, "link", "left").select("page_id", "k", "link", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 @query("SELECT doc_id, sha256(text) AS revision, sha1(text) AS blob, octet_length(encode(text))::BIGINT AS bytes FROM documents WHERE octet_length(encode(text)) <= 20000")
 def s12_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length("text").cast("long")
