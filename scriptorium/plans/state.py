@@ -12,6 +12,7 @@ from scriptorium.functions import arrow, text
 from scriptorium.functions.records import first_of
 from scriptorium.functions.text import digit_dense
 from scriptorium.operators import changes, paragraphs, quotas, revisions
+from scriptorium.operators.reserve import reserve
 from scriptorium.plans.registry import query
 from scriptorium.sources.tables import shared_folder, table
 from scriptorium.streaming import queue as job_queue
@@ -105,7 +106,7 @@ def z8_field_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT o.source, o.k, o.doc_id, n <= room, CASE WHEN n <= room THEN room - n ELSE room END FROM f JOIN o ON o.source = f.source AND o.k = f.k + 1) SELECT doc_id, accepted FROM f""")
 def z9_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A refused row leaves the budget to the ones after it."""
-    return arrow.reserve(_docs(spark, sf_dir), "source", "doc_id", "n_chars", 50000).select("doc_id", "accepted")
+    return reserve(_docs(spark, sf_dir), "source", "doc_id", "n_chars", 50000).select("doc_id", "accepted")
 
 
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'created' WHEN quality = 1 THEN 'saved' ELSE 'conflict' END AS result FROM documents d LEFT JOIN labels l USING (doc_id)")
