@@ -8,13 +8,15 @@ give its place. The room halves at least, and the phases are as many as the budg
 binary digits, for all keys at once.
 
 Rows are dealt once into ranges in order and written; sums of ranges run over the few
-ranges of a key.
+ranges of a key. A key of one range's rows at most needs no phases: its rows are folded in order.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,9 +32,30 @@ def reserve(rows: DataFrame, key: str, order: str, size: str, budget: int, range
     Null and negative sizes are 0, a null key is a key, a null order comes first. Of rows alike in key, order and size it does not
     matter which one is meant. Rows above the whole budget are refused without being dealt.
     """
-    spark = rows.sparkSession
     narrow = rows.select(F.col(key).alias("s"), F.col(order).alias("o"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long").alias("n"))
     fitting = narrow.where(F.col("n") <= budget)
+    large = fitting.groupBy(F.col("s").alias("k")).count().where(F.col("count") > range_rows).select("k")
+    here = F.col("s").eqNullSafe(F.col("k"))
+
+    def fold(part: pa.Table) -> pa.Table:
+        part = part.take(pc.sort_indices(part, sort_keys=[("o", "ascending"), ("n", "ascending")], null_placement="at_start"))
+        left, kept = budget, []
+        for n in part["n"].to_pylist():
+            kept.append(n <= left)
+            left -= n if n <= left else 0
+        return part.select(["s", "o"]).append_column("accepted", pa.array(kept, pa.bool_()))
+
+    kinds = dict(narrow.dtypes)
+    folded = fitting.join(large, here, "left_anti").groupBy("s").applyInArrow(fold, f"s {kinds['s']}, o {kinds['o']}, accepted boolean")
+    out = folded.unionByName(narrow.where(F.col("n") > budget).select("s", "o", F.lit(False).alias("accepted")))
+    if not large.isEmpty():
+        out = out.unionByName(_by_phases(fitting.join(large, here, "left_semi"), budget, range_rows))
+    return out.select(F.col("s").alias(key), F.col("o").alias(order), "accepted")
+
+
+def _by_phases(fitting: DataFrame, budget: int, range_rows: int) -> DataFrame:
+    """(s, o, accepted) of rows (s, o, n) that fit into the budget alone."""
+    spark = fitting.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-fitting.count() // range_rows))
     path = f"{shared_folder(spark)}/reserve-{uuid.uuid4().hex}"
     dealt = fitting.repartitionByRange(parts, "s", "o", "n").sortWithinPartitions("s", "o", "n")
@@ -58,5 +81,4 @@ def reserve(rows: DataFrame, key: str, order: str, size: str, budget: int, range
     last = F.filter("log", lambda p: p["after"] < F.col("at"))
     decided = dealt.join(log, F.col("s").eqNullSafe(F.col("k"))).withColumn("in", F.array_max(last))
     accepted = (F.col("n") <= F.col("in.half")) | F.exists("log", lambda p: p["after"] == F.col("at"))
-    out = decided.select("s", "o", accepted.alias("accepted")).unionByName(narrow.where(F.col("n") > budget).select("s", "o", F.lit(False).alias("accepted")))
-    return out.select(F.col("s").alias(key), F.col("o").alias(order), "accepted")
+    return decided.select("s", "o", accepted.alias("accepted"))
