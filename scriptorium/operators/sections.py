@@ -54,12 +54,16 @@ def run_starts(rows: DataFrame, key: str, place: str, text: str) -> DataFrame:
     return own.where(follows["n"] >= RUN_ENTRIES).select("_key", F.col("at").alias("_at"))
 
 
-def without_bibliographies(segments: DataFrame, key: str, place: str, text: str, narrator: Column, width: int = automaton.WIDTH) -> DataFrame:
-    """``segments`` with ``kept``; ``place`` is the segment's number in its ``key``. A null text is kept or left out as its range is."""
-    starts = run_starts(segments, key, place, text)
+def without_bibliographies(segments: DataFrame, key: str, place: str, text: str, narrator: Column, width: int = automaton.WIDTH, alone: Column | None = None) -> DataFrame:
+    """``segments`` with ``kept``; ``place`` is the segment's number in its ``key``. A null text is kept or left out as its range is.
+
+    ``alone`` says which segments are set as headings or entries; the others are prose, whatever they look like. Without it any may be one.
+    """
+    alone = F.lit(True) if alone is None else F.coalesce(alone, F.lit(False))
+    starts = run_starts(segments.where(alone), key, place, text)
     rows = segments.withColumn("_narrator", F.coalesce(narrator, F.lit(False))).join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col(place) == F.col("_at")), "left")
     value = F.coalesce(F.col(text), F.lit(""))
-    rows = rows.withColumn("_opens", is_reference_heading(value)).withColumn("_closes", is_appendix_heading(value)).withColumn("_run", F.col("_at").isNotNull()).drop("_key", "_at")
+    rows = rows.withColumn("_opens", alone & is_reference_heading(value)).withColumn("_closes", alone & is_appendix_heading(value)).withColumn("_run", F.col("_at").isNotNull()).drop("_key", "_at")
     to = lambda *s: F.array(*[F.lit(x) for x in s])
     run = F.col("_run")
     step = F.when(F.col("_narrator"), to(READ, SKIPPED, ENDED)).when(F.col("_opens"), to(SKIPPED, SKIPPED, ENDED))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import automaton, boxes, sections
+from scriptorium.plans import registry
 
 
 @pytest.mark.parametrize("width", [2, 3, 64])
@@ -92,3 +93,12 @@ def test_first_box_equals_all_pairs(spark):
     assert {r.id: r.box for r in got.collect()} == want and sum(v is not None for v in want.values()) > 100
     assert "Cartesian" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
     assert {r.box for r in boxes.first_box(dot, box.limit(0), "page", "x", "y", "ord").collect()} == {None}
+
+
+def test_prose_is_no_heading(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, "References", True), (1, 1, "A.\nSHER!", False), (1, 2, "THEM", False), (1, 3, "Appendix B", True), (1, 4, "more", False)], "d long, k long, t string, a boolean")
+    kept = lambda alone: [r.kept for r in sections.without_bibliographies(df, "d", "k", "t", F.lit(False), alone=alone).orderBy("k").collect()]
+    assert kept(F.col("a")) == [False, False, False, True, True]
+    assert kept(None) == [False, True, True, True, True]
+    spark.createDataFrame([(1, "THERE. A.\nSHER!. THEM")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.k: r.kept for r in registry.QUERIES["w7_reference_sections"](spark, str(tmp_path)).collect()} == {0: False, 1: False, 2: False}
