@@ -141,12 +141,12 @@ def snippet(text: Column, word: str, most: int = 48) -> Column:
     return F.when(at > 0, F.concat(F.when(start > 1, "… ").otherwise(""), body, F.when(F.size(tokens) > end, " …").otherwise("")))
 
 
-#: Rows of a substring search, and the characters of its snippet.
-MOST_ROWS, LOCAL_CHARS, REMOTE_CHARS = 30, 500, 450
+#: Fixed value: the characters of a substring search's snippet.
+SNIPPET_CHARS = 500
 
 
-def substring_and(docs: DataFrame, text: str, columns: list[str], key: str, chars: int = LOCAL_CHARS, most: int = MOST_ROWS) -> DataFrame:
-    """The first ``most`` rows by ``key`` whose columns together hold every word of the query, with a snippet about the first word and the number of all such rows."""
+def substring_and(docs: DataFrame, text: str, columns: list[str], chars: int = SNIPPET_CHARS) -> DataFrame:
+    """All rows whose columns together hold every word of the query, with a snippet about the first word and the number of such rows."""
     words = re.findall(r"\w+", text.lower())[:20]
     hay = F.lower(F.concat_ws("\n", *columns))
     cond = F.lit(bool(words))
@@ -155,4 +155,4 @@ def substring_and(docs: DataFrame, text: str, columns: list[str], key: str, char
     found = docs.where(cond)
     total = found.agg(F.count("*").alias("total"))  # one row
     start = F.greatest(F.lit(1), F.instr(F.lower(F.col(columns[-1])), words[0] if words else "") - 100)
-    return found.orderBy(key).limit(most).withColumn("snippet", F.substring(F.col(columns[-1]), start, F.lit(chars))).join(F.broadcast(total))
+    return found.withColumn("snippet", F.substring(F.col(columns[-1]), start, F.lit(chars))).join(F.broadcast(total))

@@ -297,3 +297,19 @@ def test_queries_without_sql_on_known_rows(spark, tmp_path):
     assert run("t1_nfkc") == {1: "first line (a).", 2: "é" * 300}
     name = run("t30_readable_name")
     assert name[1] == "2025 — ﬁrst line ( a ) . — src" and len(name[2].encode()) in (234, 235)
+
+
+def test_substring_search_gives_all_hits(spark):
+    from scriptorium.operators import search
+
+    rows = spark.createDataFrame([(k, "Src", "x" * 150 + "Idiot" + "y" * 600) for k in range(70)] + [(99, "src", "none")], "doc_id long, source string, text string")
+    got = search.substring_and(rows, "idiot src", ["source", "text"]).collect()
+    assert sorted(r.doc_id for r in got) == list(range(70))
+    assert {(r.snippet, r.total) for r in got} == {("x" * 100 + "Idiot" + "y" * 395, 70)}
+
+
+@pytest.mark.parametrize(("name", "rows"), [("f7_substring_and", 45), ("f8_substring_and_remote", 45)])
+def test_substring_queries_give_all_hits(spark, tmp_path, name, rows):
+    spark.createDataFrame([(k, "https://a.org/", "<p>article of spam") for k in range(rows)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k, "src1", "an idiot") for k in range(rows)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert plans.QUERIES[name](spark, str(tmp_path)).count() == rows
