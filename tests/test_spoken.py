@@ -50,3 +50,10 @@ def test_repairs_need_evidence_in_the_same_document(spark):
 def test_vocabulary_counts_words_and_compounds(spark):
     df = spark.createDataFrame([(1, "Sub-agents are sub-agents; Agents, A GENTS x1 agents.")], "row long, t string")
     assert {r.form: r.n for r in repairs.vocabulary(df, "t").collect()} == {"sub-agents": 2, "are": 1, "agents": 2}
+
+
+def test_repairs_shuffle_no_text(spark):
+    df = spark.createDataFrame([(1, "the operator and ope- rator"), (2, None), (3, "plain")], "id long, text string")
+    got = repairs.repaired(df, "id", "text")
+    assert [r.text for r in got.orderBy("id").collect()] == ["the operator and operator", None, "plain"]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
