@@ -102,3 +102,19 @@ def test_prose_is_no_heading(spark, tmp_path):
     assert kept(None) == [False, True, True, True, True]
     spark.createDataFrame([(1, "THERE. A.\nSHER!. THEM")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.k: r.kept for r in registry.QUERIES["w7_reference_sections"](spark, str(tmp_path)).collect()} == {0: False, 1: False, 2: False}
+
+
+@pytest.mark.parametrize(("few", "spread"), [(4, 1000), (2, 1)])
+def test_dense_boxes_equal_all_pairs(spark, monkeypatch, few, spread):
+    """Hundreds of boxes over each point: no row is made for a pair of them, whatever the cells."""
+    monkeypatch.setattr(boxes, "FEW", few)
+    monkeypatch.setattr(boxes, "SPREAD", spread)
+    rng = random.Random(5)
+    shapes = [(o, rng.choice("ab"), x := float(rng.randint(0, 40)), y := rng.uniform(0, 20), x + rng.choice([0.0, 3.0, 30.0]), y + rng.choice([0.0, 5.0, 9.0])) for o in range(600)]
+    points = [(k, rng.choice("ab"), float(rng.randint(-1, 60)), rng.uniform(-1, 25)) for k in range(500)]
+    box = spark.createDataFrame(shapes, "ord long, page string, x0 double, y0 double, x1 double, y1 double")
+    dot = spark.createDataFrame(points, "id long, page string, x double, y double")
+    got = boxes.first_box(dot, box, "page", "x", "y", "ord")
+    want = {i: min((o for o, q, x0, y0, x1, y1 in shapes if q == p and x0 <= x <= x1 and y0 <= y <= y1), default=None) for i, p, x, y in points}
+    assert {r.id: r.box for r in got.collect()} == want and sum(v is not None for v in want.values()) > 100
+    assert "Generate explode" not in got._jdf.queryExecution().optimizedPlan().toString()
