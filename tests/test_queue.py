@@ -106,3 +106,19 @@ def test_a_timer_ends_what_was_asked_to_stop(spark, rocks, tmp_path):
         run.awaitTermination()
     got = {(r.queue, r.answer, r.job, r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert ("q", "expired", "a", "cancelled") in got and ("q", "asked", "a", "cancel_requested") in got
+
+
+def test_no_request_looks_at_all_jobs():
+    """Fifty thousand claims and ends among as many open jobs, without a scan of them for each."""
+    import time
+
+    n = 50_000
+    jobs = Q.Jobs({f"j{k:06}": ["queued", None, None, None, k, 1] for k in range(n)})
+    request = {"seq": 1, "worker": None, "token": None, "status": "completed", "lease_ms": 10, "job": None}
+    began = time.perf_counter()
+    for k in range(n):
+        assert Q.Queue._expire("q", jobs, k) == []
+        got = Q.Queue._answer("q", jobs, request | {"kind": "claim", "at": k, "worker": f"w{k}", "token": "t"})
+        assert got[4:6] == ("leased", f"j{k:06}")
+        assert Q.Queue._answer("q", jobs, request | {"kind": "update", "at": k, "worker": f"w{k}", "token": "t", "job": got[5]})[4] == "updated"
+    assert time.perf_counter() - began < 30
