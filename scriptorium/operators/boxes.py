@@ -5,7 +5,7 @@ only its order: the least such order is the cell's ``cover``, and no box of a la
 is looked at there again. A cell that more than ``FEW`` boxes cross is parted in sixteen,
 and only those boxes go on. A point meets at most one cell a depth: it takes the least of
 the covers, and compares coordinates with the few boxes of the cell that is not parted.
-Neither pairs of points and boxes nor points are ever dealt out for this.
+No row is made for a pair of a point and a box.
 """
 
 from __future__ import annotations
