@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,35 +28,65 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in shown else next(others)) for b in range(256)]
 
 
+# Latin-1 in lower case with blanks for white space, and its classes: two neighbours without a common bit belong to two pre-tokens.
+# In folded text _OTHER is free to stand for a word that is not cut here.
+_NUMBER, _LETTER, _MARK, _BLANK = 0, 1, 2, 3
+_WHITE = b"\t\n\x0b\x0c\r \x85\xa0"
+_FOLDED = bytes(32 if b in _WHITE else ord(chr(b).lower()) for b in range(256))
+_OTHER = b"\x85"
+_CLASSES = bytes(_NUMBER if b in _OTHER else _BLANK if b in _WHITE else _LETTER if chr(b).isalpha() else _NUMBER if chr(b).isnumeric() else _MARK for b in range(256))
+_ENDINGS = re.compile(b"'(?:s|t|re|ve|m|ll|d)")
+
+
+def _latin(text: str) -> bool:
+    if text.isascii() or len(text) < 20:
+        return text.isascii() or max(text) <= "\xff"
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def pre_tokens(low: bytes) -> list[bytes]:
+    """The tokenizer's pre-tokens of folded text: runs of letters, single numbers, English endings, runs of other marks."""
+    kind = np.frombuffer(low.translate(_CLASSES), np.uint8)
+    cut = (kind[1:] & kind[:-1]) == 0  # after each byte but the last
+    for m in _ENDINGS.finditer(low):
+        if m.start() == 0 or kind[m.start() - 1] != _MARK:
+            cut[m.start()] = False
+            cut[m.end() - 1 : m.end()] = True
+    at = np.flatnonzero(cut) + 1
+    return np.insert(np.frombuffer(low, np.uint8), at, 32).tobytes().split()
+
+
 class WordIds(dict):
-    """Ids of what stands between white space, as little-endian bytes.
+    """Ids of pre-tokens (bytes) and words (str), as little-endian bytes.
 
-    The tokenizer drops white space, and none of its steps looks across it, so a
-    text's ids are those of its words in order. A mark after a letter or digit
-    begins a token of its own, ASCII case is folded before anything else, and a
-    word of Latin-1 letters is one pre-token, which the model takes directly; all
-    other words go through the whole tokenizer. At most ``_KEPT_WORDS`` are kept.
+    Latin-1 text is in normal form already, so it is lower-cased and cut here as
+    the tokenizer does it, and the model takes each pre-token once. The tokenizer
+    drops white space, and none of its steps looks across it, so other texts go
+    by words: those of Latin-1 as above, the rest, and what holds a special token,
+    through the whole tokenizer. At most ``_KEPT_WORDS`` are kept.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         whole = Tokenizer.from_file(path)
-        self.encode, self.model, self.letters = whole.encode, whole.model.tokenize, _byte_letters()
-
-    def _ids(self, word: str) -> bytes:
-        if word[-1] in ",.!" and len(word) > 1 and word[-2].isascii() and word[-2].isalnum():  # other letters may grow marks in lower case
-            return self[word[:-1]] + self[word[-1]]
-        if word.isalpha() and max(word) <= "\u00ff":
-            low = word.lower()
-            if low != word:
-                return self[low]
-            tokens = self.model(word if word.isascii() else "".join([self.letters[b] for b in word.encode()]))
-            return np.array([t.id for t in tokens], "<u4").tobytes()
-        return np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self._ids(word) if word else b""
+        self.encode, self.model = whole.encode, whole.model.tokenize
+        self.special = re.compile("|".join([re.escape(t.content) for t in whole.get_added_tokens_decoder().values()]) or "(?!)")
+        letters = _byte_letters()
+        self.letters = str.maketrans({chr(c): "".join([letters[b] for b in chr(c).encode()]) for c in range(256)})
+
+    def _ids(self, word: bytes | str) -> bytes:
+        if isinstance(word, str):
+            return np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        shown = word.decode("latin-1")
+        return array("I", [t.id for t in self.model(shown if word.isalpha() else shown.translate(self.letters))]).tobytes()
+
+    def __missing__(self, word: bytes | str) -> bytes:
+        ids = self._ids(word)
         if len(self) >= _KEPT_WORDS:
             self.clear()
         if len(word) <= 64:
@@ -61,8 +94,15 @@ class WordIds(dict):
         return ids
 
     def text(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join([self[w] for w in words])
+        text = text or ""
+        special = self.special.search(text) is not None
+        if not special and _latin(text):
+            return b"".join(map(self.__getitem__, pre_tokens(text.encode("latin-1").translate(_FOLDED))))
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        other = [not _latin(w) or (special and self.special.search(w) is not None) for w in words]
+        low = b" ".join([_OTHER if o else w.encode("latin-1").translate(_FOLDED) for w, o in zip(words, other, strict=True)])
+        rest = compress(words, other)
+        return b"".join([self[next(rest) if t == _OTHER else t] for t in pre_tokens(low)])
 
 
 _LOADED: dict[str, WordIds] = {}

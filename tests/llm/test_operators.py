@@ -377,6 +377,38 @@ def test_word_ids_equal_the_tokenizer():
         assert np.frombuffer(words.text(s), "<u4").tolist() == whole.encode(s, add_special_tokens=False).ids, s
 
 
+def test_latin_text_asks_the_model_once_for_each_pre_token():
+    """Marks, case and numbers around a word cost no further call, and the whole tokenizer is left to what is beyond Latin-1."""
+    import public_tokenizers
+
+    words, asked, encoded = WordIds(str(public_tokenizers.path("word_bpe_49k.json"))), [], []
+    model, encode = words.model, words.encode
+    words.model = lambda w: asked.append(w) or model(w)
+    words.encode = lambda w, **kw: encoded.append(w) or encode(w, **kw)
+    words.text("Größe (größe) \u00abGRÖSSE\u00bb größe. 12,21 größe; l'été, L'ÉTÉ! it's it's: \u00bd\n" * 3)
+    assert not encoded
+    assert len(asked) == len(set(asked)) == 19  # größe ( ) « grösse » . 1 2 , ; l ' été ! it 's : ½
+    words.text("größe \u201cgröße\u201d größe, 12 \u201cgröße\u201d")
+    assert encoded == ["\u201cgröße\u201d"] and len(asked) == 19
+
+
+def test_pre_tokens_of_latin_text_equal_the_tokenizer():
+    """All pairs of the 256 characters, English endings in every place, special tokens and characters beyond Latin-1 between them."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    whole, words = Tokenizer.from_file(path), WordIds(path)
+    latin, draw = [chr(c) for c in range(256)], random.Random(8)
+    other = ["\u2019", "\u0331", "\u0301", "\u0130", "\u03a3", "\u212a", "\u2003", "\u65e5", "\ufb01", "<|endoftext|>", "<|ENDOFTEXT|>", "<|"]
+    texts = [f"a{x}{y}'S {x}'{y}" for x in latin for y in latin]
+    texts += ["".join(draw.choices(pool, k=draw.randint(0, 30))) for pool in (list("'strevmlld a,.1É"), latin + other, list("'hHtT ,1") + other) for _ in range(3000)]
+    for s in texts:
+        assert words.text(s) == np.array(whole.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), ascii(s)
+
+
 def test_pieces_of_all_documents(spark):
     """op8 against the whole tokenizer: every document's ids, pieces in order, sequences without gap or overlap, at most one more than the lower bound (89 and 88 here)."""
     import zlib
