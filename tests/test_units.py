@@ -149,6 +149,34 @@ def test_all_alike_titles(spark, tmp_path, monkeypatch):
     assert {(3, 2), (2, 0), (4, 2), (6, 5)} <= set(got)
 
 
+def test_alike_titles_without_difflib():
+    import difflib
+    import random
+
+    import pandas as pd
+
+    from scriptorium.operators import titles
+
+    rng = random.Random(5)
+    word = lambda letters, most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
+    real = lambda a, b: difflib.SequenceMatcher(None, a, b, autojunk=False)
+    for _ in range(1500):
+        a, b = (word("abcdefgh"[: rng.choice((1, 2, 4, 8))], rng.choice((4, 30, 130))) for _ in "ab")
+        assert titles.matched(a, b) == sum(m.size for m in real(a, b).get_matching_blocks()), (a, b)
+    # long ones, more characters than kinds, and syllables that share nearly all of their letters
+    wide = [chr(0x4E00 + k) for k in range(400)]
+    texts = [word(wide, 90) for _ in range(20)] + ["ss" * 80, "ss" * 79 + "st"] + ["x" * 70 + word("ab c", 60) for _ in range(20)]
+    texts += [" ".join(word("etaoin", 9) for _ in range(12)) for _ in range(60)] + ["".join(wide[:50]) + word(wide, 20) for _ in range(5)]
+    rows = pd.DataFrame({"plain": list(dict.fromkeys(texts))}).reset_index(names="id").sample(frac=1, random_state=1).reset_index(drop=True)
+    text = dict(zip(rows["id"], rows["plain"], strict=True))
+    want = {(a, b): r for a in text for b in text if b < a and (r := real(text[a], text[b]).ratio()) >= 0.65}
+    assert sorted(titles._alike(rows, rows, True, 0.65)) == sorted((a, b, r) for (a, b), r in want.items())
+    halves = rows[:40].reset_index(drop=True), rows[40:].reset_index(drop=True)
+    ids = set(halves[0]["id"])
+    assert sorted(titles._alike(*halves, False, 0.65)) == sorted((a, b, r) for (a, b), r in want.items() if (a in ids) != (b in ids))
+    assert len(want) > 100
+
+
 def test_rules_read_the_documents(spark, tmp_path):
     texts = {
         "Body.\nLicensed under CC BY 4.0.": "CC BY 4.0", "Body.\nLicensed under CC BY-NC 4.0.": None, "See https://creativecommons.\norg/licenses/ by/4.0/": "CC BY 4.0",
